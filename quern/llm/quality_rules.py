@@ -11,7 +11,7 @@ from quern.llm.common import cut_lineage, whole_text, words
 METRICS: dict[str, tuple[str, str, int, int, str]] = {
     "word_length": ("word_chars", "n_words", 100, 100, "both"),
     "symbols": ("n_symbols", "n_words", 10_000, 500, "high"),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 1_000, "high"),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 2_000, "high"),
     "repeats": ("n_repeat_words", "n_words", 10_000, 1_000, "high"),
 }
 

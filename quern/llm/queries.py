@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import quality_rules
+from quern.llm import bpe, pii, quality_rules
 from quern.llm.common import table
 from quern.llm.exact_dedup import exact_groups
 from quern.llm.sharding import interleaved_shards
@@ -24,11 +25,23 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest_columns(bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op5_sharding": op5_sharding,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_personal_data": op9_personal_data,
+        "op10_byte_bpe": op10_byte_bpe,
     }
 
 
