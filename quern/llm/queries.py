@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, pii, quality_rules
+from quern.llm import bpe, brown_lm, language_id, near_dedup, pii, quality_rules
 from quern.llm.common import table
 from quern.llm.exact_dedup import exact_groups
 from quern.llm.sharding import interleaved_shards
@@ -25,6 +25,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -38,7 +50,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_near_dedup": op2_near_dedup,
+        "op4_language_id": op4_language_id,
         "op5_sharding": op5_sharding,
+        "op6_lm_score": op6_lm_score,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_personal_data": op9_personal_data,
         "op10_byte_bpe": op10_byte_bpe,

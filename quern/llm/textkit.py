@@ -28,7 +28,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, up to n."""
     if not _powers or len(_powers[0]) <= n:
         size = max(1 << 16, 1 << int(n).bit_length())
-        _powers[:] = [np.cumprod(np.concatenate(([1], np.full(size, b, U64))).astype(U64)) for b in (_BASE, _BASE_INVERSE)]
+        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, U64), np.full(size, b, U64)))) for b in (_BASE, _BASE_INVERSE)]
     return _powers[0], _powers[1]
 
 
