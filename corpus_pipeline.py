@@ -1,11 +1,28 @@
-"""The corpus pipeline: documents in, token ids out."""
+"""The corpus pipeline: documents in, token ids out.
+
+Each stage takes what its predecessor kept, written as Parquet and read again,
+and returns the columns of documents; the last one returns ids for the text.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm import bpe, mixing
+from quern.llm.common import cut_lineage, table
 from quern.llm.exact_dedup import drop_exact_copies
+from quern.llm.near_dedup import drop_near_copies
+from quern.llm.quality_rules import drop_low_quality
+from quern.llm.queries import MIXTURE
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return drop_low_quality(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,14 +30,52 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates, the row with the smallest doc_id stays."""
+    return drop_near_copies(docs)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic and low text is thinned to its share; no rate is above one, so no document is repeated."""
+    labelled = mixing.labelled_domains(docs, table(spark, sf_dir, "labels"))
+    return mixing.take_mixture(docs, labelled, MIXTURE, most_rate=1.0)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids for the text, with a digest of the bytes decoded from them."""
+    ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
+    kept = [c for c in docs.columns if c != "text"]
+    return encoded.select(*kept, F.expr("length(token_ids) div 4").cast("bigint").alias("n_tokens"), "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mixing_weights),
+    ("byte-level BPE", byte_bpe),
+]
 
 #: SQL has no byte-level BPE; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written to the shared folder before the next reads them."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(spark, docs)
     return docs
+
+
+def written(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` as Parquet in the checkpoint folder, read again."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        return cut_lineage(docs)
+    path = f"{sc.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs.write.parquet(path)
+    return spark.read.schema(docs.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, brown_lm, language_id, near_dedup, pii, quality_rules
+from quern.llm import bpe, brown_lm, language_id, mixing, near_dedup, pii, quality_classifier, quality_rules
 from quern.llm.common import table
 from quern.llm.exact_dedup import exact_groups
 from quern.llm.sharding import interleaved_shards
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,17 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Token shares of the mixture; with the labels' domains, they thin low and toxic text.
+MIXTURE = {"clean": 0.95, "low": 0.03, "toxic": 0.02}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = mixing.labelled_domains(docs, table(spark, sf_dir, "labels"))
+    mixed = mixing.mix_documents(docs, labelled, MIXTURE)
+    return mixed.select("doc_id", "n_tokens", *[mixed["posterior"][d].alias(f"p_{d}") for d in MIXTURE], "rate", "copies")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -51,9 +66,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_near_dedup": op2_near_dedup,
+        "op3_mixing": op3_mixing,
         "op4_language_id": op4_language_id,
         "op5_sharding": op5_sharding,
         "op6_lm_score": op6_lm_score,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_personal_data": op9_personal_data,
         "op10_byte_bpe": op10_byte_bpe,
