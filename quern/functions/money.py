@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,42 +27,52 @@ XPD 0, XPF 0, XPT 0, XSU 0, XUA 0, YER 2, ZAR 2, ZMW 2, ZWL 2
 EXPONENT: dict[str, int] = {code: int(digits) for code, digits in (x.split() for x in _EXPONENTS.replace("\n", " ").split(",") if x.strip())}
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it; keeps nested expressions small."""
+    return F.transform(F.array(value), use)[0]
+
+
 def exponent_of(code: Column) -> Column:
     """Minor-unit digits of a currency; null for a code that the table does not have."""
     table = F.create_map(*[F.lit(x) for pair in EXPONENT.items() for x in pair])
     return F.try_element_at(table, code)
 
 
-def _known(code: Column, value: Column) -> Column:
-    return F.when(exponent_of(code).isNull(), F.raise_error(F.concat(F.lit("unknown currency: "), F.coalesce(code, F.lit("null"))))).otherwise(value)
+def _known(code: Column, digits: Column, value: Column) -> Column:
+    return F.when(digits.isNull(), F.raise_error(F.concat(F.lit("unknown currency: "), F.coalesce(code, F.lit("null"))))).otherwise(value)
 
 
 def format_money(code: Column, minor: Column) -> Column:
     """A decimal string with the currency's digits; no point if it has none. An unknown currency is an error."""
-    digits = exponent_of(code)
-    sign = F.when(minor < 0, F.lit("-")).otherwise(F.lit(""))
-    size = F.lpad(F.abs(minor).cast("string"), F.greatest(digits + 1, F.length(F.abs(minor).cast("string"))), F.lit("0"))
-    cut = F.length(size) - digits
-    text = F.when(digits == 0, F.concat(sign, size)).otherwise(F.concat(sign, F.substring(size, F.lit(1), cut), F.lit("."), F.substring(size, cut + 1, digits)))
-    return _known(code, text)
+
+    def shown(v: Column) -> Column:
+        size = F.lpad(F.abs(v["minor"]).cast("string"), F.greatest(v["digits"] + 1, F.length(F.abs(v["minor"]).cast("string"))), F.lit("0"))
+        cut = F.length(size) - v["digits"]
+        text = F.when(v["digits"] == 0, size).otherwise(F.concat(F.substring(size, F.lit(1), cut), F.lit("."), F.substring(size, cut + 1, v["digits"])))
+        return _known(code, v["digits"], F.concat(F.when(v["minor"] < 0, F.lit("-")).otherwise(F.lit("")), text))
+
+    return bound(F.struct(exponent_of(code).alias("digits"), minor.alias("minor")), shown)
 
 
 def try_parse_money(code: Column, text: Column) -> Column:
     """Minor units of a decimal string; null if the currency is unknown, a digit is out of place or there are too many."""
-    digits = exponent_of(code)
-    body = F.regexp_replace(text, "^-", "")
-    whole = F.split_part(body, F.lit("."), F.lit(1))
-    fraction = F.when(F.contains(body, F.lit(".")), F.substring_index(body, ".", -1)).otherwise(F.lit(""))
-    fits = body.rlike(r"^[0-9]+(\.[0-9]*)?$") & (F.length(fraction) <= digits) & ~(F.contains(body, F.lit(".")) & (digits == 0))
-    padded = F.concat(whole, fraction, F.repeat(F.lit("0"), F.greatest(digits - F.length(fraction), F.lit(0)).cast("int")))
-    minor = padded.try_cast("bigint")
-    return F.when(fits, F.when(F.startswith(text, F.lit("-")), -minor).otherwise(minor))
+
+    def read(v: Column) -> Column:
+        body, digits = v["body"], v["digits"]
+        point = F.contains(body, F.lit("."))
+        fraction = F.when(point, F.substring_index(body, ".", -1)).otherwise(F.lit(""))
+        fits = body.rlike(r"^[0-9]+(\.[0-9]*)?$") & (F.length(fraction) <= digits) & ~(point & (digits == 0))
+        padded = F.concat(F.substring_index(body, ".", 1), fraction, F.repeat(F.lit("0"), F.greatest(digits - F.length(fraction), F.lit(0)).cast("int")))
+        minor = padded.try_cast("bigint")
+        return F.when(fits, F.when(v["negative"], -minor).otherwise(minor))
+
+    return bound(F.struct(exponent_of(code).alias("digits"), F.regexp_replace(text, "^-", "").alias("body"), F.startswith(text, F.lit("-")).alias("negative")), read)
 
 
 def parse_money(code: Column, text: Column) -> Column:
     """As ``try_parse_money``, but what cannot be read is an error."""
-    minor = try_parse_money(code, text)
-    return F.when(text.isNull() | minor.isNotNull(), minor).otherwise(F.raise_error(F.concat(F.lit("not an amount of "), F.coalesce(code, F.lit("null")), F.lit(": "), text)))
+    wrong = F.raise_error(F.concat(F.lit("not an amount of "), F.coalesce(code, F.lit("null")), F.lit(": "), text))
+    return F.when(text.isNotNull(), F.coalesce(try_parse_money(code, text), wrong))
 
 
 def try_decimal_from_locale(text: Column) -> Column:
@@ -69,19 +81,21 @@ def try_decimal_from_locale(text: Column) -> Column:
     Spaces of three kinds go. Of comma and point, the last is the decimal mark
     and the other groups thousands; a lone comma is the mark.
     """
-    bare = F.trim(F.translate(text, "   ", ""))
-    body = F.regexp_replace(bare, r"^-?\+?", "")
-    comma, point = F.length(body) - F.length(F.substring_index(body, ",", -1)), F.length(body) - F.length(F.substring_index(body, ".", -1))
-    before = lambda mark: F.substring(body, F.lit(1), mark - 1)
-    after = lambda mark: F.substring(body, mark + 1, F.length(body))
-    plain = (
-        F.when((comma > 0) & (point > 0) & (comma > point), F.concat(F.replace(before(comma), F.lit("."), F.lit("")), F.lit("."), after(comma)))
-        .when((comma > 0) & (point > 0), F.concat(F.replace(before(point), F.lit(","), F.lit("")), F.lit("."), after(point)))
-        .when(comma > 0, F.concat(before(comma), F.lit("."), after(comma)))
-        .otherwise(body)
-    )
-    sign = F.when(F.startswith(bare, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    return F.when(bare == "", F.lit("0")).when(plain.rlike(r"^[0-9]+(\.[0-9]+)?$"), F.concat(sign, plain))
+
+    def marked(v: Column) -> Column:
+        body = v["body"]
+        comma, point = (F.length(body) - F.length(F.substring_index(body, mark, -1)) for mark in ",.")
+        cut = lambda mark, other: F.concat(F.replace(F.substring(body, F.lit(1), mark - 1), F.lit(other), F.lit("")), F.lit("."), F.substring(body, mark + 1, F.length(body)))
+        plain = F.when((comma > 0) & (comma > point), F.when(point > 0, cut(comma, ".")).otherwise(F.concat(F.substring(body, F.lit(1), comma - 1), F.lit("."), F.substring(body, comma + 1, F.length(body))))).when((comma > 0) & (point > 0), cut(point, ",")).otherwise(body)
+        return F.struct(plain.alias("plain"), v["bare"].alias("bare"))
+
+    def checked(v: Column) -> Column:
+        sign = F.when(F.startswith(v["bare"], F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+        return F.when(v["bare"] == "", F.lit("0")).when(v["plain"].rlike(r"^[0-9]+(\.[0-9]+)?$"), F.concat(sign, v["plain"]))
+
+    bare = F.trim(F.translate(text, " \u00a0\u2007", ""))
+    split = bound(bare, lambda b: F.struct(b.alias("bare"), F.regexp_replace(b, r"^-?\+?", "").alias("body")))
+    return bound(bound(split, marked), checked)
 
 
 def try_parse_amount(code: Column, text: Column) -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NORMALIZE_VERSION = "v1"
 
@@ -31,7 +32,7 @@ _ADDRESS = r"(?U)(?:^|\s)(?:" + "|".join(ADDRESS_WORDS) + r")\b|,|(?<=\s)\d{2,}"
 _LEGAL = r"(?U)(?:^|\s)(?:" + "|".join(LEGAL_FORMS) + r")(?=\s|$)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no function for it."""
     return texts.map(lambda t: unicodedata.normalize("NFKC", t) if t is not None and not t.isascii() else t)

@@ -39,6 +39,14 @@ def net_split(amount: Column) -> tuple[Column, Column]:
     return F.greatest(amount, F.lit(0)), F.greatest(-amount, F.lit(0))
 
 
+def money_flow(chained: DataFrame, by: list[str], costs: Sequence[str]) -> DataFrame:
+    """Edges source, target, amount_minor from revenue to the total and on to costs and what remains; nothing without revenue."""
+    edges = [F.struct(F.lit("01").alias("source"), F.lit("total").alias("target"), F.col("s_01").alias("amount_minor"))]
+    edges += [F.struct(F.lit("total").alias("source"), F.lit(s).alias("target"), (-F.col(f"s_{s}")).alias("amount_minor")) for s in costs]
+    edges += [F.struct(F.lit("total").alias("source"), F.lit("remainder").alias("target"), F.col("s_95").alias("amount_minor"))]
+    return chained.where("s_01 > 0").select(*by, F.explode(F.array(*edges)).alias("e")).select(*by, "e.*").where("amount_minor > 0")
+
+
 def within(domain: tuple[Column, Column], x: Column) -> Column:
     """A closed filter of a time axis."""
     return (x >= domain[0]) & (x <= domain[1])

@@ -24,11 +24,11 @@ def tagged_sql(granularity: str = "month", basis: str = "bank") -> str:
   FROM txn LEFT JOIN live ON live.txn_id = txn.txn_id LEFT JOIN category ON category.code = live.category_code)"""
 
 
-def wide_sql(granularity: str = "month") -> str:
+def wide_sql(granularity: str = "month", basis: str = "bank") -> str:
     sums = ", ".join(f"coalesce(sum(reported_minor) FILTER (WHERE line = '{x}'), 0)::BIGINT AS s_{x}" for x in pnl.SECTIONS + pnl.BUCKETS)
     cols = ", ".join(f"coalesce(s_{x}, 0) AS s_{x}" for x in pnl.SECTIONS + pnl.BUCKETS)
     totals = ", ".join(f"sum(s_{x})::BIGINT" for x in pnl.SECTIONS + pnl.BUCKETS)
-    return f"""{WITH}, {tagged_sql(granularity)},
+    return f"""{WITH}, {tagged_sql(granularity, basis)},
 months AS (SELECT unnest(generate_series(DATE '{carrier.FIRST}-01', DATE '{carrier.LAST}-01', INTERVAL 1 MONTH))::DATE AS booked_on),
 calendar AS (SELECT DISTINCT {LABEL[granularity]} AS period FROM months),
 grouped AS (SELECT org_id, entity_id, period, {sums} FROM tagged GROUP BY ALL),
@@ -61,8 +61,8 @@ def report(spark: SparkSession, sf_dir: str, granularity: str = "month") -> Data
     return pnl.management_pnl(*ledger(spark, sf_dir), whole_calendar(spark, granularity), granularity=granularity)
 
 
-def tagged(spark: SparkSession, sf_dir: str, granularity: str = "month") -> DataFrame:
-    return pnl.tag_lines(*ledger(spark, sf_dir), granularity=granularity)
+def tagged(spark: SparkSession, sf_dir: str, granularity: str = "month", basis: str = "bank") -> DataFrame:
+    return pnl.tag_lines(*ledger(spark, sf_dir), basis=basis, granularity=granularity)
 
 
 def _register_lines(granularity: str) -> None:
