@@ -28,12 +28,16 @@ def word_features(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
 
 
 def fit_domains(labelled: DataFrame, domains: list[str], text_col: str = "text", domain_col: str = "domain", most_rows: int | None = 20_000) -> DataFrame:
-    """feature, w (an array): log p(feature | domain), add-one smoothed, for the domains in their order.
+    """feature, w (an array): log p(feature | domain) for the domains in their order.
+
+    A domain's counts are smoothed by ``FEATURES`` words of the background, the
+    mixture of all labelled rows. Words that a small domain never saw then speak
+    neither for it nor against it.
 
     About ``most_rows`` labelled rows at most are learned from, chosen by a hash
-    of the text; None takes all. The result has ``FEATURES`` rows and a first
-    row, feature -1, with the log priors. No label of a domain gives it the
-    smoothing's share alone; null labels are left out.
+    of the text; None takes all. The result has ``FEATURES`` rows and one more,
+    feature -1, with the log priors. A domain without labels has the
+    background's words; null labels are left out.
     """
     rows = labelled.where(F.col(domain_col).isin(domains)).select(F.col(text_col).alias("text"), F.col(domain_col).alias("domain"))
     if most_rows is not None:
@@ -44,7 +48,10 @@ def fit_domains(labelled: DataFrame, domains: list[str], text_col: str = "text",
     counted = word_features(rows, "text", "domain").groupBy("feature").agg(*count_of)
     every = rows.sparkSession.range(FEATURES).select(F.col("id").cast("int").alias("feature"))
     total = counted.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"t{k}") for k in range(len(domains))]).first()
-    weight = lambda k: F.log((F.coalesce(F.col(f"n{k}"), F.lit(0)) + 1.0) / float(total[f"t{k}"] + FEATURES))
+    every_word = sum(total[f"t{k}"] for k in range(len(domains)))
+    seen = [F.coalesce(F.col(f"n{k}"), F.lit(0)) for k in range(len(domains))]
+    background = (sum(seen, F.lit(1)) / float(every_word + FEATURES)).cast("double")
+    weight = lambda k: F.log((seen[k] + FEATURES * background) / float(total[f"t{k}"] + FEATURES))
     weights = every.join(counted, "feature", "left").select("feature", F.array(*[weight(k) for k in range(len(domains))]).alias("w"))
     size = rows.agg(*[F.coalesce(c, F.lit(0)).alias(f"n{k}") for k, c in enumerate(count_of)], F.count(F.lit(1)).alias("n")).first()
     prior = [F.log(F.lit((size[f"n{k}"] + 1.0) / (size["n"] + len(domains)))) for k in range(len(domains))]
@@ -54,9 +61,10 @@ def fit_domains(labelled: DataFrame, domains: list[str], text_col: str = "text",
 def domain_posteriors(docs: DataFrame, weights: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, n_tokens and p0, p1, ...: the posterior in whole ``PARTS``-ths that sum to ``PARTS``.
 
-    A document's log likelihood is the mean over its words times the square
+    A document's log likelihood is the sum over its words, divided by the fourth
     root of their number: words of one text are not independent, and the plain
-    sum would make every posterior 0 or 1. A text without words has the priors.
+    sum would make nearly every posterior 0 or 1. A text without words has the
+    priors.
     """
     k = range(len(domains))
     weights = cut_lineage(weights)
@@ -71,7 +79,7 @@ def domain_posteriors(docs: DataFrame, weights: DataFrame, domains: list[str], i
         F.sum((F.col("feature") >= 0).cast("bigint")).alias("n_tokens"),
         *[F.sum(F.when(F.col("feature") >= 0, F.col("w")[i]).otherwise(F.lit(0.0))).alias(f"s{i}") for i in k],
     )
-    root = F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))
+    root = F.sqrt(F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")))
     scored = summed.select("row", "doc_id", "n_tokens", *[(F.lit(prior[i]) + F.col(f"s{i}") / root).alias(f"s{i}") for i in k])
     top = F.greatest(*[F.col(f"s{i}") for i in k]) if len(domains) > 1 else F.col("s0")
     scored = scored.withColumn("top", top).select("row", "doc_id", "n_tokens", *[F.exp(F.col(f"s{i}") - F.col("top")).alias(f"e{i}") for i in k])

@@ -27,7 +27,7 @@ from quern.llm.textkit import U64, blocks, mix, shingle_set, text_bytes, word_ha
 BINS, BANDS = 128, 32
 SHIFT = U64(64 - BINS.bit_length() + 1)
 SKETCH = 256
-BLOCK = 512
+BLOCK = 256
 
 
 def _orders(bins: int, seed: int = 11) -> np.ndarray:
@@ -104,8 +104,8 @@ def close_pairs(sketches: list[np.ndarray], sizes: np.ndarray, label: np.ndarray
     """Pairs of different labels and sides that may be alike in ``percent`` of their union, judged by their least hashes.
 
     side: 0 or 1; pairs are taken across sides, or all pairs if there is one
-    side. A set no larger than its sketch is judged exactly; of others, a pair
-    goes on unless it falls short by more than three standard deviations.
+    side. A set no larger than its sketch is judged by all its hashes; of others,
+    a pair goes on unless it falls short by more than three standard deviations.
     """
     m = len(sketches)
     owner = np.repeat(np.arange(m), [len(s) for s in sketches])
@@ -123,7 +123,7 @@ def close_pairs(sketches: list[np.ndarray], sizes: np.ndarray, label: np.ndarray
         grid = np.zeros((m, min(4096, len(shared) - lo)), np.float32)
         grid[owner[a:b], place[a:b] - lo] = 1
         both += grid @ grid.T
-    cut = np.array([s[-1] if len(s) < n else U64(0xFFFFFFFFFFFFFFFF) for s, n in zip(sketches, sizes, strict=True)], U64)
+    cut = np.array([s[-1] if len(s) < n else U64(0xFFFFFFFF) for s, n in zip(sketches, sizes, strict=True)], U64)
     below = np.array([np.searchsorted(s, cut, "right") for s in sketches])
     union = np.maximum(below + below.T - both, 1)
     whole = sizes <= [len(s) for s in sketches]
@@ -158,7 +158,7 @@ def _block_pairs(percent: int):
             if len(label) < 2 or (label == label[0]).all():
                 continue
             listed = cell.column("sketch").combine_chunks()
-            flat, at = listed.values.to_numpy().view(U64), listed.offsets.to_numpy()
+            flat, at = listed.values.to_numpy().view(np.uint32).astype(U64), listed.offsets.to_numpy()
             sketches = [flat[at[k] : at[k + 1]] for k in range(len(label))]
             a, b = close_pairs(sketches, size, label, cell.column("side").to_numpy(), percent)
             yield pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(node[a], node[b])), "v": pa.array(np.minimum(node[a], node[b]))})
@@ -200,11 +200,13 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     feat = cut_lineage(numbered.mapInArrow(_features(width), f"row bigint, doc_id {id_type}, n_shingles bigint, set_key binary, bands array<bigint>"))
     some = feat.where("n_shingles > 0")
-    member_of = some.groupBy("set_key").agg(F.min("row").alias("node"))
+    # Sums by key are written before they are joined to their rows: the join then
+    # shuffles both sides by itself, and a hot key's rows can be split.
+    member_of = cut_lineage(some.groupBy("set_key").agg(F.min("row").alias("node")))
     nodes = some.join(member_of, "set_key").where("row = node")
 
     spread = nodes.select("node", F.explode("bands").alias("key"))
-    heads = spread.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    heads = cut_lineage(spread.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1"))
     bucketed = cut_lineage(spread.join(heads, "key"))
     stars = bucketed.where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     stars = cut_lineage(stars)
@@ -219,8 +221,10 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
 
     # Buckets of three or more in which some pair was neither tied to the hub nor joined by other ties.
     labelled = bucketed.where("c > 2").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    sketches = sets.select("node", F.size("shingles").cast("bigint").alias("n"), F.slice("shingles", 1, SKETCH).alias("sketch"))
+    open_ = cut_lineage(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key"))
+    # A sketch holds the upper halves of a set's least hashes; their order is that of the hashes.
+    halves = F.transform(F.slice("shingles", 1, SKETCH), lambda h: F.shiftright(h, 32).cast("int"))
+    sketches = sets.select("node", F.size("shingles").cast("bigint").alias("n"), halves.alias("sketch"))
     grid = F.expr(f"int((c + {BLOCK - 1}) div {BLOCK})")
     own = F.pmod(F.xxhash64("node"), F.col("grid")).cast("int")
     cells = (
@@ -239,7 +243,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
 
     named = feat.join(member_of, "set_key", "left").join(label, "node", "left")
     named = named.select("doc_id", "row", "n_shingles", F.coalesce("component", "node", "row").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = cut_lineage(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     out = named.join(least, "component")
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

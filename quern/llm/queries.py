@@ -34,7 +34,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Token shares of the mixture; with the labels' domains, they thin low and toxic text.
-MIXTURE = {"clean": 0.95, "low": 0.03, "toxic": 0.02}
+MIXTURE = {"clean": 0.96, "low": 0.01, "toxic": 0.03}
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

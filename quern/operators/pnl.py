@@ -61,16 +61,21 @@ def line_sums(tagged: DataFrame) -> DataFrame:
 
 
 def zero_filled(sums: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Stored sums of each section and bucket as columns, a row for every report and period of the calendar."""
-    wide = sums.groupBy(*REPORT, "period").agg(*[F.sum(F.when(F.col("line") == x, F.col("amount_minor")).otherwise(0)).alias(f"s_{x}") for x in SECTIONS + BUCKETS])
-    every = sums.select(*REPORT).distinct().withColumn("period", F.explode(F.array(*[F.lit(p) for p in sorted(r["period"] for r in calendar.select("period").collect())])))
-    return every.join(wide, [*REPORT, "period"], "left").na.fill(0)
+    """Stored sums of each section and bucket as columns: a row for every report and period of the calendar, and ``total``.
 
-
-def with_total(wide: DataFrame) -> DataFrame:
-    """The rows and one more for each report: the sum over its periods, named ``total``."""
-    total = wide.groupBy(*REPORT).agg(*[F.sum(c).alias(c) for c in wide.columns if c.startswith("s_")]).withColumn("period", F.lit("total"))
-    return wide.unionByName(total)
+    A report's periods are folded into one map, bounded by the calendar, beside
+    the sums over them; the calendar is then laid over the map. So the ledger is
+    read once, without a join of the report to itself.
+    """
+    lines = [f"s_{x}" for x in SECTIONS + BUCKETS]
+    wide = sums.groupBy(*REPORT, "period").agg(*[F.sum(F.when(F.col("line") == c[2:], F.col("amount_minor")).otherwise(0)).alias(c) for c in lines])
+    cells = F.map_from_entries(F.collect_list(F.struct("period", F.struct(*lines))))
+    folded = wide.groupBy(*REPORT).agg(cells.alias("cells"), *[F.sum(c).alias(c) for c in lines])
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in lines])
+    periods = F.array(*[F.lit(p) for p in sorted(r["period"] for r in calendar.select("period").collect())])
+    rows = F.transform(periods, lambda p: F.struct(p.alias("period"), F.coalesce(F.try_element_at(F.col("cells"), p), zero).alias("v")))
+    total = F.array(F.struct(F.lit("total").alias("period"), F.struct(*lines).alias("v")))
+    return folded.select(*REPORT, F.explode(F.concat(rows, total)).alias("r")).select(*REPORT, "r.period", "r.v.*")
 
 
 def with_chain(wide: DataFrame) -> DataFrame:
@@ -101,7 +106,7 @@ def management_pnl(txn: DataFrame, classifications: DataFrame, categories: DataF
     sums = line_sums(tag_lines(txn, classifications, categories, basis, granularity, transfers))
     known = sorted(r["period"] for r in calendar.select("period").collect())
     sums = sums.withColumn("period", F.when(F.col("period").isin(known), F.col("period")).otherwise(F.raise_error(F.concat(F.lit("row outside the range: "), F.col("period")))))
-    return presented(with_chain(with_total(zero_filled(sums, calendar))))
+    return presented(with_chain(zero_filled(sums, calendar)))
 
 
 def drill_rows(tagged: DataFrame, line: str, after: tuple | None = None, limit: int | None = None) -> DataFrame:

@@ -87,7 +87,7 @@ def pnl_report_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pnl_chain", f"{wide_sql()} SELECT org_id, entity_id, period, s_91 AS gross_margin, s_92 AS net_margin, s_93 AS contribution, s_94 AS before_tax, s_95 AS net_income FROM chained")
 def pnl_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = pnl.with_total(pnl.zero_filled(pnl.line_sums(tagged(spark, sf_dir)), whole_calendar(spark)))
+    wide = pnl.zero_filled(pnl.line_sums(tagged(spark, sf_dir)), whole_calendar(spark))
     names = {"s_91": "gross_margin", "s_92": "net_margin", "s_93": "contribution", "s_94": "before_tax", "s_95": "net_income"}
     return pnl.with_chain(wide).select(*pnl.REPORT, "period", *[F.col(a).alias(b) for a, b in names.items()])
 
@@ -226,7 +226,7 @@ def cli_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cli_expenses", f"{wide_sql()} SELECT org_id, entity_id, period, s_01 AS revenue, s_01 - s_93 AS expenses FROM chained")
 def cli_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = pnl.with_chain(pnl.with_total(pnl.zero_filled(pnl.line_sums(tagged(spark, sf_dir)), whole_calendar(spark))))
+    wide = pnl.with_chain(pnl.zero_filled(pnl.line_sums(tagged(spark, sf_dir)), whole_calendar(spark)))
     return wide.select(*pnl.REPORT, "period", F.col("s_01").alias("revenue"), (F.col("s_01") - F.col("s_93")).alias("expenses"))
 
 
@@ -254,5 +254,5 @@ def tenant_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("percent_text", f"{wide_sql()} SELECT org_id, entity_id, period, CASE WHEN s_01 <> 0 THEN CASE WHEN (s_93 * 1000) // s_01 < 0 AND trunc(s_93::DOUBLE * 1000 / s_01) <> 0 THEN '-' ELSE '' END || (abs(s_93) * 1000 // abs(s_01)) // 10 || '.' || (abs(s_93) * 1000 // abs(s_01)) % 10 END AS percent FROM chained")
 def percent_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = pnl.with_chain(pnl.with_total(pnl.zero_filled(pnl.line_sums(tagged(spark, sf_dir)), whole_calendar(spark))))
+    wide = pnl.with_chain(pnl.zero_filled(pnl.line_sums(tagged(spark, sf_dir)), whole_calendar(spark)))
     return wide.select(*pnl.REPORT, "period", money.percent_text("s_93", "s_01").alias("percent"))

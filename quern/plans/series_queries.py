@@ -49,7 +49,7 @@ def trend_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("net_split", f"{wide_sql()} SELECT org_id, entity_id, period, greatest(s_95, 0) AS profit, greatest(-s_95, 0) AS loss FROM chained")
 def net_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = pnl.with_chain(pnl.with_total(pnl.zero_filled(pnl.line_sums(tagged(spark, sf_dir)), whole_calendar(spark))))
+    wide = pnl.with_chain(pnl.zero_filled(pnl.line_sums(tagged(spark, sf_dir)), whole_calendar(spark)))
     profit, loss = series.net_split(F.col("s_95"))
     return wide.select(*pnl.REPORT, "period", profit.alias("profit"), loss.alias("loss"))
 
@@ -63,7 +63,7 @@ UNION ALL SELECT org_id, entity_id, 'total', v.line, v.amount FROM tot, LATERAL
 def money_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales of this carrier are booked as outflows, so their sign is turned before edges are drawn."""
     wide = pnl.zero_filled(pnl.line_sums(tagged(spark, sf_dir)), whole_calendar(spark)).withColumn("s_01", -F.col("s_01"))
-    return series.money_flow(pnl.with_chain(pnl.with_total(wide)).where("period = 'total'"), pnl.REPORT, COSTS)
+    return series.money_flow(pnl.with_chain(wide).where("period = 'total'"), pnl.REPORT, COSTS)
 
 
 def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
