@@ -10,6 +10,7 @@ under a language is exact: the sum over all its bytes. The shortest code wins.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, most_rows: int = 3000, lang_col: str = "lang", text_col
     return Model(langs, gram, n)
 
 
-_ready: dict[int, Model] = {}
+_ready: dict[str, Model] = {}
 
 
 def identify_languages(docs: DataFrame, most_rows: int = 3000, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -188,16 +189,16 @@ def identify_languages(docs: DataFrame, most_rows: int = 3000, lang_col: str = "
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double, bits_per_byte double"
     if model is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
-    key = (model.langs, model.symbol, model.context, model.size, model.state, model.cost)
-    shipped = docs.sparkSession.sparkContext.broadcast(key)
+    name = uuid.uuid4().hex  # tells this model from those that a worker has kept
+    shipped = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.context, model.size, model.state, model.cost))
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(shipped) not in _ready:
+        if name not in _ready:
             _ready.clear()
             m = Model.__new__(Model)
             m.langs, m.symbol, m.context, m.size, m.state, m.cost = shipped.value
-            _ready[id(shipped)] = m
-        m = _ready[id(shipped)]
+            _ready[name] = m
+        m = _ready[name]
         names = np.array(m.langs, object)
         for frame in frames:
             data, offsets = text_bytes(frame.column("text"))
