@@ -111,11 +111,12 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = cut_lineage(counts)
     fine = sketch(counts.where(~F.col("base_failed")), ["lang", "source"])
     by_lang = fine.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"))
-    overall = by_lang.groupBy("metric", "bucket").agg(F.sum("n").alias("n")).withColumn("every", F.lit(1))
+    overall = by_lang.groupBy(F.lit("all").alias("every"), "metric", "bucket").agg(F.sum("n").alias("n"))
     limits = [c for m, x in METRICS.items() for c in [f"hi_{m}"] + [f"lo_{m}"] * (x[4] == "both")]
-    f, g, h = fences(fine, ["lang", "source"], reach).withColumn("every", F.lit(1)).alias("f"), fences(by_lang, ["lang"], reach).alias("g"), fences(overall, ["every"], reach).alias("h")
-    joined = f.join(g, F.col("f.lang").eqNullSafe(F.col("g.lang"))).join(h, F.col("f.every") == F.col("h.every"))
-    pick = lambda c: F.when(F.col("f.rows") >= least_rows, F.col(f"f.{c}")).when(F.col("g.rows") >= least_rows, F.col(f"g.{c}")).otherwise(F.col(f"h.{c}"))
+    whole = fences(overall, ["every"], reach).first()  # one row: the fences of all documents
+    f, g = fences(fine, ["lang", "source"], reach).alias("f"), fences(by_lang, ["lang"], reach).alias("g")
+    joined = f.join(g, F.col("f.lang").eqNullSafe(F.col("g.lang")))
+    pick = lambda c: F.when(F.col("f.rows") >= least_rows, F.col(f"f.{c}")).when(F.col("g.rows") >= least_rows, F.col(f"g.{c}")).otherwise(F.lit(whole[c] if whole else None).cast("bigint"))
     limit = joined.select(F.col("f.lang").alias("t_lang"), F.col("f.source").alias("t_source"), *[pick(c).alias(c) for c in limits])
     d = counts.join(limit, counts["lang"].eqNullSafe(limit["t_lang"]) & counts["source"].eqNullSafe(limit["t_source"]), "left")
     crossed = []
