@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from quern.llm.common import cut_lineage
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+#: Links a partition holds between rounds; a table of few links has few partitions, whatever the shuffles' number.
+ROWS = 50_000
+
+
+def _large_star(links: DataFrame, parts: int) -> DataFrame:
     """Each larger neighbour of a node is tied to the node's smallest neighbour."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, parts: int) -> DataFrame:
     """Each node and its smaller neighbours are tied to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = cut_lineage(down.groupBy("u").agg(F.min("v").alias("m")))
+    least = cut_lineage(down.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts))
     tied = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -38,5 +42,7 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         if state == seen or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = state
-        now = cut_lineage(_small_star(_large_star(now)))
+        parts = 1 + state[0] // ROWS
+        now = now.coalesce(parts)
+        now = cut_lineage(_small_star(_large_star(now, parts), parts).coalesce(parts))
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
