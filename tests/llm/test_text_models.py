@@ -127,6 +127,28 @@ def test_exchange_never_lowers_the_likelihood():
     assert seen == sorted(seen) and seen[-1] > seen[0]
 
 
+def test_words_beyond_the_most_frequent_get_learned_classes(docs_of):
+    """Words after "a" and words after "b" are told apart, though only two words are clustered first."""
+    rows = [(k, " ".join(f"a x{(k + j) % 40} b y{(k * 3 + j) % 40}" for j in range(30))) for k in range(200)]
+    score = lambda least: sum(r.score for r in brown_lm.score_texts(docs_of(rows), clustered=2, exchanged=4, shapes=4, least_count=least).collect())
+    assert score(50) > score(10**6) + 1000
+
+
+def test_exchange_over_the_corpus(docs_of):
+    """Words of one context come to one class; words of another to another."""
+    rows = [(k, " ".join(f"a x{(k + j) % 9} b y{(k * 2 + j) % 9}" for j in range(20))) for k in range(60)]
+    of = lambda t: brown_lm.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0][:-1]
+    word = np.unique(of("a b " + " ".join(f"x{j} y{j}" for j in range(9))))
+    cls = brown_lm.Classes(word, 4, 3)
+    cls.of = cls.shape_of(word)
+    for k, seed in enumerate("a b x0 y0".split()):
+        cls.of[word == of(seed)] = k
+    seeds = np.isin(word, of("a b x0 y0"))
+    table = brown_lm.exchange_all(docs_of(rows).select("text"), cls, seeds)
+    x, y = (set(cls.of[np.isin(word, of(" ".join(f"{c}{j}" for j in range(9))))].tolist()) for c in "xy")
+    assert max(x | y) < 4 and not x & y and table.sum() == sum(len(t.split()) + 1 for _, t in rows)
+
+
 def test_class_model_beats_unigrams_on_held_out_text(docs_of, sample):
     out = [r for r in brown_lm.score_texts(docs_of(sample)).collect() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
