@@ -122,6 +122,32 @@ def test_pairs_match_one_sequential_pass(spark):
     assert got == want and len({x for p in got for x in p}) == 2 * len(got)
 
 
+def test_pairing_holds_the_last_days_only():
+    """A row on each of many days, all of one sign: what is held doesn't grow with the sequence."""
+    p = transfers.Pairing()
+    for k in range(2000):
+        assert p.take(k // 5, k, k % 3, 7) is None
+        assert sum(len(q) for day in p.free[1].values() for q in day.values()) <= 5 * (transfers.DAYS + 1)
+    assert p.take(399, 9999, 0, -7) == (9999, 1996)
+
+
+def test_pairing_matches_a_scan_of_all_free_rows():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(50):
+        seq = sorted((rng.randrange(30), k, rng.choice([None, 1, 2, 3]), rng.choice([-5, 5])) for k in range(150))
+        free, want = [], []
+        for day, k, account, amount in seq:
+            fits = [(day - d, i, (d, i, a, m)) for d, i, a, m in free if m == -amount and a != account and day - d <= 3]
+            if fits:
+                free.remove(match := min(fits, key=lambda f: f[:2])[2])
+                want.append((k, match[1]) if amount < 0 else (match[1], k))
+            else:
+                free.append((day, k, account, amount))
+        assert transfers.pair_in_order(seq) == want
+
+
 # Rules.
 
 
