@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -88,17 +88,56 @@ def triangle_buckets(ys: Sequence[float], most: int) -> list[int]:
 
 
 def lttb(rows: DataFrame, by: list[str], order: list[str], y: str, most: int) -> DataFrame:
-    """Each series of at most a screen's history, downsampled: ``by``, place, and the value there.
+    """Each series downsampled as by ``triangle_buckets``: ``by``, place, and the value there.
 
-    One series is one sequence by nature; series are what spreads over tasks.
+    Places and counts come from windows, whose rows go to disk beyond memory, and
+    the middle of each bucket from a sum by bucket. Each choice depends on the
+    one before it, so a series is one sequence; a task streams over its sorted
+    rows and holds two points, however long the series is.
     """
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable").reset_index(drop=True)
-        place = triangle_buckets(frame[y].tolist(), most)
-        out = frame.loc[place, [*by, y]]
-        out["place"] = place
-        return out[[*by, "place", y]]
+    series, kind = Window.partitionBy(*by), rows.schema[y].dataType.simpleString()
+    placed = rows.select(*by, F.col(y).alias("__y"), (F.row_number().over(series.orderBy(*[F.asc_nulls_last(c) for c in [*order, y]])) - 1).cast("bigint").alias("place"))
+    placed = placed.withColumn("__n", F.count(F.lit(1)).over(series))
+    width = (F.col("__n") - 2).cast("double") / float(max(most - 2, 1))
+    edge = lambda k: F.floor(k * width) + 1
+    near = F.floor((F.col("place") - 1) / width)
+    bucket = near + (edge(near + 1) <= F.col("place")).cast("bigint") - (edge(near) > F.col("place")).cast("bigint")
+    # The first bucket that is chosen from is 1; series short enough to stay whole have none.
+    placed = placed.withColumn("__k", F.when((F.col("__n") > most) & (F.lit(most) >= 3) & (F.col("place") > 0), bucket))
+    middle = placed.where("__k is not null").groupBy(*[F.col(c).alias(f"__{c}") for c in by], (F.col("__k") - 1).alias("__before"))
+    middle = middle.agg(F.avg("place").alias("__cx"), F.avg(F.coalesce(F.col("__y").cast("double"), F.lit(float("nan")))).alias("__cy"))
+    same = F.col("__k") == F.col("__before")
+    for c in by:
+        same = same & placed[c].eqNullSafe(F.col(f"__{c}"))
+    met = placed.join(middle, same, "left").where("__k is null or __k > 0 or place = __n - 1").select(*by, "place", F.col("__y").alias(y), "__n", "__k", "__cx", "__cy")
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = best = None  # (place, row) of the point chosen last, and of the best of the bucket so far
+        now = area = None
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False, name=None):
+                *group, place, value, n, k, cx, cy = row
+                if most >= n or most < 3:
+                    out.append((*group, place, value))
+                    continue
+                point, at = (*group, place, value), float("nan") if value is None else float(value)
+                if place == 0:
+                    before, best, now = (0, at), None, None
+                    out.append(point)
+                    continue
+                if best is not None and (place == n - 1 or k != now):
+                    out.append(best)
+                    before, best = (best[-2], float("nan") if best[-1] is None else float(best[-1])), None
+                if place == n - 1:
+                    # The last bucket is the final point's own, or has the one point before it.
+                    out += [point] * (1 if now == most - 2 else 2)
+                    continue
+                now, (ax, ay) = k, before
+                mine = abs((ax - cx) * (at - ay) - (ax - place) * (cy - ay)) / 2
+                if best is None or mine > area:
+                    best, area = point, mine
+            yield pd.DataFrame(out, columns=[*by, "place", y])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
-    return rows.select(*by, *order, y).groupBy(*by).applyInPandas(one, f"{kinds}, place bigint, {y} {rows.schema[y].dataType.simpleString()}")
+    return met.repartition(*by).sortWithinPartitions(*by, "place").mapInPandas(choose, f"{kinds}, place bigint, {y} {kind}")

@@ -292,3 +292,22 @@ def test_sinks(spark, tmp_path):
     assert sinks.insert_statements(spark.createDataFrame([("a'b", None)], "x string, y string"), "t").first()[0] == "INSERT INTO t (x, y) VALUES ('a''b', NULL);"
     sinks.write_seed(rows, f"{tmp_path}/s")
     assert spark.read.option("header", True).csv(f"{tmp_path}/s").count() == 1
+
+
+def test_lttb_streams_over_each_series(spark):
+    """Points are those of the plain algorithm, and no series is one frame in one task."""
+    import random
+
+    rng = random.Random(5)
+    sizes = [1, 2, 9, 10, 11, 12, 13, 50, 51, 97, 1000, 3001]
+    rows = [(None if n == 13 else n, k, rng.randrange(1000)) for n in sizes for k in range(n)]
+    df = spark.createDataFrame(rows, "s bigint, k bigint, y bigint").repartition(5)
+    for most in (2, 3, 10, 30):
+        out = series.lttb(df, ["s"], ["k"], "y", most)
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+        got = sorted((r.s or 0, r.place, r.y) for r in out.collect())
+        want = []
+        for s in {r[0] for r in rows}:
+            ys = [r[2] for r in rows if r[0] == s]
+            want += [(s or 0, p, ys[p]) for p in series.triangle_buckets(ys, most)]
+        assert got == sorted(want)
