@@ -8,6 +8,7 @@ to the targets in least squares.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,13 @@ from quern.llm.common import cut_lineage, whole_text, words
 FEATURES = 32_768
 #: Posteriors are counted in this many parts.
 PARTS = 32
+#: Texts are dealt to so many folds; a text is scored by weights learned from the labels of the other folds.
+FOLDS = 4
+
+
+def fold_of(text_col: str = "text") -> Column:
+    """The fold of a text, by its hash: equal texts share theirs, so a copy does not give a label away."""
+    return F.pmod(F.xxhash64(F.lit("fold"), whole_text(text_col)), F.lit(FOLDS)).cast("int")
 
 
 def word_features(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
@@ -28,7 +36,10 @@ def word_features(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
 
 
 def fit_domains(labelled: DataFrame, domains: list[str], text_col: str = "text", domain_col: str = "domain", most_rows: int | None = 20_000) -> DataFrame:
-    """feature, w (an array): log p(feature | domain) for the domains in their order.
+    """feature, w (an array): log p(feature | domain) for the domains in their order, for each fold in turn.
+
+    The numbers of a fold are learned from the labelled rows of all other folds,
+    so no row is scored by what its own label taught.
 
     A domain's counts are smoothed by ``FEATURES`` words of the background, the
     mixture of all labelled rows. Words that a small domain never saw then speak
@@ -36,26 +47,33 @@ def fit_domains(labelled: DataFrame, domains: list[str], text_col: str = "text",
 
     About ``most_rows`` labelled rows at most are learned from, chosen by a hash
     of the text; None takes all. The result has ``FEATURES`` rows and one more,
-    feature -1, with the log priors. A domain without labels has the
-    background's words; null labels are left out.
+    feature -1, with the log priors. A domain without labels has the prior
+    zero, so no text is of it; if no domain has any, all are alike. Null labels
+    are left out.
     """
     rows = labelled.where(F.col(domain_col).isin(domains)).select(F.col(text_col).alias("text"), F.col(domain_col).alias("domain"))
     if most_rows is not None:
         n = rows.count()
         if n > most_rows:
             rows = rows.where(F.pmod(F.xxhash64(F.lit("mixing"), "text"), F.lit(1_000_003)) < int(1_000_003 * most_rows / n))
-    count_of = [F.sum((F.col("domain") == d).cast("bigint")).alias(f"n{k}") for k, d in enumerate(domains)]
-    counted = word_features(rows, "text", "domain").groupBy("feature").agg(*count_of)
+    k, folds = range(len(domains)), range(FOLDS)
+    rows = rows.withColumn("fold", fold_of())
+    # Of each fold, the rows of the others.
+    count_of = [F.sum(((F.col("domain") == domains[i]) & (F.col("fold") != f)).cast("bigint")).alias(f"n{f}_{i}") for f in folds for i in k]
+    counted = cut_lineage(word_features(rows, "text", "domain", "fold").groupBy("feature").agg(*count_of))
     every = rows.sparkSession.range(FEATURES).select(F.col("id").cast("int").alias("feature"))
-    total = counted.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"t{k}") for k in range(len(domains))]).first()
-    every_word = sum(total[f"t{k}"] for k in range(len(domains)))
-    seen = [F.coalesce(F.col(f"n{k}"), F.lit(0)) for k in range(len(domains))]
-    background = (sum(seen, F.lit(1)) / float(every_word + FEATURES)).cast("double")
-    weight = lambda k: F.log((seen[k] + FEATURES * background) / float(total[f"t{k}"] + FEATURES))
-    weights = every.join(counted, "feature", "left").select("feature", F.array(*[weight(k) for k in range(len(domains))]).alias("w"))
-    size = rows.agg(*[F.coalesce(c, F.lit(0)).alias(f"n{k}") for k, c in enumerate(count_of)], F.count(F.lit(1)).alias("n")).first()
-    prior = [F.log(F.lit((size[f"n{k}"] + 1.0) / (size["n"] + len(domains)))) for k in range(len(domains))]
-    return weights.unionByName(rows.sparkSession.range(1).select(F.lit(-1).alias("feature"), F.array(*prior).alias("w")))
+    total = counted.agg(*[F.coalesce(F.sum(f"n{f}_{i}"), F.lit(0)).alias(f"t{f}_{i}") for f in folds for i in k]).first()
+    size = rows.agg(*[F.coalesce(c, F.lit(0)).alias(f"n{n}") for n, c in enumerate(count_of)]).first()
+    weights, priors = [], []
+    for f in folds:
+        seen = [F.coalesce(F.col(f"n{f}_{i}"), F.lit(0)) for i in k]
+        every_word = sum(total[f"t{f}_{i}"] for i in k)
+        background = (sum(seen, F.lit(1)) / float(every_word + FEATURES)).cast("double")
+        weights += [F.log((seen[i] + FEATURES * background) / float(total[f"t{f}_{i}"] + FEATURES)) for i in k]
+        labels = [size[f"n{f * len(domains) + i}"] for i in k]
+        priors += [F.lit(math.log((n + 1.0) / (sum(labels) + len(domains))) if n or not any(labels) else -math.inf) for n in labels]
+    table = every.join(counted, "feature", "left").select("feature", F.array(*weights).alias("w"))
+    return table.unionByName(rows.sparkSession.range(1).select(F.lit(-1).alias("feature"), F.array(*priors).alias("w")))
 
 
 def domain_posteriors(docs: DataFrame, weights: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,18 +87,19 @@ def domain_posteriors(docs: DataFrame, weights: DataFrame, domains: list[str], i
     k = range(len(domains))
     weights = cut_lineage(weights)
     prior = weights.where("feature = -1").first()["w"]
-    numbered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    numbered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id()).withColumn("fold", fold_of())
     # The table of features has FEATURES rows of a few numbers, whatever the input.
     one = F.when(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.array(F.lit(None).cast("string"))).otherwise(words(F.lower("text")))
-    exploded = numbered.select("row", "doc_id", F.explode(one).alias("__word"))
+    exploded = numbered.select("row", "doc_id", "fold", F.explode(one).alias("__word"))
     feature = F.when(F.col("__word").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("__word"), F.lit(FEATURES)).cast("int"))
-    met = exploded.select("row", "doc_id", feature.alias("feature")).join(F.broadcast(weights), "feature")
-    summed = met.groupBy("row", "doc_id").agg(
+    met = exploded.select("row", "doc_id", "fold", feature.alias("feature")).join(F.broadcast(weights), "feature")
+    own = lambda i: F.get("w", F.col("fold") * len(domains) + i)
+    summed = met.groupBy("row", "doc_id", "fold").agg(
         F.sum((F.col("feature") >= 0).cast("bigint")).alias("n_tokens"),
-        *[F.sum(F.when(F.col("feature") >= 0, F.col("w")[i]).otherwise(F.lit(0.0))).alias(f"s{i}") for i in k],
+        *[F.sum(F.when(F.col("feature") >= 0, own(i)).otherwise(F.lit(0.0))).alias(f"s{i}") for i in k],
     )
     root = F.sqrt(F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")))
-    scored = summed.select("row", "doc_id", "n_tokens", *[(F.lit(prior[i]) + F.col(f"s{i}") / root).alias(f"s{i}") for i in k])
+    scored = summed.select("row", "doc_id", "n_tokens", *[(F.get(F.array(*[F.lit(prior[f * len(domains) + i]) for f in range(FOLDS)]), F.col("fold")) + F.col(f"s{i}") / root).alias(f"s{i}") for i in k])
     top = F.greatest(*[F.col(f"s{i}") for i in k]) if len(domains) > 1 else F.col("s0")
     scored = scored.withColumn("top", top).select("row", "doc_id", "n_tokens", *[F.exp(F.col(f"s{i}") - F.col("top")).alias(f"e{i}") for i in k])
     total = sum((F.col(f"e{i}") for i in k), F.lit(0.0))

@@ -38,6 +38,24 @@ def test_mixture_meets_its_targets(spark, docs_of):
     assert sum(max(r.posterior, key=r.posterior.get) == ("clean", "low", "toxic")[r.doc_id % 3] for r in out) > 0.9 * len(out)
 
 
+def test_labels_do_not_score_their_own_rows(spark, docs_of):
+    """With labels at random and words of no meaning, labelled rows' posteriors know nothing of their labels."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(60)), "en", "s") for k in range(300)]
+    labels = [(k, 1, rng.randrange(2)) for k in range(300)]
+    docs, table = docs_of(rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    out = mixing.mix_documents(docs, mixing.labelled_domains(docs, table), DOMAINS).collect()
+    mean = lambda y: np.mean([r.posterior["toxic"] for r in out if labels[r.doc_id][2] == y])
+    assert abs(mean(1) - mean(0)) < 0.15
+
+
+def test_domain_without_labels_is_left_out(spark, docs_of):
+    rows, labels = corpus()
+    docs, table = docs_of(rows), spark.createDataFrame([r for r in labels if r[1]], "doc_id bigint, quality int, toxic int")
+    out = mixing.mix_documents(docs, mixing.labelled_domains(docs, table), DOMAINS).collect()
+    assert len(out) == len(rows) and all(r.posterior["low"] == 0 for r in out)
+
+
 def test_rates_match_a_direct_projected_gradient(spark):
     """The rates of cells are those of the same descent over single documents."""
     rng = np.random.default_rng(3)
