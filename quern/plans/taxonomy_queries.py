@@ -73,6 +73,6 @@ def tenancy_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("file_measure")
 def file_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test tables' own files, measured and sniffed as uploads are."""
-    from quern.sources.statements import measured, read_files
+    from quern.sources.statements import measured_below
 
-    return measured(read_files(spark, f"{sf_dir}/region.parquet").unionByName(read_files(spark, f"{sf_dir}/nation.parquet"))).select(F.element_at(F.split("path", "/"), -1).alias("file"), "file_sha256", "byte_length", "content_type", "failure_code")
+    return measured_below(spark, sf_dir).select(F.element_at(F.split("path", "/"), -1).alias("file"), "file_sha256", "byte_length", "content_type", "failure_code")

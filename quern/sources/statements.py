@@ -40,6 +40,13 @@ def measured(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("file_sha256"), F.col("length").alias("byte_length"), kind.alias("content_type"), F.when(F.col("length") > MOST_BYTES, "file_too_large").alias("failure_code"))
 
 
+def measured_below(spark: SparkSession, path: str) -> DataFrame:
+    """``measured`` for every file below ``path``; of a file over the limit only the length is read."""
+    files = read_files(spark, path)
+    large = files.where(F.col("length") > MOST_BYTES).select("path", F.lit(None).cast("string").alias("file_sha256"), F.col("length").alias("byte_length"), F.lit(None).cast("string").alias("content_type"), F.lit("file_too_large").alias("failure_code"))
+    return measured(files.where(F.col("length") <= MOST_BYTES)).unionByName(large)
+
+
 def sniff(raw: bytes) -> str:
     """The content type by the first bytes."""
     if raw.startswith(b"PK\x03\x04"):

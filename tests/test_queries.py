@@ -52,3 +52,24 @@ def test_no_money_is_a_double(spark):
     for name in QUERIES:
         for column, kind in QUERIES[name](spark, DATA).dtypes:
             assert not (column.endswith("_minor") and kind in ("double", "float")), (name, column)
+
+
+def test_every_file_is_measured(spark):
+    import hashlib
+
+    got = {r.file: r for r in QUERIES["file_measure"](spark, DATA).collect()}
+    assert set(got) == set(os.listdir(DATA)) and len(got) >= len(TABLES)
+    for name, r in got.items():
+        with open(f"{DATA}/{name}", "rb") as f:
+            raw = f.read()
+        assert (r.byte_length, r.file_sha256, r.failure_code) == (len(raw), hashlib.sha256(raw).hexdigest(), None)
+
+
+def test_large_file_is_not_read(spark, tmp_path):
+    from quern.sources import statements
+
+    (tmp_path / "small.csv").write_bytes(b"a;b")
+    with open(tmp_path / "large.csv", "wb") as f:
+        f.truncate(3 << 30)  # more than one value can hold: reading it would fail
+    got = {r.path.rpartition("/")[2]: (r.byte_length, r.file_sha256 is None, r.failure_code) for r in statements.measured_below(spark, str(tmp_path)).collect()}
+    assert got == {"small.csv": (3, False, None), "large.csv": (3 << 30, True, "file_too_large")}
