@@ -16,14 +16,14 @@ def _large_star(links: DataFrame, parts: int) -> DataFrame:
     """Each larger neighbour of a node is tied to the node's smallest neighbour."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(links: DataFrame, parts: int) -> DataFrame:
     """Each node and its smaller neighbours are tied to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = cut_lineage(down.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts))
-    tied = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    tied = down.join(least.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -32,7 +32,8 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     The table stays on the executors; the driver sees two sums a round. Each
     round is written to the checkpoint folder, and so are a round's sums by node:
-    joined from there, the many neighbours of a hub can be split over tasks. Null ends and loops are ignored;
+    joined from there, the many neighbours of a hub can be split over tasks. The
+    joins stay merges, so no round builds a table on the driver. Null ends and loops are ignored;
     no links give an empty table.
     """
     now = cut_lineage(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

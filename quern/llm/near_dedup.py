@@ -3,11 +3,13 @@
 Distinct word shingles are hashed once; the top bits of a hash choose a bin, the
 least hash of a bin stays, and an empty bin borrows from a full one along its
 own fixed order of bins (optimal densification). Bands of bins are the buckets.
-Each bucket ties its members to one hub only, and each tie is confirmed on the
-full sets. That finds nearly all links but may miss one between two members of
-which neither is the hub. So the buckets that still hold more than one component
-are looked through once more, in blocks of bounded size: sketches rule out pairs
-in the task, and what they leave is confirmed on the full sets as well.
+Each bucket ties its members to one hub only; a member is first compared with
+the hub it shares most buckets with, and each link is confirmed on the full
+sets. Two members may be linked although neither is a hub, so what still lies
+between two components is looked through once more: ties to other hubs, and, in
+buckets with strays outside their main component, the strays against the others,
+in blocks of bounded size. Sketches rule out pairs in the task, and what they
+leave is confirmed on the full sets as well.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BINS, BANDS = 128, 32
 SHIFT = U64(64 - BINS.bit_length() + 1)
 SKETCH = 256
 BLOCK = 256
+#: Five deviations: a sketch rules out a true pair about as seldom as the bands miss one.
+SLACK = 5
 
 
 def _orders(bins: int, seed: int = 11) -> np.ndarray:
@@ -101,11 +105,10 @@ def _full_sets(width: int):
 
 
 def close_pairs(sketches: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different labels and sides that may be alike in ``percent`` of their union, judged by their least hashes.
+    """Pairs of different labels and sides (0 or 1) that may be alike in ``percent`` of their union, judged by their least hashes.
 
-    side: 0 or 1; pairs are taken across sides, or all pairs if there is one
-    side. A set no larger than its sketch is judged by all its hashes; of others,
-    a pair goes on unless it falls short by more than three standard deviations.
+    A set no larger than its sketch is judged by all its hashes; of others, a
+    pair goes on unless it falls short by more than ``SLACK`` standard deviations.
     """
     m = len(sketches)
     owner = np.repeat(np.arange(m), [len(s) for s in sketches])
@@ -127,11 +130,10 @@ def close_pairs(sketches: list[np.ndarray], sizes: np.ndarray, label: np.ndarray
     below = np.array([np.searchsorted(s, cut, "right") for s in sketches])
     union = np.maximum(below + below.T - both, 1)
     whole = sizes <= [len(s) for s in sketches]
-    slack = np.where(whole[:, None] & whole[None, :], 0.0, 3 * np.sqrt(0.25 / union))
-    fit = (both / union >= percent / 100 - slack - 1e-9) & (100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes))
-    fit &= label[:, None] != label[None, :]
-    if side.any() and not side.all():
-        fit &= side[:, None] != side[None, :]
+    share = percent / 100
+    slack = np.where(whole[:, None] & whole[None, :], 0.0, SLACK * np.sqrt(share * (1 - share) / union))
+    fit = (both / union >= share - slack - 1e-9) & (100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes))
+    fit &= (label[:, None] != label[None, :]) & (side[:, None] != side[None, :])
     a, b = np.nonzero(np.triu(fit, 1))
     return a, b
 
@@ -157,10 +159,13 @@ def _block_pairs(percent: int):
             label, node, size = (cell.column(c).to_numpy() for c in ("component", "node", "n"))
             if len(label) < 2 or (label == label[0]).all():
                 continue
+            side = cell.column("side").to_numpy()
+            if side.all() or not side.any():
+                continue
             listed = cell.column("sketch").combine_chunks()
             flat, at = listed.values.to_numpy().view(np.uint32).astype(U64), listed.offsets.to_numpy()
             sketches = [flat[at[k] : at[k + 1]] for k in range(len(label))]
-            a, b = close_pairs(sketches, size, label, cell.column("side").to_numpy(), percent)
+            a, b = close_pairs(sketches, size, label, side, percent)
             yield pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(node[a], node[b])), "v": pa.array(np.minimum(node[a], node[b]))})
 
     return batches
@@ -186,9 +191,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     of white space, has no shingle and no link, and is kept.
 
     Two sets at exactly 75 percent share none of the 32 bands of four bins with
-    a chance of 5 in a million; a missed tie between two others' hubs has a
-    further chance of 1 in 700 to be ruled out by its sketch, if a set has over
-    256 shingles. Shingles and words are told apart by 64-bit hashes.
+    a chance of 5 in a million; a link that no hub shows has a further chance of
+    1 in a million or less to be ruled out by its sketches, if a set has over 256
+    shingles. Shingles and words are told apart by 64-bit hashes.
 
     Equal sets are one node from the start, so copies cost nothing further.
     Ids may repeat or be null (a null id never names a component unless all its
@@ -208,44 +213,59 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     spread = nodes.select("node", F.explode("bands").alias("key"))
     heads = cut_lineage(spread.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1"))
     bucketed = cut_lineage(spread.join(heads, "key"))
-    stars = bucketed.where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    stars = cut_lineage(stars)
+    stars = cut_lineage(bucketed.where("node != hub").groupBy(F.col("node").alias("u"), F.col("hub").alias("v")).agg(F.count(F.lit(1)).alias("bands")))
     wanted = stars.select("u").unionByName(stars.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "node")
     known = nodes.select("node", "set_key", F.col("doc_id").alias("__id")).join(wanted, "node")
     texts = rows.join(known, rows["doc_id"].eqNullSafe(known["__id"])).select("node", "set_key", "text")
     sets = cut_lineage(texts.mapInArrow(_full_sets(width), "node bigint, shingles array<bigint>"))
     if not docs.select(id_col).groupBy(id_col).count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["node"])
-    links = cut_lineage(confirmed(stars, sets, percent))
-    label = components(links)
 
-    # Buckets of three or more in which some pair was neither tied to the hub nor joined by other ties.
-    labelled = bucketed.where("c > 2").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = cut_lineage(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key"))
+    # First each node meets the hub it shares most bands with: of its ties the likeliest.
+    best = stars.groupBy("u").agg(F.min_by("v", F.struct(-F.col("bands"), F.col("v"))).alias("v"))
+    label = components(cut_lineage(confirmed(best, sets, percent)))
+
+    # Then what still lies between two components: the other ties, and pairs without the hub.
+    named = label.withColumnRenamed("component", "at")
+    ends = stars.join(named.withColumnRenamed("node", "u").withColumnRenamed("at", "cu"), "u", "left").join(named.withColumnRenamed("node", "v").withColumnRenamed("at", "cv"), "v", "left")
+    ties = ends.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+    rest = ties.unionByName(stray_pairs(bucketed, label, sets, percent)).distinct()
+    more = cut_lineage(confirmed(rest.join(best, ["u", "v"], "left_anti"), sets, percent))
+    joined = more.join(named.withColumnRenamed("node", "u").withColumnRenamed("at", "cu"), "u", "left").join(named.withColumnRenamed("node", "v").withColumnRenamed("at", "cv"), "v", "left")
+    between = components(joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+
+    found = feat.join(member_of, "set_key", "left").join(label, "node", "left").withColumn("at", F.coalesce("component", "node", "row")).drop("component")
+    found = found.join(between.withColumnRenamed("node", "at"), "at", "left").select("doc_id", "row", "n_shingles", F.coalesce("component", "at").alias("component"))
+    least = cut_lineage(found.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    out = found.join(least, "component")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def stray_pairs(bucketed: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v), u > v: pairs of a bucket that lie in two components and that their sketches do not rule out.
+
+    bucketed: key, node, c (members of the bucket). A bucket's largest component
+    needs no look within itself. Only its strays, the members outside of it, are
+    dealt to blocks of ``BLOCK``, and each block meets all members in blocks of
+    that size. A bucket of c members and s strays sends some 2 * s * c / BLOCK + c
+    rows; buckets without strays send none.
+    """
+    labelled = bucketed.where("c > 2").join(label, "node", "left").select("key", "node", "c", F.coalesce("component", "node").alias("component"))
+    held = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c"))
+    open_ = cut_lineage(held.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.max("c") - F.max("n")).alias("strays")).where("strays > 0"))
     # A sketch holds the upper halves of a set's least hashes; their order is that of the hashes.
     halves = F.transform(F.slice("shingles", 1, SKETCH), lambda h: F.shiftright(h, 32).cast("int"))
     sketches = sets.select("node", F.size("shingles").cast("bigint").alias("n"), halves.alias("sketch"))
-    grid = F.expr(f"int((c + {BLOCK - 1}) div {BLOCK})")
-    own = F.pmod(F.xxhash64("node"), F.col("grid")).cast("int")
-    cells = (
-        labelled.join(open_, "key", "left_semi")
-        .withColumn("grid", grid)
-        .withColumn("own", own)
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("grid") - 1)))
-        .select("key", "node", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"))
-        .join(sketches, "node")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
-    )
-    rest = cells.select("key", "i", "j", "node", "component", "side", "n", "sketch").mapInArrow(_block_pairs(percent), "u bigint, v bigint").distinct()
-    more = confirmed(rest.join(stars, ["u", "v"], "left_anti"), sets, percent)
-    label = components(links.unionByName(more))
-
-    named = feat.join(member_of, "set_key", "left").join(label, "node", "left")
-    named = named.select("doc_id", "row", "n_shingles", F.coalesce("component", "node", "row").alias("component"))
-    least = cut_lineage(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    out = named.join(least, "component")
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    met = labelled.join(open_, "key")
+    into = lambda n: F.expr(f"int(({n} + {BLOCK - 1}) div {BLOCK})")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), into(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = met.where("component != main").select("key", "node", "component", F.lit(0).alias("side"), dealt("strays").alias("i"), upto(into("c")).alias("j"))
+    # A stray answers the blocks up to its own, so two strays meet in one of their two cells, or in both of one block.
+    blocks_of = F.when(F.col("component") == F.col("main"), into("strays")).otherwise(dealt("strays") + 1)
+    answers = met.select("key", "node", "component", F.lit(1).alias("side"), upto(blocks_of).alias("i"), dealt("c").alias("j"))
+    cells = asked.unionByName(answers).join(sketches, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return cells.select("key", "i", "j", "node", "component", "side", "n", "sketch").mapInArrow(_block_pairs(percent), "u bigint, v bigint")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -63,6 +63,28 @@ def test_large_group_with_links_that_miss_the_hub(docs_of):
     assert got(nd.near_groups(docs_of(rows))) == brute(rows)
 
 
+def test_a_bucket_of_thousands_matches_brute_force(docs_of):
+    """One bucket of 5,000 edited copies, in which many links have no hub; shared shingles are those of the base alone."""
+    rng, n, length = np.random.default_rng(6), 5000, 60
+    held = np.ones((n, length - 4), np.float32)
+    rows = []
+    for k in range(n):
+        words = [f"w{x}" for x in range(length)]
+        for at in rng.choice(length, rng.integers(0, 5), replace=False):
+            words[at] = f"new{k}x{at}"
+            held[k, max(0, at - 4) : at + 1] = 0
+        rows.append((k, " ".join(words)))
+    both = held @ held.T
+    alike = (100 * both >= 75 * (2 * (length - 4) - both)) | np.eye(n, dtype=bool)
+    root = np.arange(n)
+    while True:
+        least = np.where(alike, root[None, :], n).min(1)
+        if (least == root).all():
+            break
+        root = least
+    assert {k: v[1] for k, v in got(nd.near_groups(docs_of(rows))).items()} == dict(enumerate(root.tolist()))
+
+
 def test_blocks_of_a_large_bucket(docs_of, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 16)
     rng = random.Random(9)
