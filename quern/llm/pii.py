@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,27 +19,50 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[ A-Z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _BARE_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,}={0,2}(?![A-Za-z0-9_+/=-])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone")
+# The length of an account number by country, of ISO 13616.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: Groups of four, each after a space or none, to the country's length.
+_IBAN = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])") for n in set(IBAN_LENGTH.values())}
+
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone", "secret")
 #: What a span is worth before its context is read, and after a checksum held.
-WORTH = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "local_phone": 0.3}
-#: Words within ``REACH`` characters before a span that raise or lower it.
+WORTH = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "local_phone": 0.3, "secret": 0.3}
+#: Whole words within ``REACH`` characters before a span that raise or lower it.
 FOR = {
-    "email": ("mail", "contact", "write to"),
+    "email": ("mail", "email", "contact", "write to"),
     "ip": ("ip", "address", "host", "server"),
     "card": ("card", "visa", "mastercard", "credit", "payment"),
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social security", "tax id"),
     "local_phone": ("phone", "call", "tel", "mobile", "fax"),
+    "secret": ("token", "secret", "key", "apikey", "password", "passwd", "pwd", "credential", "credentials", "bearer"),
 }
 AGAINST = ("version", "example", "isbn", "order no", "serial", "part no")
 REACH = 40
 LEAST = 0.5
+#: Bits a character that a secret's own characters must carry.
+LEAST_BITS = 3.0
+
+
+def _any_word(found: tuple[str, ...]) -> re.Pattern:
+    return re.compile("(?<![^\\W_])(?:" + "|".join(map(re.escape, found)) + ")(?![^\\W_])")
+
+
+_FOR, _AGAINST = {kind: _any_word(w) for kind, w in FOR.items()}, _any_word(AGAINST)
 
 
 class Span(NamedTuple):
@@ -98,9 +123,12 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x):
+    done = 0
+    for head in _IBAN_HEAD.finditer(text):
+        n = IBAN_LENGTH.get(head[0][:2])
+        if n and head.start() >= done and (m := _IBAN[n].match(text, head.start())) and mod97(m[0].replace(" ", "")):
             yield m.span()
+            done = m.end()
 
 
 def _ssns(text: str) -> Iterator[tuple[int, int]]:
@@ -109,25 +137,43 @@ def _ssns(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Long runs with letters and digits, drawn from many characters."""
+    for m in _SECRET.finditer(text):
+        run = m[0]
+        if any(map(str.isdigit, run)) and any(map(str.isalpha, run)):
+            share = [n / len(run) for n in Counter(run).values()]
+            if -sum(p * math.log2(p) for p in share) >= LEAST_BITS:
+                yield m.span()
+
+
 _BASE = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones}
-_ADDED = {"iban": _ibans, "ssn": _ssns, "local_phone": lambda text: (m.span() for m in _BARE_PHONE.finditer(text))}
+_ADDED = {"iban": _ibans, "ssn": _ssns, "local_phone": lambda text: (m.span() for m in _BARE_PHONE.finditer(text)), "secret": _secrets}
 
 
 def _score(text: str, kind: str, start: int) -> float:
     near = text[max(0, start - REACH) : start].casefold()
-    return WORTH[kind] + 0.3 * any(w in near for w in FOR[kind]) - 0.3 * any(w in near for w in AGAINST)
+    return WORTH[kind] + 0.3 * bool(_FOR[kind].search(near)) - 0.3 * bool(_AGAINST.search(near))
 
 
 def find_spans(text: str) -> list[Span]:
-    """All spans by kind, then start. Base kinds stay whatever their score; others need ``LEAST`` and no base span over them."""
+    """All spans by kind, then start. Base kinds stay whatever their score; others need ``LEAST`` and no base span over them.
+
+    Spans of two kinds may lie over each other or be equal; each kind keeps its own.
+    """
     found = [Span(kind, a, b, round(min(1.0, max(0.0, _score(text, kind, a))), 2), True) for kind, f in _BASE.items() for a, b in f(text)]
-    taken = sorted((s.start, s.end) for s in found)
+    taken: list[list[int]] = []  # of base spans, merged where they meet
+    for a, b in sorted((s.start, s.end) for s in found):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
     for kind, f in _ADDED.items():
         k = 0
         for a, b in f(text):
             while k < len(taken) and taken[k][1] <= a:
                 k += 1
-            clear = all(e <= a or s >= b for s, e in taken[k : k + 4])
+            clear = k == len(taken) or taken[k][0] >= b
             if clear and (score := _score(text, kind, a)) >= LEAST:
                 found.append(Span(kind, a, b, round(min(1.0, score), 2), False))
     return found
@@ -168,7 +214,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans and all spans as text."""
+    """Counts of the base kinds, the digest of the base spans, all spans as text, and their number."""
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in _BASE], F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in _BASE], F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))

@@ -195,6 +195,35 @@ def test_long_runs_are_read_once():
         pii.find_spans(run)
 
 
+def test_context_words_are_whole_words():
+    kinds = lambda t: [s.kind for s in pii.find_spans(t) if not s.base]
+    assert kinds("hotel 555-123-4567") == [] and kinds("tel 555-123-4567") == ["local_phone"]
+    plain, described, hosted = (pii.find_spans(f"{w} 10.0.0.1")[0].score for w in ("x", "the recipient's description", "host"))
+    assert plain == described < hosted
+
+
+def test_iban_ends_with_its_country_s_length():
+    found = lambda t: [(s.start, s.end) for s in pii.find_spans(t) if s.kind == "iban"]
+    assert found("BE68 5390 0754 7034 PAID") == [(0, 19)] and found("iban BE68539007547034, and") == [(5, 21)]
+    assert found("BE68 5390 0754 7035") == [] and found("ZZ68 5390 0754 7034") == [] and found("BE685390075470341") == []
+
+
+def test_secrets_need_a_context_and_many_characters():
+    run = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    kinds = lambda t: [s.kind for s in pii.find_spans(t) if not s.base]
+    assert kinds(f'token = "{run}"') == ["secret"] and kinds(f"api_key: {run}") == ["secret"]
+    assert kinds(run) == [] and kinds("token " + "a1" * 20) == [] and kinds("token " + "abcdefghij" * 4) == []
+
+
+def test_added_spans_keep_clear_of_every_base_span():
+    """More than four base spans of other kinds lie over the added one."""
+    text = "call " + "+1 (212) 555-0199 " * 6 + "ssn 219-09-9999 mail " + "a.219-09-9999@b.co"
+    spans = pii.find_spans(text)
+    base = [(s.start, s.end) for s in spans if s.base]
+    added = [(s.start, s.end) for s in spans if not s.base]
+    assert added and all(e <= a or s >= b for a, b in base for s, e in added)
+
+
 def test_personal_data_rows(docs_of):
     rows = [(1, None), (2, ""), (3, "x@y.zz +1234567890"), (3, "x@y.zz +1234567890")]
     out = sorted(tuple(r) for r in pii.digest_columns(pii.find_personal_data(docs_of(rows))).collect())
