@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import cut_lineage, whole_text, words
 
-#: metric: numerator, denominator, scale, smallest spread, which fences count.
-METRICS: dict[str, tuple[str, str, int, int, str]] = {
-    "word_length": ("word_chars", "n_words", 100, 100, "both"),
-    "symbols": ("n_symbols", "n_words", 10_000, 500, "high"),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 2_000, "high"),
-    "repeats": ("n_repeat_words", "n_words", 10_000, 1_000, "high"),
+#: metric: numerator, what is added to it, denominator, scale, whether low values are fenced as well.
+#: One is added to counts that are mostly zero, so that every text has a place on a scale of ratios.
+METRICS: dict[str, tuple[str, int, str, int, bool]] = {
+    "word_length": ("word_chars", 0, "n_words", 100, True),
+    "symbols": ("n_symbols", 1, "n_words", 1_000_000, False),
+    "dup_lines": ("n_dup_lines", 1, "n_lines", 1_000_000, False),
+    "repeats": ("n_repeat_words", 1, "n_words", 1_000_000, False),
 }
 
 
+def value_sql(metric: str, div: str = "div") -> str:
+    """A metric's whole value, at least 1; the integer division's name differs between engines."""
+    num, plus, den, scale, _ = METRICS[metric]
+    return f"greatest(({scale} * ({num} + {plus})) {div} greatest({den}, 1), 1)"
+
+
 def _neighbours_equal(sorted_array: Column, key) -> Column:
     """The elements whose key equals that of the element before or after."""
     last = F.size(sorted_array) - 1
@@ -69,23 +76,32 @@ def sketch(counts: DataFrame, by: list[str]) -> DataFrame:
     any number of rows. Sketches merge by adding n.
     """
     width = lambda v: F.expr(f"shiftleft(1L, greatest(length(bin({v})) - 6, 0))")
-    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(f"({scale}L * {num}) div greatest({den}, 1L)").alias("value")) for m, (num, den, scale, _, _) in METRICS.items()])
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(value_sql(m)).alias("value")) for m in METRICS])
     long = counts.select(*by, F.explode(values).alias("x")).select(*by, "x.metric", "x.value")
     return long.groupBy(*by, "metric", (F.col("value") - F.pmod(F.col("value"), width("value"))).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fences(sketches: DataFrame, by: list[str], reach: int = 3) -> DataFrame:
-    """One row per group: rows, and lo_<metric>, hi_<metric>: the quartiles and ``reach`` spreads beyond."""
+    """One row per group: rows, and lo_<metric>, hi_<metric>: the quartiles and ``reach`` spreads beyond.
+
+    A spread is the ratio of the quartiles, so fences lie a few quartile
+    distances out on a scale of logarithms, and no unit of a metric is built in.
+    It is never taken for less than a sketch can tell, one part in 32.
+    """
     group = Window.partitionBy(*by, "metric")
     ranked = sketches.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("rows", F.sum("n").over(group))
-    at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * percent, F.col("bucket")))
+    at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * percent, F.col("bucket"))).cast("double")
     quartiles = ranked.groupBy(*by, "metric").agg(F.max("rows").alias("rows"), at(25).alias("q1"), at(75).alias("q3"))
+    quartiles = quartiles.withColumn("spread", F.greatest(F.col("q3") / F.col("q1"), F.lit(1 + 1 / 32)))
+    beyond = F.lit(1.0)
+    for _ in range(reach):
+        beyond = beyond * F.col("spread")
     out = [F.max("rows").alias("rows")]
-    for m, (_, _, _, least, side) in METRICS.items():
-        mine = lambda e: F.max(F.when(F.col("metric") == m, F.expr(e)))  # noqa: B023, E731
-        out.append(mine(f"q3 + {reach} * greatest(q3 - q1, {least})").alias(f"hi_{m}"))
-        if side == "both":
-            out.append(mine(f"q1 - {reach} * greatest(q3 - q1, {least})").alias(f"lo_{m}"))
+    for m, (*_, low) in METRICS.items():
+        mine = lambda e: F.max(F.when(F.col("metric") == m, e))  # noqa: B023, E731
+        out.append(mine(F.col("q3") * beyond).alias(f"hi_{m}"))
+        if low:
+            out.append(mine(F.col("q1") / beyond).alias(f"lo_{m}"))
     return quartiles.groupBy(*by).agg(*out)
 
 
@@ -95,9 +111,9 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A document fails the base with under 50 words or over half of its words in
     repeated windows. Of the others, sketches of each metric are kept for each
     (language, source) and merged upwards to languages and to the whole; a
-    document is kept unless a metric lies more than ``reach`` spreads (the
-    distance of the quartiles, or a stated least) outside the quartiles of its
-    group. A group of fewer than ``least_rows`` rows takes the fences of its
+    document is kept unless a metric lies more than ``reach`` spreads outside the
+    quartiles of its group. A text without the fault that a metric counts never
+    crosses its fence. A group of fewer than ``least_rows`` rows takes the fences of its
     language, and a small language those of all documents.
 
     The table of fences has a row per (language, source) and is joined, not
@@ -112,18 +128,18 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fine = sketch(counts.where(~F.col("base_failed")), ["lang", "source"])
     by_lang = fine.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy(F.lit("all").alias("every"), "metric", "bucket").agg(F.sum("n").alias("n"))
-    limits = [c for m, x in METRICS.items() for c in [f"hi_{m}"] + [f"lo_{m}"] * (x[4] == "both")]
+    limits = [c for m, (*_, low) in METRICS.items() for c in [f"hi_{m}"] + [f"lo_{m}"] * low]
     whole = fences(overall, ["every"], reach).first()  # one row: the fences of all documents
     f, g = fences(fine, ["lang", "source"], reach).alias("f"), fences(by_lang, ["lang"], reach).alias("g")
     joined = f.join(g, F.col("f.lang").eqNullSafe(F.col("g.lang")))
-    pick = lambda c: F.when(F.col("f.rows") >= least_rows, F.col(f"f.{c}")).when(F.col("g.rows") >= least_rows, F.col(f"g.{c}")).otherwise(F.lit(whole[c] if whole else None).cast("bigint"))
+    pick = lambda c: F.when(F.col("f.rows") >= least_rows, F.col(f"f.{c}")).when(F.col("g.rows") >= least_rows, F.col(f"g.{c}")).otherwise(F.lit(whole[c] if whole else None).cast("double"))
     limit = joined.select(F.col("f.lang").alias("t_lang"), F.col("f.source").alias("t_source"), *[pick(c).alias(c) for c in limits])
     d = counts.join(limit, counts["lang"].eqNullSafe(limit["t_lang"]) & counts["source"].eqNullSafe(limit["t_source"]), "left")
     crossed = []
-    for m, (num, den, scale, _, side) in METRICS.items():
-        value = F.expr(f"({scale}L * {num}) div greatest({den}, 1L)")
-        out = value > F.col(f"hi_{m}")
-        out = out | (value < F.col(f"lo_{m}")) if side == "both" else out
+    for m, (num, *_, low) in METRICS.items():
+        value = F.expr(value_sql(m))
+        out = (value > F.col(f"hi_{m}")) & (F.col(num) > 0)
+        out = out | (value < F.col(f"lo_{m}")) if low else out
         crossed.append(F.when(out & ~F.col("base_failed"), F.lit(m)))
     d = d.withColumn("failed", F.array_join(F.array_compact(F.array(*crossed)), ","))
     return d.select(
@@ -139,7 +155,7 @@ def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", **options) -> Data
 
 def oracle() -> str:
     """DuckDB SQL for the rows of ``judge_quality`` with its default settings."""
-    values = ",\n  ".join(f"('{m}', ({scale} * {num}) // greatest({den}, 1), {least}, {str(side == 'both').lower()})" for m, (num, den, scale, least, side) in METRICS.items())
+    values = ",\n  ".join(f"('{m}', {value_sql(m, '//')}, {num}, {low})" for m, (num, *_, low) in METRICS.items())
     return f"""
 WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -161,22 +177,23 @@ counts AS (
 judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
 values_of AS (
-  SELECT doc_id, lang, source, base_failed, v.metric, v.value::BIGINT AS value, v.least, v.low
+  SELECT doc_id, lang, source, base_failed, v.metric, v.value::BIGINT AS value, v.num, v.low
   FROM judged, LATERAL (VALUES
-  {values}) AS v(metric, value, least, low)),
+  {values}) AS v(metric, value, num, low)),
 bucketed AS (
   SELECT *, value - value % (1::BIGINT << greatest(length(bin(value)) - 6, 0)) AS bucket FROM values_of WHERE NOT base_failed),
 levels AS (
-  SELECT lang, source, metric, least, bucket, count(*) AS n, grouping(lang, source) AS level
-  FROM bucketed GROUP BY GROUPING SETS ((lang, source, metric, least, bucket), (lang, metric, least, bucket), (metric, least, bucket))),
+  SELECT lang, source, metric, bucket, count(*) AS n, grouping(lang, source) AS level
+  FROM bucketed GROUP BY GROUPING SETS ((lang, source, metric, bucket), (lang, metric, bucket), (metric, bucket))),
 upto AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto,
          sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM levels),
 fence AS (
-  SELECT level, lang, source, metric, q3 + 3 * greatest(q3 - q1, least) AS hi, q1 - 3 * greatest(q3 - q1, least) AS lo, total
-  FROM (SELECT level, lang, source, metric, least, max(total) AS total,
-               min(bucket) FILTER (WHERE upto * 100 >= total * 25) AS q1, min(bucket) FILTER (WHERE upto * 100 >= total * 75) AS q3
-        FROM upto GROUP BY ALL)),
+  SELECT level, lang, source, metric, total, q3 * (1.0::DOUBLE * spread * spread * spread) AS hi, q1 / (1.0::DOUBLE * spread * spread * spread) AS lo
+  FROM (SELECT *, greatest(q3 / q1, 1.03125::DOUBLE) AS spread
+        FROM (SELECT level, lang, source, metric, max(total) AS total,
+                     min(bucket) FILTER (WHERE upto * 100 >= total * 25)::DOUBLE AS q1, min(bucket) FILTER (WHERE upto * 100 >= total * 75)::DOUBLE AS q3
+              FROM upto GROUP BY ALL))),
 crossed AS (
   SELECT v.doc_id, string_agg(v.metric, ',' ORDER BY list_position({list(METRICS)}, v.metric)) AS failed
   FROM values_of v
@@ -184,7 +201,7 @@ crossed AS (
   JOIN fence g ON g.level = 1 AND g.metric = v.metric AND g.lang IS NOT DISTINCT FROM v.lang
   JOIN fence h ON h.level = 3 AND h.metric = v.metric
   WHERE NOT v.base_failed
-    AND (v.value > CASE WHEN f.total >= 200 THEN f.hi WHEN g.total >= 200 THEN g.hi ELSE h.hi END
+    AND (v.num > 0 AND v.value > CASE WHEN f.total >= 200 THEN f.hi WHEN g.total >= 200 THEN g.hi ELSE h.hi END
       OR v.low AND v.value < CASE WHEN f.total >= 200 THEN f.lo WHEN g.total >= 200 THEN g.lo ELSE h.lo END)
   GROUP BY v.doc_id)
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
