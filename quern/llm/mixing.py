@@ -18,8 +18,10 @@ from quern.llm.common import cut_lineage, whole_text, words
 
 #: Features a word is hashed to; the classifier's table has this many rows, whatever the corpus.
 FEATURES = 32_768
-#: Posteriors are counted in this many parts.
-PARTS = 32
+#: Documents whose posteriors round to the same parts share a cell when rates are fitted; a cell keeps their mean.
+PARTS = 256
+#: Labelled rows that are learned from, about and at most.
+MOST_ROWS = 20_000
 #: Texts are dealt to so many folds; a text is scored by weights learned from the labels of the other folds.
 FOLDS = 4
 
@@ -35,7 +37,7 @@ def word_features(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
     return docs.select(*keep, F.explode(words(lower)).alias("__word")).select(*keep, F.pmod(F.xxhash64("__word"), F.lit(FEATURES)).cast("int").alias("feature"))
 
 
-def fit_domains(labelled: DataFrame, domains: list[str], text_col: str = "text", domain_col: str = "domain", most_rows: int | None = 20_000) -> DataFrame:
+def fit_domains(labelled: DataFrame, domains: list[str], text_col: str = "text", domain_col: str = "domain") -> DataFrame:
     """feature, w (an array): log p(feature | domain) for the domains in their order, for each fold in turn.
 
     The numbers of a fold are learned from the labelled rows of all other folds,
@@ -45,19 +47,14 @@ def fit_domains(labelled: DataFrame, domains: list[str], text_col: str = "text",
     mixture of all labelled rows. Words that a small domain never saw then speak
     neither for it nor against it.
 
-    About ``most_rows`` labelled rows at most are learned from, chosen by a hash
-    of the text; None takes all. The result has ``FEATURES`` rows and one more,
-    feature -1, with the log priors. A domain without labels has the prior
-    zero, so no text is of it; if no domain has any, all are alike. Null labels
-    are left out.
+    All rows given are learned from (``labelled_domains`` bounds them). The
+    result has ``FEATURES`` rows and one more, feature -1, with the log priors. A
+    domain without labels has the prior zero, so no text is of it; if no domain
+    has any, all are alike. Null labels are left out.
     """
     rows = labelled.where(F.col(domain_col).isin(domains)).select(F.col(text_col).alias("text"), F.col(domain_col).alias("domain"))
-    if most_rows is not None:
-        n = rows.count()
-        if n > most_rows:
-            rows = rows.where(F.pmod(F.xxhash64(F.lit("mixing"), "text"), F.lit(1_000_003)) < int(1_000_003 * most_rows / n))
     k, folds = range(len(domains)), range(FOLDS)
-    rows = rows.withColumn("fold", fold_of())
+    rows = cut_lineage(rows.withColumn("fold", fold_of()))
     # Of each fold, the rows of the others.
     count_of = [F.sum(((F.col("domain") == domains[i]) & (F.col("fold") != f)).cast("bigint")).alias(f"n{f}_{i}") for f in folds for i in k]
     counted = cut_lineage(word_features(rows, "text", "domain", "fold").groupBy("feature").agg(*count_of))
@@ -77,7 +74,7 @@ def fit_domains(labelled: DataFrame, domains: list[str], text_col: str = "text",
 
 
 def domain_posteriors(docs: DataFrame, weights: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, n_tokens and p0, p1, ...: the posterior in whole ``PARTS``-ths that sum to ``PARTS``.
+    """row, doc_id, n_tokens and p0, p1, ...: the posterior, as doubles that sum to one.
 
     A document's log likelihood is the sum over its words, divided by the fourth
     root of their number: words of one text are not independent, and the plain
@@ -103,18 +100,12 @@ def domain_posteriors(docs: DataFrame, weights: DataFrame, domains: list[str], i
     top = F.greatest(*[F.col(f"s{i}") for i in k]) if len(domains) > 1 else F.col("s0")
     scored = scored.withColumn("top", top).select("row", "doc_id", "n_tokens", *[F.exp(F.col(f"s{i}") - F.col("top")).alias(f"e{i}") for i in k])
     total = sum((F.col(f"e{i}") for i in k), F.lit(0.0))
-    # Cumulative rounding keeps the parts whole and their sum exact.
-    upto: list[Column] = [F.lit(0).cast("int")]
-    run = F.lit(0.0)
-    for i in k:
-        run = run + F.col(f"e{i}")
-        upto.append(F.round(PARTS * run / total, 0).cast("int"))
-    return scored.select("row", "doc_id", "n_tokens", *[(upto[i + 1] - upto[i]).alias(f"p{i}") for i in k])
+    return scored.select("row", "doc_id", "n_tokens", *[(F.col(f"e{i}") / total).alias(f"p{i}") for i in k])
 
 
 def rate_of(steps: list[list[float]], domains: list[str], most: float | None) -> Column:
     """The rate that the recorded gradient steps lead to from 1, projected after each."""
-    parts = F.array(*[F.col(f"p{i}").cast("double") for i in range(len(domains))])
+    parts = F.array(*[F.col(f"p{i}") for i in range(len(domains))])
     rate = F.lit(1.0)
     taken = F.array(*[F.array(*[F.lit(float(g)) for g in step]) for step in steps]) if steps else F.array().cast("array<array<double>>")
     moved = lambda x, g: x - F.aggregate(F.zip_with(g, parts, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
@@ -122,59 +113,90 @@ def rate_of(steps: list[list[float]], domains: list[str], most: float | None) ->
     return F.aggregate(taken, rate, lambda x, g: kept(moved(x, g)))
 
 
-def fit_rates(posteriors: DataFrame, targets: Mapping[str, float], domains: list[str], rounds: int = 40, most: float | None = None) -> list[list[float]]:
+def domain_mass(rows: DataFrame, domains: list[str], rate: Column | None = None) -> list[float]:
+    """Expected tokens of each domain at the given rates (one, if none): K sums to the driver."""
+    x = F.lit(1.0) if rate is None else rate
+    sums = rows.agg(*[F.coalesce(F.sum(x * F.col("n_tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"t{i}") for i in range(len(domains))])
+    return list(sums.first())
+
+
+def fit_rates(posteriors: DataFrame, targets: Mapping[str, float], domains: list[str], rounds: int = 60, most: float | None = None) -> list[list[float]]:
     """Gradient steps, one number for each domain and round, for ``rate_of``.
 
-    ``targets``: tokens wanted of each domain. The posteriors are whole parts,
-    so documents of one posterior have one rate: their tokens are summed once
-    by a shuffle, to at most C(PARTS + K - 1, K - 1) rows for K domains, and
-    each round is an aggregation of that table whose K sums go to the driver.
-    Distances to the targets are taken relative to the domains' tokens at rate
-    one, and a document's step is not scaled by its own tokens; in that metric
-    the gradient's largest slope is one, so steps of length one converge. A
-    domain without any posterior is left out.
+    ``targets``: tokens wanted of each domain. Documents whose posteriors round
+    to the same ``PARTS``-ths are one cell, with their tokens and their mean
+    posterior, so a cell's expected tokens are exact whatever its rate; the
+    cells are summed once by a shuffle, and each round is an aggregation of them
+    whose K sums go to the driver. Distances to the targets are taken relative
+    to the domains' tokens at rate one, and a document's step is not scaled by
+    its own tokens; in that metric the gradient's largest slope is one, so steps
+    of length one converge. A domain without any posterior is left out.
     """
     k = range(len(domains))
-    cells = cut_lineage(posteriors.groupBy(*[f"p{i}" for i in k]).agg(F.sum("n_tokens").cast("double").alias("tokens")))
-    mass = cells.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}") / PARTS), F.lit(0.0)) for i in k]).first()
+    cell = [F.round(F.col(f"p{i}") * PARTS).cast("int").alias(f"c{i}") for i in k]
+    tokens = F.sum("n_tokens").cast("double")
+    cells = cut_lineage(posteriors.where("n_tokens > 0").groupBy(*cell).agg(tokens.alias("n_tokens"), *[(F.sum(F.col("n_tokens") * F.col(f"p{i}")) / tokens).alias(f"p{i}") for i in k]))
+    mass = domain_mass(cells, domains)
     if not sum(mass):
         return []
     wanted = [float(targets[d]) for d in domains]
     steps: list[list[float]] = []
     for _ in range(rounds):
-        rated = cells.withColumn("rate", rate_of(steps, domains, most))
-        now = rated.agg(*[F.coalesce(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p{i}") / PARTS), F.lit(0.0)).alias(f"t{i}") for i in k]).first()
-        off = [round((now[i] - wanted[i]) / mass[i], 9) if mass[i] else 0.0 for i in k]
+        now = domain_mass(cells, domains, rate_of(steps, domains, most))
+        off = [round((now[i] - wanted[i]) / mass[i], 12) if mass[i] else 0.0 for i in k]
         if max(map(abs, off)) < 1e-5:
             break
-        steps.append([x / PARTS for x in off])
+        steps.append(off)
     return steps
 
 
-def mix_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", total_tokens: float | None = None, rounds: int = 40, most_rate: float | None = None, seed: int = 7, most_rows: int | None = 20_000) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, posterior (map), rate, copies.
+def reachable_tokens(posteriors: DataFrame, weights: Mapping[str, float]) -> float:
+    """The largest total whose share of no domain exceeds what the domain has at rate one; domains without text do not count."""
+    domains, whole = list(weights), float(sum(weights.values()))
+    return min((m * whole / weights[d] for d, m in zip(domains, domain_mass(posteriors, domains), strict=True) if m and weights[d]), default=0.0)
+
+
+def mix_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", total_tokens: float | None = None, rounds: int = 60, most_rate: float | None = None, seed: int = 7) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, posterior (map), rate, copies, target (map).
 
     ``weights``: the share of tokens wanted of each domain; they are scaled to
-    sum to one and times ``total_tokens`` (the corpus's own number if None).
-    ``copies`` is the rate rounded down or up by a seeded hash of the id, so its
-    mean is the rate. ``most_rate`` bounds the rates in the fit as well.
+    sum to one and times ``total_tokens``. If that is None, it is the corpus's
+    own number of tokens, or, if ``most_rate`` bounds the rates, the
+    ``reachable_tokens`` times that bound. ``target`` holds the tokens that were
+    aimed at, ``expected_mixture`` what the rates lead to. ``copies`` is the rate
+    rounded down or up by a seeded hash of the id, so its mean is the rate.
 
     No task holds more than its share: features are summed map-side, rows are
-    told apart by number, posteriors are folded into a table of bounded size.
-    A null or empty text has no tokens and the posterior of the priors; null
-    labels and labels beyond ``weights`` are not learned from; repeated rows get
-    equal rates, and equal copies if their ids are equal; further columns are
-    ignored; an empty table gives an empty result.
+    told apart by number, posteriors are folded into cells. A null or empty text
+    has no tokens and the posterior of the priors; null labels and labels beyond
+    ``weights`` are not learned from; repeated rows get equal rates, and equal
+    copies if their ids are equal; further columns are ignored; an empty table
+    gives an empty result.
     """
     domains = list(weights)
-    posteriors = cut_lineage(domain_posteriors(docs, fit_domains(labelled, domains, text_col, domain_col, most_rows), domains, id_col, text_col))
-    tokens = total_tokens if total_tokens is not None else float(posteriors.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
+    posteriors = cut_lineage(domain_posteriors(docs, fit_domains(labelled, domains, text_col, domain_col), domains, id_col, text_col))
+    if total_tokens is not None:
+        tokens = total_tokens
+    elif most_rate is not None:
+        tokens = most_rate * reachable_tokens(posteriors, weights)
+    else:
+        tokens = float(posteriors.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
     whole = float(sum(weights.values()))
-    steps = fit_rates(posteriors, {d: tokens * w / whole for d, w in weights.items()}, domains, rounds, most_rate)
+    targets = {d: tokens * w / whole for d, w in weights.items()}
+    steps = fit_rates(posteriors, targets, domains, rounds, most_rate)
     draw = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_003)) + 0.5) / 1_000_003
-    posterior = F.map_from_arrays(F.array(*[F.lit(d) for d in domains]), F.array(*[F.col(f"p{i}") / PARTS for i in range(len(domains))]))
+    named = lambda values: F.map_from_arrays(F.array(*[F.lit(d) for d in domains]), F.array(*values))
     rated = posteriors.withColumn("rate", F.round(rate_of(steps, domains, most_rate), 6))
-    return rated.select("doc_id", "n_tokens", posterior.alias("posterior"), "rate", F.floor(F.col("rate") + draw).cast("bigint").alias("copies"))
+    return rated.select("doc_id", "n_tokens", named([F.col(f"p{i}") for i in range(len(domains))]).alias("posterior"), "rate", F.floor(F.col("rate") + draw).cast("bigint").alias("copies"), named([F.lit(targets[d]) for d in domains]).alias("target"))
+
+
+def expected_mixture(mixed: DataFrame) -> DataFrame:
+    """domain, target, expected, off: what the rates of ``mix_documents`` lead to, and its distance from the target as a share of all targets."""
+    whole = F.aggregate(F.map_values("target"), F.lit(0.0), lambda a, b: a + b).alias("whole")
+    pairs = F.map_entries(F.map_zip_with("target", "posterior", lambda _, t, p: F.struct(t.alias("t"), p.alias("p"))))
+    each = mixed.select("n_tokens", "rate", whole, F.explode(pairs).alias("e"))
+    sums = each.groupBy(F.col("e.key").alias("domain")).agg(F.max("whole").alias("whole"), F.max("e.value.t").alias("target"), F.sum(F.col("rate") * F.col("n_tokens") * F.col("e.value.p")).alias("expected"))
+    return sums.select("domain", "target", "expected", F.try_divide(F.col("expected") - F.col("target"), "whole").alias("off"))
 
 
 def take_mixture(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", **options) -> DataFrame:
@@ -185,7 +207,19 @@ def take_mixture(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, flo
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*[docs[c] for c in docs.columns])
 
 
-def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and domain of the documents in the table of labels: ``toxic``, ``low`` or ``clean``."""
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
-    return docs.select("doc_id", "text").join(labels.select("doc_id", domain.alias("domain")), "doc_id")
+def labelled_domains(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """text and domain of the documents in the table of labels: ``toxic``, ``low`` or ``clean``.
+
+    Of the labels about ``most_rows`` at most are taken, chosen by a hash of the
+    id, before they meet the documents; so they are sent to the documents, and no
+    text is shuffled. A document labelled more than once is toxic if any label
+    says so, then low; rows without id, or with neither label, are left out. Ids
+    that documents repeat give a row for each.
+    """
+    domain = F.when(F.max("toxic") == 1, "toxic").when(F.min("quality") == 0, "low").when(F.min("quality") == 1, "clean")
+    said = labels.where("doc_id is not null").groupBy("doc_id").agg(domain.alias("domain")).where("domain is not null")
+    said = cut_lineage(said.withColumn("__draw", F.pmod(F.xxhash64(F.lit("mixing"), "doc_id"), F.lit(1_000_003))))
+    n = said.count()
+    if n > most_rows:
+        said = said.where(F.col("__draw") < int(1_000_003 * most_rows / n))
+    return docs.select("doc_id", "text").join(F.broadcast(said.select("doc_id", "domain")), "doc_id").select("text", "domain")

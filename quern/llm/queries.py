@@ -41,7 +41,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labelled = mixing.labelled_domains(docs, table(spark, sf_dir, "labels"))
     mixed = mixing.mix_documents(docs, labelled, MIXTURE)
-    return mixed.select("doc_id", "n_tokens", *[mixed["posterior"][d].alias(f"p_{d}") for d in MIXTURE], "rate", "copies")
+    return mixed.select("doc_id", "n_tokens", *[mixed["posterior"][d].alias(f"p_{d}") for d in MIXTURE], "rate", "copies", *[mixed["target"][d].alias(f"target_{d}") for d in MIXTURE])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

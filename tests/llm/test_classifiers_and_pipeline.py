@@ -59,12 +59,12 @@ def test_domain_without_labels_is_left_out(spark, docs_of):
 def test_rates_match_a_direct_projected_gradient(spark):
     """The rates of cells are those of the same descent over single documents."""
     rng = np.random.default_rng(3)
-    parts = rng.multinomial(mixing.PARTS, [0.6, 0.3, 0.1], 50)
+    parts = rng.multinomial(mixing.PARTS, [0.6, 0.3, 0.1], 50) / mixing.PARTS
     tokens = rng.integers(1, 500, 50)
-    rows = spark.createDataFrame([(int(t), *map(int, p)) for t, p in zip(tokens, parts, strict=True)], "n_tokens bigint, p0 int, p1 int, p2 int")
+    rows = spark.createDataFrame([(int(t), *map(float, p)) for t, p in zip(tokens, parts, strict=True)], "n_tokens bigint, p0 double, p1 double, p2 double")
     targets = dict(zip(DOMAINS, (0.2 * tokens.sum(), 0.5 * tokens.sum(), 0.0), strict=True))
     steps = mixing.fit_rates(rows, targets, list(DOMAINS), rounds=25)
-    x, p = np.ones(50), parts / mixing.PARTS
+    x, p = np.ones(50), parts
     mass, want = (p * tokens[:, None]).sum(0), np.array(list(targets.values()))
     for _ in range(25):
         off = ((x * tokens) @ p - want) / mass
@@ -73,6 +73,59 @@ def test_rates_match_a_direct_projected_gradient(spark):
     assert got == pytest.approx(x.tolist(), abs=1e-6)
 
 
+def test_targets_are_met_on_the_test_tables(spark):
+    """Expected tokens of each domain come within a ten-thousandth of all tokens of their targets."""
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(sf):
+        pytest.skip("no test tables here")
+    from quern.llm.queries import MIXTURE
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mixed = mixing.mix_documents(docs, mixing.labelled_domains(docs, spark.read.parquet(f"{sf}/labels.parquet")), MIXTURE)
+    out = {r.domain: r for r in mixing.expected_mixture(mixed).collect()}
+    assert set(out) == set(MIXTURE) and all(abs(r.off) < 1e-4 for r in out.values())
+
+
+def test_labels_are_bounded_and_count_once(spark, docs_of):
+    docs = docs_of([(k, f"t{k}") for k in range(400)])
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(400)] + [(0, 0, 1), (1, 0, 0), (1, 0, 0), (2, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    out = dict(map(tuple, mixing.labelled_domains(docs, labels).collect()))
+    assert len(out) == 400 and out["t0"] == "toxic" and out["t1"] == "low" and out["t2"] == "clean"
+    assert 20 < mixing.labelled_domains(docs, labels, most_rows=100).count() < 200
+
+
+def test_posteriors_match_brute_force(spark, docs_of):
+    """Naive Bayes with folds, in plain Python over the same hashed features."""
+    import math
+    from collections import Counter
+
+    rows, table = corpus(40)
+    docs = docs_of(rows)
+    labelled = mixing.labelled_domains(docs, spark.createDataFrame(table, "doc_id bigint, quality int, toxic int"))
+    domains = list(DOMAINS)
+    got = {r.doc_id: [r.posterior[d] for d in domains] for r in mixing.mix_documents(docs, labelled, DOMAINS).collect()}
+    feature = {r.w: r.f for r in spark.createDataFrame(sorted({w for _, t, *_ in rows for w in t.lower().split()}), "string").selectExpr("value AS w", f"pmod(xxhash64(value), {mixing.FEATURES}) AS f").collect()}
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", mixing.fold_of().alias("f")).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    of_text = {t: fold[i] for i, t in texts.items()}
+    known = [(r.text, domains.index(r.domain)) for r in labelled.collect()]
+    for i, t in texts.items():
+        own = [(x, d) for x, d in known if of_text[x] != fold[i]]
+        n = [Counter(feature[w] for x, d in own if d == k for w in x.lower().split()) for k in range(len(domains))]
+        total = [sum(c.values()) for c in n]
+        words = [feature[w] for w in t.lower().split()]
+        score = []
+        for k in range(len(domains)):
+            labels = [sum(d == j for _, d in own) for j in range(len(domains))]
+            prior = math.log((labels[k] + 1) / (sum(labels) + len(domains))) if labels[k] else -math.inf
+            weight = lambda f: math.log((n[k][f] + mixing.FEATURES * (sum(c[f] for c in n) + 1) / (sum(total) + mixing.FEATURES)) / (total[k] + mixing.FEATURES))  # noqa: B023, E731
+            score.append(prior + sum(map(weight, words)) / max(1, len(words)) ** 0.25)
+        e = [math.exp(s - max(score)) for s in score]
+        assert got[i] == pytest.approx([x / sum(e) for x in e], abs=1e-9)
+
+
 def test_mixture_edges(spark, docs_of):
     rows, labels = corpus(30)
     rows += [(100, None), (101, ""), (102, " \n"), (5, "alpha"), (None, "spam")]
