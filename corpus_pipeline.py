@@ -2,6 +2,13 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again,
 and returns the columns of documents; the last one returns ids for the text.
+
+All stages treat rows as their operators do. A null or empty text is a document
+of its own: the quality rules reject it, the later stages would keep one of its
+exact copies, never call it a near copy, give it the mean rate of its priors and
+encode it as no ids. Rows that repeat an id share their fate. Ids may be null;
+they are matched null-safe. Further columns are kept, whatever their names but
+those that begin with two underscores. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, mixing
-from quern.llm.common import cut_lineage, table
+from quern.llm.common import checkpoint_folder, table
 from quern.llm.exact_dedup import drop_exact_copies
 from quern.llm.near_dedup import drop_near_copies
 from quern.llm.quality_rules import drop_low_quality
-from quern.llm.queries import MIXTURE
+
+#: Token shares that rates of at most one can reach where clean text prevails: clean text stays whole, low and toxic text is thinned.
+KEPT_MIXTURE = {"clean": 0.985, "low": 0.01, "toxic": 0.005}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +45,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic and low text is thinned to its share; no rate is above one, so no document is repeated."""
+    """Low and toxic text is thinned to its share of what clean text there is; no rate is above one, so no document is repeated.
+
+    The total is the largest that rates of one can reach in every domain; so the
+    targets are the clean text's own tokens and their shares of the others.
+    """
     labelled = mixing.labelled_domains(docs, table(spark, sf_dir, "labels"))
-    return mixing.take_mixture(docs, labelled, MIXTURE, most_rate=1.0)
+    return mixing.take_mixture(docs, labelled, KEPT_MIXTURE, most_rate=1.0)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,20 +75,25 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder before the next reads them."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's rows are written to the shared folder before the next reads them.
+
+    A stage's folder is removed once its successor's is written; the one that
+    the last, lazy stage reads stays.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = written(spark, docs)
+            docs, path = written(spark, docs)
+            if before is not None:
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            before = path
     return docs
 
 
-def written(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` as Parquet in the checkpoint folder, read again."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        return cut_lineage(docs)
-    path = f"{sc.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+def written(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` as Parquet in the checkpoint folder, read again, and its path."""
+    path = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs.write.parquet(path)
-    return spark.read.schema(docs.schema).parquet(path)
+    return spark.read.schema(docs.schema).parquet(path), path
