@@ -90,72 +90,102 @@ def test_base_scores(docs_of, hot):
     """With no hot word, a few, or all: what is broadcast doesn't change the scores."""
     rows = [(k, " ".join(f"w{(k * j) % 23}" for j in range(k % 30))) for k in range(60)] + [(100, None), (101, ""), (102, "W1 unseen unseen É É"), (103, "W1 w1\x0bw1")]
     n, want = brute_base(rows)
-    for r in brown_lm.score_texts(docs_of(rows), clustered=10, exchanged=3, shapes=4, hot_words=hot).collect():
+    for r in brown_lm.score_texts(docs_of(rows), classes=3, exchanged_words=hot, hot_words=hot).collect():
         assert (r.n_tokens, r.n_known, r.train_tokens) == (*want[r.doc_id][:2], n)
         assert r.base_score == pytest.approx(want[r.doc_id][2], abs=1e-9)
 
 
-def test_scores_do_not_depend_on_the_split(docs_of):
+def test_scores_do_not_depend_on_what_is_broadcast(docs_of):
     rows = [(k, " ".join(f"w{(k * j) % 23}" for j in range(k % 30))) for k in range(60)]
-    few, many = ({r.doc_id: r.score for r in brown_lm.score_texts(docs_of(rows), clustered=5, exchanged=3, shapes=4, hot_words=h).collect()} for h in (12, 1000))
+    few, many = ({r.doc_id: r.score for r in brown_lm.score_texts(docs_of(rows), classes=3, exchanged_words=5, hot_words=h).collect()} for h in (5, 1000))
     assert few == pytest.approx(many)
 
 
-def test_model_sums_to_one_over_words():
-    """Over the words of a class and one unseen, emissions sum to one; so do transitions."""
-    n = np.array([5, 2, 1])
-    total = n.sum() + len(n) / 2 + 0.5
-    assert ((n + 0.5).sum() + 0.5) / total == pytest.approx(1)
-
-
-def test_exchange_never_lowers_the_likelihood():
+def hashed(word):
+    return int(brown_lm.tokens(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))[0][0])
+
+
+@pytest.mark.parametrize(("exchanged", "hot"), [(0, 0), (6, 10), (1000, 1000)])
+def test_scores_match_brute_force(docs_of, exchanged, hot):
+    """Given the learned classes, counts, transitions and scores follow in plain Python; each seen word has a class."""
+    rows = [(k, " ".join(f"w{(k * j * j) % 29}" for j in range(k % 40)) + f" once{k}") for k in range(70)] + [(200, None), (201, "new words w1 new"), (202, "w1 " * 500 + "w2")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    split = lambda t: (t or "").split()
+    train = [split(t) for i, t in rows if not held(i)]
+    model, others = brown_lm.fit(docs_of([(i, t) for i, t in rows if not held(i)]).select("text"), 3, exchanged, hot)
+    found = {r.word % 2**64: (r.n, r["class"]) for r in others.collect()}
+    moved = {int(w): (int(n), int(c)) for w, n, c in zip(model.word, model.n, model.cls, strict=True) if int(w) not in found}
+    count = Counter(w for t in train for w in t)
+    cls = {}
+    for w, n in count.items():
+        known, cls[w] = (moved | found)[hashed(w)]
+        assert known == n and (cls[w] == 3) == (n == 1 and hashed(w) in found)
+    assert len(moved) + len(found) == len(count) and (len(moved) > 0) == (exchanged > 0)
+    is_moved = lambda w: w is None or hashed(w) in moved
+    cls[None] = 4
+    rest = Counter(cls[w] for t in train for w in t if not is_moved(w))
+    total = sum(rest.values())
+    table = np.zeros((5, 5))
+    for t in train:
+        for x, y in zip([None, *t], [*t, None], strict=True):
+            if is_moved(x) or is_moved(y):
+                table[cls[x], cls[y]] += 1
+            else:
+                table[cls[x]] += [rest[c] / total for c in range(5)]
+    step = np.log10((table + 1) / (table.sum(1, keepdims=True) + 5))
+    n_class, v_class = np.zeros(5), np.zeros(5)
+    for w, n in (count | {None: len(train)}).items():
+        n_class[cls[w]] += n
+        v_class[cls[w]] += 1
+    n_class[3] += 0.5
+    emit = lambda w: math.log10(((len(train) if w is None else count[w]) + 0.5) / (n_class + v_class / 2)[cls.get(w, 3)])
+    for r in brown_lm.score_texts(docs_of(rows), 3, exchanged, hot).collect():
+        t = split(dict(rows)[r.doc_id])
+        want = sum(step[cls.get(x, 3), cls.get(y, 3)] + emit(y) for x, y in zip([None, *t], [*t, None], strict=True))
+        assert r.score == pytest.approx(want, abs=1e-8)
+    # After each class, all words, one unseen word and the end sum to one.
+    filled = v_class > 0
+    share = [sum(10 ** emit(w) for w in cls if cls[w] == c) + (c == 3) * 0.5 / (n_class + v_class / 2)[3] for c in range(5)]
+    assert np.array(share)[filled] == pytest.approx(1)
+
+
+@pytest.mark.parametrize("exchanged", [4, 1000])
+def test_words_of_one_context_come_to_one_class(docs_of, exchanged):
+    """Words after "a" and words after "b" are told apart, by exchange or by the one step of the other words."""
+    number = lambda k, j: 0 if j % 2 else 1 + (k + j) % 8
+    rows = [(k, " ".join(f"a x{number(k, j)} b y{number(3 * k, j)}" for j in range(20))) for k in range(60)]
+    model, others = brown_lm.fit(docs_of(rows).select("text"), 4, exchanged, 1000)
+    of = {int(w): int(c) for w, c in zip(model.word, model.cls, strict=True)}
+    x, y = ({of[hashed(f"{c}{j}")] for j in range(9)} for c in "xy")
+    assert max(x | y) < 4 and not x & y and model.total == sum(len(t.split()) + 1 for _, t in rows)
+
+
+def test_exchange_never_lowers_the_likelihood(docs_of):
     rng = np.random.default_rng(1)
-    cls = brown_lm.Classes(np.unique(rng.integers(1, 1 << 60, 40).astype(np.uint64)), 5, 3)
-    width = len(cls.word) + 4
-    pair, n = np.unique((rng.integers(0, width, 4000) // 3 * 3) % width * width + rng.integers(0, width, 4000), return_counts=True)
-
-    def likelihood():
-        of, t = cls.all_classes(), np.zeros((cls.count, cls.count))
-        np.add.at(t, (of[pair // width], of[pair % width]), n)
-        x = lambda a: (a * np.log(np.maximum(a, 1))).sum()
-        return x(t) - x(t.sum(1)) - x(t.sum(0))
-
-    seen = [likelihood()]
-    for _ in range(3):
-        brown_lm.exchange(cls, pair // width, pair % width, n, 1)
-        seen.append(likelihood())
+    rows = [(k, " ".join(f"w{min(rng.geometric(0.08), 40)}" if j % 2 else f"v{min(rng.geometric(0.2), 12)}" for j in range(60))) for k in range(80)]
+    texts = docs_of(rows).select("text")
+    n = brown_lm.count_words(texts).where(f"word != {int(brown_lm.END)}").toPandas()
+    lexicon = brown_lm.Lexicon(n["word"].to_numpy(np.int64).view(np.uint64), n["n"].to_numpy())
+    near = brown_lm.neighbours(texts, lexicon, salts=3)
+    x = lambda a: (a * np.log(np.maximum(a, 1))).sum()
+    seen = []
+    for rounds in (0, 1, 6):
+        table = brown_lm.Exchange(near, lexicon, 5).run(most_rounds=rounds)
+        assert table.sum() == sum(len(t.split()) + 1 for _, t in rows)
+        seen.append(x(table) - x(table.sum(1)) - x(table.sum(0)))
     assert seen == sorted(seen) and seen[-1] > seen[0]
 
 
-def test_words_beyond_the_most_frequent_get_learned_classes(docs_of):
-    """Words after "a" and words after "b" are told apart, though only two words are clustered first."""
-    rows = [(k, " ".join(f"a x{(k + j) % 40} b y{(k * 3 + j) % 40}" for j in range(30))) for k in range(200)]
-    score = lambda least: sum(r.score for r in brown_lm.score_texts(docs_of(rows), clustered=2, exchanged=4, shapes=4, least_count=least).collect())
-    assert score(50) > score(10**6) + 1000
-
-
-def test_exchange_over_the_corpus(docs_of):
-    """Words of one context come to one class; words of another to another."""
-    rows = [(k, " ".join(f"a x{(k + j) % 9} b y{(k * 2 + j) % 9}" for j in range(20))) for k in range(60)]
-    of = lambda t: brown_lm.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0][:-1]
-    word = np.unique(of("a b " + " ".join(f"x{j} y{j}" for j in range(9))))
-    cls = brown_lm.Classes(word, 4, 3)
-    cls.of = cls.shape_of(word)
-    for k, seed in enumerate("a b x0 y0".split()):
-        cls.of[word == of(seed)] = k
-    seeds = np.isin(word, of("a b x0 y0"))
-    table = brown_lm.exchange_all(docs_of(rows).select("text"), cls, seeds)
-    x, y = (set(cls.of[np.isin(word, of(" ".join(f"{c}{j}" for j in range(9))))].tolist()) for c in "xy")
-    assert max(x | y) < 4 and not x & y and table.sum() == sum(len(t.split()) + 1 for _, t in rows)
-
-
 def test_class_model_beats_unigrams_on_held_out_text(docs_of, sample):
     out = [r for r in brown_lm.score_texts(docs_of(sample)).collect() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_lm_empty(docs_of):
+def test_lm_empty_and_long(docs_of):
     assert brown_lm.score_texts(docs_of([])).count() == 0
+    rows = [(None, "a b"), (1, "a b"), (1, "a b"), (2, "a " * 300_000)]
+    out = brown_lm.score_texts(docs_of(rows), exchanged_words=0, hot_words=0).collect()
+    assert sorted(r.n_tokens for r in out) == [3, 3, 3, 300_001] and all(r.score < 0 for r in out)
 
 
 # Personal data.
