@@ -1,20 +1,25 @@
-"""Statement files as a stream: each new file is parsed, checked and appended once.
+"""Statement files as a stream: each new file is measured, parsed, checked and appended once.
 
 The stages of one batch run inside ``foreachBatch`` with an ``availableNow``
-trigger; a file whose digest is in the ledger's file table is not read again.
+trigger. A file whose digest was imported is not read again; a file that failed
+is recorded with the reason, and is tried again when it comes again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions.periods import try_parse_date
 from quern.functions.text import counterparty_key, normalize_description
-from quern.operators.dedup import content_key, dedup_hash
+from quern.operators.dedup import content_key, dedup_hash, split_reimports, with_occurrence
+from quern.operators.validate import file_warnings, outcomes, row_errors
+from quern.sources.sinks import write_ledger
 from quern.sources.statements import measured, statement_lines, statements
 
+FILES_SCHEMA = "path string, file_sha256 string, byte_length bigint, content_type string, failure_code string, detail string, error_count bigint, warning_count bigint"
+HASH_SCHEMA = "dedup_hash string, txn_id string, batch_id string, created_on timestamp, org_id string, month string"
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -39,29 +44,92 @@ def ledger_rows(lines: DataFrame) -> DataFrame:
     return rows.withColumn("content_key", content_key(F.col("account"), F.col("booked_on"), F.col("amount_minor"), F.col("currency"), F.col("description_norm"), none, none, F.col("posting_no")))
 
 
-def import_batch(files: DataFrame, ledger_path: str, files_path: str) -> None:
-    """Imports the files not seen before; rows that the ledger holds already are left out."""
-    from quern.operators.dedup import with_occurrence
+def errors_of(lines: DataFrame, today: str) -> DataFrame:
+    """The row checks over statement lines, whose amounts are read again from the file's own text."""
+    typed = lines.select(
+        F.col("path").alias("batch_id"),
+        "line_no",
+        "currency",
+        "account",
+        "booked_on",
+        F.coalesce("debit_raw", F.lit("")).alias("debit"),
+        F.coalesce("credit_raw", F.lit("")).alias("credit"),
+        "description",
+        F.col("counterparty_name").alias("counterparty"),
+        "document_no",
+    )
+    return row_errors(typed, today)
+
 
+def warnings_of(parsed: DataFrame, lines: DataFrame) -> DataFrame:
+    """The checks of whole statements."""
+    files = parsed.select(F.col("path").alias("batch_id"), "currency", "opening_minor", "closing_minor", try_parse_date(F.col("period_from")).alias("period_from"), try_parse_date(F.col("period_to")).alias("period_to"), "declared_rows")
+    rows = lines.select(F.col("path").alias("batch_id"), "currency", try_parse_date(F.col("booked_on")).alias("booked_on"), "document_no", "counterparty_account", "debit_minor", "credit_minor")
+    return file_warnings(rows, files)
+
+
+def import_batch(files: DataFrame, ledger_path: str, files_path: str, org_id: str = "org", today: str | None = None, accept_warnings: bool = True) -> None:
+    """Imports the files not imported before.
+
+    A file that is too large, that no parser reads, or of which a row fails a
+    check is recorded with ``failure_code`` file_too_large, unreadable or
+    rejected, and none of its rows is written; the errors go to
+    ``<files_path>-errors``. Files with warnings alone are imported, unless
+    ``accept_warnings`` is false; then they are recorded as needs_override.
+
+    Of rows of one batch that share a hash the one of the smallest path and line
+    stays; that one is skipped as well if the ledger has its hash. Skips are
+    recorded as level D3 in ``<files_path>-skips``. Only the months that the
+    batch touches are read of the ledger: a hash holds the day, so a copy lies in
+    its own month. A batch that is run again after a failure finds its rows there.
+    """
     spark = files.sparkSession
-    seen = _read(spark, files_path, "path string, file_sha256 string, byte_length bigint, content_type string, failure_code string")
-    new = measured(files).dropDuplicates(["file_sha256"]).join(seen.select("file_sha256"), "file_sha256", "left_anti")
-    fresh = files.join(new.where("failure_code is null").select("path"), "path", "left_semi")
-    rows = with_occurrence(ledger_rows(statement_lines(statements(fresh))))
-    rows = rows.withColumn("dedup_hash", dedup_hash(F.col("content_key"), F.col("occurrence")))
-    stored = _read(spark, ledger_path, "dedup_hash string")
-    rows.join(stored.select("dedup_hash"), "dedup_hash", "left_anti").write.mode("append").parquet(ledger_path)
-    new.select("path", "file_sha256", "byte_length", "content_type", "failure_code").write.mode("append").parquet(files_path)
+    today = today or str(spark.sql("SELECT current_date()").first()[0])
+    seen = _read(spark, files_path, FILES_SCHEMA).where("failure_code IS NULL").select("file_sha256")
+    first = measured(files).withColumn("__rn", F.row_number().over(Window.partitionBy("file_sha256").orderBy("path"))).where("__rn = 1").drop("__rn")
+    new = first.join(seen, "file_sha256", "left_anti").persist()
+    parsed = statements(files.join(new.where("failure_code IS NULL").select("path"), "path", "left_semi")).persist()
+    lines = statement_lines(parsed)
+    errors = errors_of(lines, today).persist()
+    readable = parsed.where("error IS NULL")
+    judged = outcomes(readable.select(F.col("path").alias("batch_id")), errors, warnings_of(readable, lines)).withColumnRenamed("batch_id", "path")
+    judged = judged.join(parsed.select("path", "error"), "path", "full")
+    refused = F.col("outcome") == "valid_with_warnings" if not accept_warnings else F.lit(False)
+    code = F.when(F.col("error").isNotNull(), "unreadable").when(F.col("outcome") == "rejected", "rejected").when(refused, "needs_override")
+    judged = judged.withColumn("said", code).persist()
+
+    rows = with_occurrence(ledger_rows(lines.join(judged.where("said IS NULL").select("path"), "path", "left_semi")))
+    rows = rows.withColumn("dedup_hash", dedup_hash(F.col("content_key"), F.col("occurrence"))).withColumn("created_on", F.current_timestamp())
+    months = [r[0] for r in rows.select(F.date_format("booked_on", "yyyy-MM")).distinct().collect()]  # as many as a statement spans
+    stored = _read(spark, ledger_path, HASH_SCHEMA).where((F.col("org_id").cast("string") == org_id) & F.col("month").isin(months))
+    copies = Window.partitionBy("dedup_hash").orderBy("batch_id", "line_no")
+    numbered = rows.withColumn("__rn", F.row_number().over(copies)).withColumns({"__txn": F.first("txn_id").over(copies), "__batch": F.first("batch_id").over(copies)})
+    insert, known = split_reimports(numbered.where("__rn = 1").drop("__rn", "__txn", "__batch"), stored.select("dedup_hash", "created_on", "txn_id", "batch_id"))
+    insert, known = insert.persist(), known.persist()
+    again = numbered.where("__rn > 1").select("dedup_hash", "batch_id", "line_no", F.lit("D3").alias("level"), F.col("__txn").alias("matched_txn_id"), F.col("__batch").alias("matched_batch_id"))
+    skips = known.select("dedup_hash", "batch_id", "line_no", "level", "matched_txn_id", "matched_batch_id").unionByName(again).persist()
+    skips.count()  # told apart before the ledger grows
+    record = new.join(judged.select("path", "said", F.col("error").alias("detail"), "error_count", "warning_count"), "path", "left")
+    record = record.withColumn("failure_code", F.coalesce("failure_code", "said")).select("path", "file_sha256", "byte_length", "content_type", "failure_code", "detail", "error_count", "warning_count")
+
+    none = F.lit(None)
+    if not insert.isEmpty():
+        write_ledger(insert.withColumns({"org_id": F.lit(org_id), "base_amount_minor": none.cast("bigint"), "base_currency": none.cast("string")}), ledger_path)
+    skips.write.mode("append").parquet(f"{files_path}-skips")
+    errors.write.mode("append").parquet(f"{files_path}-errors")
+    record.write.mode("append").parquet(files_path)
+    for held in (skips, insert, known, judged, errors, parsed, new):
+        held.unpersist()
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table that may not exist yet."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def stream_files(spark: SparkSession, inbox: str, ledger_path: str, files_path: str, checkpoint: str) -> StreamingQuery:
-    """Imports every file that is there and ends."""
+def stream_files(spark: SparkSession, inbox: str, ledger_path: str, files_path: str, checkpoint: str, **options) -> StreamingQuery:
+    """Imports every file that is there and ends; ``options`` are those of ``import_batch``."""
     source = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(inbox).select("path", "length", "content")
-    return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: import_batch(batch, ledger_path, files_path)).start()
+    return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: import_batch(batch, ledger_path, files_path, **options)).start()

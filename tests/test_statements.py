@@ -112,3 +112,48 @@ def test_stream_imports_each_row_once(spark, tmp_path):
     rows = spark.read.parquet(where[0]).orderBy("booked_on").collect()
     assert [r.amount_minor for r in rows] == [-5000, 1000, 100]
     assert rows[0].counterparty_key == "tax:190000001"
+
+
+def streamed(spark, tmp_path, contents, **options):
+    """The tables after one run over files of the given contents: rows, files, skips, errors."""
+    from quern.streaming.ingest import stream_files
+
+    inbox = tmp_path / "in"
+    inbox.mkdir(exist_ok=True)
+    for name, raw in contents.items():
+        (inbox / name).write_bytes(raw)
+    ledger, files, cp = (str(tmp_path / x) for x in ("ledger", "files", "cp"))
+    stream_files(spark, str(inbox), ledger, files, cp, **options).awaitTermination(180)
+    read = lambda path: spark.read.parquet(path).collect()
+    return read(ledger), {r.path.rpartition("/")[2]: r for r in read(files)}, read(f"{files}-skips"), read(f"{files}-errors")
+
+
+def test_stream_keeps_one_row_of_two_overlapping_files(spark, tmp_path):
+    longer = sample(ROWS + "\n07.01.2024;3;0,00;1,00;C;190000003;BY3;x")
+    rows, files, skips, _ = streamed(spark, tmp_path, {"a.csv": sample(ROWS), "b.csv": longer})
+    assert sorted(r.amount_minor for r in rows) == [-5000, 100, 1000] and len({r.dedup_hash for r in rows}) == 3
+    assert [(s.level, s.batch_id.rpartition("/")[2], s.matched_batch_id.rpartition("/")[2]) for s in skips] == [("D3", "b.csv", "a.csv")] * 2
+    assert all(f.failure_code is None for f in files.values())
+
+
+def test_stream_records_what_it_cannot_import(spark, tmp_path):
+    bad = sample("32.01.2024;1;12x;0,00;A;190000001;BY1;Оплата\n06.01.2024;2;0,00;10,00;B;190000002;BY2;Возврат")
+    rows, files, _, errors = streamed(spark, tmp_path, {"good.csv": sample(ROWS), "bad.csv": bad, "noise.csv": b"nothing at all"})
+    assert len(rows) == 2 and all(r.booked_on is not None for r in rows)
+    assert {k: f.failure_code for k, f in files.items()} == {"good.csv": None, "bad.csv": "rejected", "noise.csv": "unreadable"}
+    assert "unknown format" in files["noise.csv"].detail and files["bad.csv"].error_count == len(errors) > 0
+
+
+def test_stream_holds_back_warnings_if_asked(spark, tmp_path):
+    rows = sample(ROWS, closing="0,00;61,00")
+    from quern.streaming.ingest import import_batch
+    from quern.sources.statements import read_files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "w.csv").write_bytes(rows)
+    files = read_files(spark, str(tmp_path / "in"))
+    where = [str(tmp_path / x) for x in ("ledger", "files")]
+    import_batch(files, *where, accept_warnings=False)
+    assert [r.failure_code for r in spark.read.parquet(where[1]).collect()] == ["needs_override"]
+    import_batch(files, *where)
+    assert spark.read.parquet(where[0]).count() == 2
