@@ -8,23 +8,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ISO 4217 codes and the number of their minor-unit digits.
-_EXPONENTS = """
-AED 2, AFN 2, ALL 2, AMD 2, ANG 2, AOA 2, ARS 2, AUD 2, AWG 2, AZN 2, BAM 2, BBD 2, BDT 2, BGN 2,
-BHD 3, BIF 0, BMD 2, BND 2, BOB 2, BOV 2, BRL 2, BSD 2, BTN 2, BWP 2, BYN 2, BZD 2, CAD 2, CDF 2,
-CHE 2, CHF 2, CHW 2, CLF 4, CLP 0, CNY 2, COP 2, COU 2, CRC 2, CUC 2, CUP 2, CVE 2, CZK 2, DJF 0,
-DKK 2, DOP 2, DZD 2, EGP 2, ERN 2, ETB 2, EUR 2, FJD 2, FKP 2, GBP 2, GEL 2, GHS 2, GIP 2, GMD 2,
-GNF 0, GTQ 2, GYD 2, HKD 2, HNL 2, HTG 2, HUF 2, IDR 2, ILS 2, INR 2, IQD 3, IRR 2, ISK 0, JMD 2,
-JOD 3, JPY 0, KES 2, KGS 2, KHR 2, KMF 0, KPW 2, KRW 0, KWD 3, KYD 2, KZT 2, LAK 2, LBP 2, LKR 2,
-LRD 2, LSL 2, LYD 3, MAD 2, MDL 2, MGA 2, MKD 2, MMK 2, MNT 2, MOP 2, MRU 2, MUR 2, MVR 2, MWK 2,
-MXN 2, MXV 2, MYR 2, MZN 2, NAD 2, NGN 2, NIO 2, NOK 2, NPR 2, NZD 2, OMR 3, PAB 2, PEN 2, PGK 2,
-PHP 2, PKR 2, PLN 2, PYG 0, QAR 2, RON 2, RSD 2, RUB 2, RWF 0, SAR 2, SBD 2, SCR 2, SDG 2, SEK 2,
-SGD 2, SHP 2, SLE 2, SOS 2, SRD 2, SSP 2, STN 2, SVC 2, SYP 2, SZL 2, THB 2, TJS 2, TMT 2, TND 3,
-TOP 2, TRY 2, TTD 2, TWD 2, TZS 2, UAH 2, UGX 0, USD 2, USN 2, UYI 0, UYU 2, UYW 4, UZS 2, VED 2,
-VES 2, VND 0, VUV 0, WST 2, XAF 0, XAG 0, XAU 0, XBA 0, XBB 0, XBC 0, XBD 0, XCD 2, XDR 0, XOF 0,
-XPD 0, XPF 0, XPT 0, XSU 0, XUA 0, YER 2, ZAR 2, ZMW 2, ZWL 2
-"""
-
-EXPONENT: dict[str, int] = {code: int(digits) for code, digits in (x.split() for x in _EXPONENTS.replace("\n", " ").split(",") if x.strip())}
+EXPONENT: dict[str, int] = {
+    "AED": 2, "AFN": 2, "ALL": 2, "AMD": 2, "ANG": 2, "AOA": 2, "ARS": 2, "AUD": 2, "AWG": 2, "AZN": 2, "BAM": 2, "BBD": 2,
+    "BDT": 2, "BGN": 2, "BHD": 3, "BIF": 0, "BMD": 2, "BND": 2, "BOB": 2, "BOV": 2, "BRL": 2, "BSD": 2, "BTN": 2, "BWP": 2,
+    "BYN": 2, "BZD": 2, "CAD": 2, "CDF": 2, "CHE": 2, "CHF": 2, "CHW": 2, "CLF": 4, "CLP": 0, "CNY": 2, "COP": 2, "COU": 2,
+    "CRC": 2, "CUC": 2, "CUP": 2, "CVE": 2, "CZK": 2, "DJF": 0, "DKK": 2, "DOP": 2, "DZD": 2, "EGP": 2, "ERN": 2, "ETB": 2,
+    "EUR": 2, "FJD": 2, "FKP": 2, "GBP": 2, "GEL": 2, "GHS": 2, "GIP": 2, "GMD": 2, "GNF": 0, "GTQ": 2, "GYD": 2, "HKD": 2,
+    "HNL": 2, "HTG": 2, "HUF": 2, "IDR": 2, "ILS": 2, "INR": 2, "IQD": 3, "IRR": 2, "ISK": 0, "JMD": 2, "JOD": 3, "JPY": 0,
+    "KES": 2, "KGS": 2, "KHR": 2, "KMF": 0, "KPW": 2, "KRW": 0, "KWD": 3, "KYD": 2, "KZT": 2, "LAK": 2, "LBP": 2, "LKR": 2,
+    "LRD": 2, "LSL": 2, "LYD": 3, "MAD": 2, "MDL": 2, "MGA": 2, "MKD": 2, "MMK": 2, "MNT": 2, "MOP": 2, "MRU": 2, "MUR": 2,
+    "MVR": 2, "MWK": 2, "MXN": 2, "MXV": 2, "MYR": 2, "MZN": 2, "NAD": 2, "NGN": 2, "NIO": 2, "NOK": 2, "NPR": 2, "NZD": 2,
+    "OMR": 3, "PAB": 2, "PEN": 2, "PGK": 2, "PHP": 2, "PKR": 2, "PLN": 2, "PYG": 0, "QAR": 2, "RON": 2, "RSD": 2, "RUB": 2,
+    "RWF": 0, "SAR": 2, "SBD": 2, "SCR": 2, "SDG": 2, "SEK": 2, "SGD": 2, "SHP": 2, "SLE": 2, "SOS": 2, "SRD": 2, "SSP": 2,
+    "STN": 2, "SVC": 2, "SYP": 2, "SZL": 2, "THB": 2, "TJS": 2, "TMT": 2, "TND": 3, "TOP": 2, "TRY": 2, "TTD": 2, "TWD": 2,
+    "TZS": 2, "UAH": 2, "UGX": 0, "USD": 2, "USN": 2, "UYI": 0, "UYU": 2, "UYW": 4, "UZS": 2, "VED": 2, "VES": 2, "VND": 0,
+    "VUV": 0, "WST": 2, "XAF": 0, "XAG": 0, "XAU": 0, "XBA": 0, "XBB": 0, "XBC": 0, "XBD": 0, "XCD": 2, "XDR": 0, "XOF": 0,
+    "XPD": 0, "XPF": 0, "XPT": 0, "XSU": 0, "XUA": 0, "YER": 2, "ZAR": 2, "ZMW": 2, "ZWL": 2,
+}
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -34,8 +34,10 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def exponent_of(code: Column) -> Column:
     """Minor-unit digits of a currency; null for a code that the table does not have."""
-    table = F.create_map(*[F.lit(x) for pair in EXPONENT.items() for x in pair])
-    return F.try_element_at(table, code)
+    out = F.lit(None).cast("int")
+    for digits in sorted(set(EXPONENT.values())):
+        out = F.when(code.isin([c for c, n in EXPONENT.items() if n == digits]), F.lit(digits)).otherwise(out)
+    return out
 
 
 def _known(code: Column, digits: Column, value: Column) -> Column:
@@ -55,18 +57,14 @@ def format_money(code: Column, minor: Column) -> Column:
 
 
 def try_parse_money(code: Column, text: Column) -> Column:
-    """Minor units of a decimal string; null if the currency is unknown, a digit is out of place or there are too many."""
+    """Minor units of a decimal string; null if the currency is unknown, a digit is out of place or there are too many.
 
-    def read(v: Column) -> Column:
-        body, digits = v["body"], v["digits"]
-        point = F.contains(body, F.lit("."))
-        fraction = F.when(point, F.substring_index(body, ".", -1)).otherwise(F.lit(""))
-        fits = body.rlike(r"^[0-9]+(\.[0-9]*)?$") & (F.length(fraction) <= digits) & ~(point & (digits == 0))
-        padded = F.concat(F.substring_index(body, ".", 1), fraction, F.repeat(F.lit("0"), F.greatest(digits - F.length(fraction), F.lit(0)).cast("int")))
-        minor = padded.try_cast("bigint")
-        return F.when(fits, F.when(v["negative"], -minor).otherwise(minor))
-
-    return bound(F.struct(exponent_of(code).alias("digits"), F.regexp_replace(text, "^-", "").alias("body"), F.startswith(text, F.lit("-")).alias("negative")), read)
+    One compiled expression: the point goes, and zeros fill the digits that the text leaves out.
+    """
+    digits, point = exponent_of(code), F.instr(text, ".")
+    given = F.when(point > 0, F.length(text) - point).otherwise(F.lit(0))
+    fits = text.rlike(r"^-?[0-9]+(\.[0-9]*)?$") & (given <= digits) & ~((point > 0) & (digits == 0))
+    return F.when(fits, F.concat(F.translate(text, ".", ""), F.repeat(F.lit("0"), F.greatest(digits - given, F.lit(0)).cast("int"))).try_cast("bigint"))
 
 
 def parse_money(code: Column, text: Column) -> Column:
@@ -81,21 +79,10 @@ def try_decimal_from_locale(text: Column) -> Column:
     Spaces of three kinds go. Of comma and point, the last is the decimal mark
     and the other groups thousands; a lone comma is the mark.
     """
-
-    def marked(v: Column) -> Column:
-        body = v["body"]
-        comma, point = (F.length(body) - F.length(F.substring_index(body, mark, -1)) for mark in ",.")
-        cut = lambda mark, other: F.concat(F.replace(F.substring(body, F.lit(1), mark - 1), F.lit(other), F.lit("")), F.lit("."), F.substring(body, mark + 1, F.length(body)))
-        plain = F.when((comma > 0) & (comma > point), F.when(point > 0, cut(comma, ".")).otherwise(F.concat(F.substring(body, F.lit(1), comma - 1), F.lit("."), F.substring(body, comma + 1, F.length(body))))).when((comma > 0) & (point > 0), cut(point, ",")).otherwise(body)
-        return F.struct(plain.alias("plain"), v["bare"].alias("bare"))
-
-    def checked(v: Column) -> Column:
-        sign = F.when(F.startswith(v["bare"], F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-        return F.when(v["bare"] == "", F.lit("0")).when(v["plain"].rlike(r"^[0-9]+(\.[0-9]+)?$"), F.concat(sign, v["plain"]))
-
-    bare = F.trim(F.translate(text, " \u00a0\u2007", ""))
-    split = bound(bare, lambda b: F.struct(b.alias("bare"), F.regexp_replace(b, r"^-?\+?", "").alias("body")))
-    return bound(bound(split, marked), checked)
+    bare = F.regexp_replace(F.trim(F.translate(text, " \u00a0\u2007", "")), r"^(-?)\+", "$1")
+    # ``translate`` drops what has no counterpart, so the mark that groups goes as the other becomes the point.
+    plain = F.when(bare.rlike(r"^-?[0-9.]*,[0-9]+$"), F.translate(bare, ",.", ".")).when(bare.rlike(r"^-?[0-9,]*\.[0-9]+$"), F.translate(bare, ",", "")).otherwise(bare)
+    return F.when(bare == "", F.lit("0")).when(plain.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), plain)
 
 
 def try_parse_amount(code: Column, text: Column) -> Column:

@@ -33,9 +33,13 @@ _LEGAL = r"(?U)(?:^|\s)(?:" + "|".join(LEGAL_FORMS) + r")(?=\s|$)"
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Compatibility composition; Spark has no function for it."""
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t) if t is not None and not t.isascii() else t)
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition; Spark has no function for it. ASCII text is in that form, so Python sees the other texts alone."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def join_digits(text: Column) -> Column:

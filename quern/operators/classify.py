@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import NORMALIZE_VERSION, key_tier
@@ -66,6 +66,12 @@ def effective(rules: Iterable[Rule]) -> list[Rule]:
     return sorted((r for r in rules if r.active), key=lambda r: (not r.org_owned, r.priority, r.rule_id))
 
 
+def ranked_rules(rules: DataFrame, by: list[str]) -> DataFrame:
+    """The same order over a table of rules (rule_id, priority, org_owned, active): ``rank`` within each of ``by``, active rules alone."""
+    order = Window.partitionBy(*by).orderBy(F.col("org_owned").cast("int").desc(), "priority", "rule_id")
+    return rules.where("active").withColumn("rank", F.row_number().over(order).cast("bigint"))
+
+
 def is_regulated(rule: Rule) -> bool:
     return any(c.field == "regulated_code" for c in rule.conditions)
 

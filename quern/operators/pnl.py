@@ -6,6 +6,8 @@ transaction has exactly one ``line``. So a cell is the sum of its own rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +42,23 @@ def line_of(basis: str) -> Column:
     )
 
 
-def tag_lines(txn: DataFrame, classifications: DataFrame, categories: DataFrame, basis: str = "bank", granularity: str = "month", transfers: DataFrame | None = None) -> DataFrame:
+def in_currency(txn: DataFrame, base_currency: str) -> DataFrame:
+    """``txn`` with reported amounts of one currency only: amounts are summed in one currency or not at all."""
+    code = F.coalesce("base_currency", "currency")
+    wrong = F.raise_error(F.concat(F.lit("row in "), F.coalesce(code, F.lit("null")), F.lit(f", but the report is in {base_currency}"))).cast("bigint")
+    return txn.withColumn("reported_minor", F.when(code == base_currency, F.col("reported_minor")).otherwise(wrong))
+
+
+def tag_lines(txn: DataFrame, classifications: DataFrame, categories: DataFrame, basis: str = "bank", granularity: str = "month", transfers: DataFrame | None = None, base_currency: str | None = None) -> DataFrame:
     """Transactions with category_code, section, line and period.
 
     ``transfers`` (txn_id, dismissed) removes the members of pairs that stand;
     without it paired rows stay on their lines. ``categories`` is a small fixed
-    tree and is left to the planner's own size check.
+    tree and is left to the planner's own size check. With ``base_currency`` an
+    amount that is not of it, converted or not, is an error.
     """
+    if base_currency is not None:
+        txn = in_currency(txn, base_currency)
     if transfers is not None:
         txn = txn.join(transfers.where(~F.col("dismissed")).select("txn_id"), "txn_id", "left_anti")
     said = live(classifications).select("txn_id", "category_code", "engine_layer")
@@ -98,17 +110,53 @@ def presented(chained: DataFrame) -> DataFrame:
     return out.select(*REPORT, "period", "position", "line", "amount_minor", percent.alias("percent_of_revenue"))
 
 
-def management_pnl(txn: DataFrame, classifications: DataFrame, categories: DataFrame, calendar: DataFrame, basis: str = "bank", granularity: str = "month", transfers: DataFrame | None = None) -> DataFrame:
+def management_pnl(txn: DataFrame, classifications: DataFrame, categories: DataFrame, calendar: DataFrame, basis: str = "bank", granularity: str = "month", transfers: DataFrame | None = None, base_currency: str | None = None) -> DataFrame:
     """The whole report: every period of the calendar, zero-filled, and the total.
 
-    A row outside the calendar is an error, as is a section nobody knows.
+    A row outside the calendar is an error, as is a section nobody knows, and,
+    with ``base_currency``, a row in another currency.
     """
-    sums = line_sums(tag_lines(txn, classifications, categories, basis, granularity, transfers))
+    sums = line_sums(tag_lines(txn, classifications, categories, basis, granularity, transfers, base_currency))
     known = sorted(r["period"] for r in calendar.select("period").collect())
     sums = sums.withColumn("period", F.when(F.col("period").isin(known), F.col("period")).otherwise(F.raise_error(F.concat(F.lit("row outside the range: "), F.col("period")))))
     return presented(with_chain(zero_filled(sums, calendar)))
 
 
+#: Rows of a page of the drill-down: if none is asked for, and at most.
+PAGE, MOST_PAGE = 100, 500
+
+
+def cursor_of(row) -> str:
+    """The place of a row in the drill-down's order, as text."""
+    return f"{row['booked_on']}|{row['txn_id']}"
+
+
+def parse_cursor(text: str) -> tuple[str, str]:
+    """The day and id of a cursor; anything else is an error."""
+    day, mark, txn_id = text.partition("|")
+    if not mark or not txn_id or not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", day):
+        raise ValueError(f"not a cursor: {text!r}")
+    return day, txn_id
+
+
+def line_ref(text: str) -> tuple[str, str]:
+    """A line's kind and name, from ``section:04``, ``computed:93`` or ``bucket:unclassified``; the names are closed lists."""
+    kind, _, name = text.partition(":")
+    if name not in {"section": SECTIONS, "computed": tuple(CHAIN), "bucket": BUCKETS}.get(kind, ()):
+        raise ValueError(f"unknown line: {text!r}")
+    return kind, name
+
+
+def drill_page(tagged: DataFrame, ref: str, after: str | None = None, limit: int | None = None) -> DataFrame:
+    """One page behind a line, with a row more to look ahead; a computed line has operands, not rows, and is an error here."""
+    kind, name = line_ref(ref)
+    if kind == "computed":
+        raise ValueError(f"{name} is computed: open its operands")
+    if limit is not None and not 0 < limit <= MOST_PAGE:
+        raise ValueError(f"a page has 1 to {MOST_PAGE} rows")
+    return drill_rows(tagged, name, parse_cursor(after) if after else None, limit or PAGE)
+
+
 def drill_rows(tagged: DataFrame, line: str, after: tuple | None = None, limit: int | None = None) -> DataFrame:
     """The rows behind a cell in (booked_on, txn_id) order, after a cursor, with one more than ``limit`` to look ahead."""
     rows = tagged.where(F.col("line") == line)
@@ -156,7 +204,10 @@ def reconciliation(txn: DataFrame, transfers: DataFrame, calendar: DataFrame, gr
     return out.where(F.array_contains(periods, F.col("period"))).select(*REPORT, "period", "opening_minor", "inflow_minor", "outflow_minor", "transfers_minor", "transfer_rows", "closing_minor", "derived")
 
 
-def used_versions(txn: DataFrame, classifications: DataFrame) -> DataFrame:
-    """The versions behind a report's figures."""
-    said = live(classifications).join(txn.select("txn_id", "entity_id"), "txn_id")
+def used_versions(txn: DataFrame, classifications: DataFrame, basis: str = "bank", first: str | None = None, last: str | None = None) -> DataFrame:
+    """The versions behind a report's figures: those of its basis and its days, both ends included."""
+    rows = txn.where(F.col("source_kind") == basis)
+    rows = rows.where(F.col("booked_on") >= F.lit(first).cast("date")) if first else rows
+    rows = rows.where(F.col("booked_on") <= F.lit(last).cast("date")) if last else rows
+    said = live(classifications).join(rows.select("txn_id", "entity_id"), "txn_id")
     return said.select(*REPORT, "taxonomy_version", "ruleset_version", "engine_version", "normalize_version").distinct()

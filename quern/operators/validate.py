@@ -25,26 +25,33 @@ def row_errors(rows: DataFrame, today: str) -> DataFrame:
     """batch_id, line_no, field, code, raw: an error for each check that a statement row fails.
 
     rows: batch_id, line_no, currency, booked_on, debit, credit, description,
-    counterparty, document_no as text. A day is plausible within ten times 365
-    days before ``today`` and one day after it.
+    counterparty, document_no as text, and account if accounts are checked. A day
+    is plausible within ten times 365 days before ``today`` and one day after it.
+    In an unknown currency no amount can be read, so that is the one error of the
+    amounts. An account that is missing or blank is not resolved.
     """
-    day = try_parse_date(F.col("booked_on"))
-    now = F.lit(today).cast("date")
-    debit, credit = (try_parse_amount(F.col("currency"), F.col(c)) for c in ("debit", "credit"))
+    day, now = try_parse_date(F.col("booked_on")), F.lit(today).cast("date")
+    amounts = {f"__{c}": try_parse_amount(F.col("currency"), F.col(c)) for c in ("debit", "credit")}
+    read = rows.withColumns(amounts | {"__digits": exponent_of(F.col("currency")), "__day": day})
 
     def error(bad: Column, field: str, code: str, raw: Column) -> Column:
         return F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(field).alias("field"), F.lit(code).alias("code"), raw.alias("raw")))
 
+    known = F.col("__digits").isNotNull()
+    both = (F.coalesce("__debit", F.lit(0)) != 0) & (F.coalesce("__credit", F.lit(0)) != 0)
     checks = [
-        error(day.isNull() | (day < F.date_sub(now, 3650)) | (day > F.date_add(now, 1)), "booked_on", "date_implausible", F.col("booked_on")),
-        error(debit.isNull(), "debit", "amount_unparseable", F.col("debit")),
-        error(credit.isNull(), "credit", "amount_unparseable", F.col("credit")),
-        error((F.coalesce(debit, F.lit(0)) != 0) & (F.coalesce(credit, F.lit(0)) != 0), "debit", "debit_and_credit_both_set", F.concat("debit", F.lit(" / "), "credit")),
+        error(F.col("__day").isNull() | (F.col("__day") < F.date_sub(now, 3650)) | (F.col("__day") > F.date_add(now, 1)), "booked_on", "date_implausible", F.col("booked_on")),
+        error(~known, "currency", "currency_unknown", F.coalesce("currency", F.lit(""))),
+        error(known & F.col("__debit").isNull(), "debit", "amount_unparseable", F.col("debit")),
+        error(known & F.col("__credit").isNull(), "credit", "amount_unparseable", F.col("credit")),
+        error(both, "debit", "debit_and_credit_both_set", F.concat("debit", F.lit(" / "), "credit")),
         *[error(F.coalesce(has_replacement_char(F.col(c)), F.lit(False)), f, "replacement_character", F.col(c)) for f, c in (("booked_on", "booked_on"), ("document_no", "document_no"), ("counterparty_name", "counterparty"), ("description", "description"))],
         error(F.trim(F.coalesce("description", F.lit(""))) == "", "description", "description_missing", F.coalesce("description", F.lit(""))),
     ]
+    if "account" in rows.columns:
+        checks.append(error(F.trim(F.coalesce("account", F.lit(""))) == "", "account", "account_unresolved", F.coalesce("account", F.lit(""))))
     found = F.array_compact(F.array(*checks))
-    return rows.select("batch_id", "line_no", F.explode(found).alias("e")).select("batch_id", "line_no", "e.field", "e.code", "e.raw")
+    return read.select("batch_id", "line_no", F.explode(found).alias("e")).select("batch_id", "line_no", "e.field", "e.code", "e.raw")
 
 
 def file_warnings(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -90,7 +97,7 @@ def outcomes(files: DataFrame, errors: DataFrame, warnings: DataFrame) -> DataFr
 
 
 def report_json(errors: DataFrame, most: int = 100, raw_bytes: int = 200) -> DataFrame:
-    """batch_id, report: the first ``most`` errors by line as JSON, with their whole number; raw text cut by bytes.
+    """batch_id, report: the first ``most`` errors by line as JSON, with their whole number; raw text cut to whole characters within ``raw_bytes``.
 
     Each batch keeps a bounded list: errors are ranked first, so a batch of
     millions of errors never meets in one row.
@@ -99,9 +106,11 @@ def report_json(errors: DataFrame, most: int = 100, raw_bytes: int = 200) -> Dat
 
     w = Window.partitionBy("batch_id").orderBy("line_no", "field", "code")
     total = errors.groupBy("batch_id").agg(F.count(F.lit(1)).alias("error_count"))
-    cut = F.when(F.octet_length("raw") <= raw_bytes, F.col("raw")).otherwise(F.try_validate_utf8(F.substring(F.encode("raw", "UTF-8"), 1, raw_bytes).cast("string")))
+    # A character has four bytes at most: of the cuts that leave off none to three, the longest that is whole text.
+    data = F.encode("raw", "UTF-8")
+    cut = F.coalesce(*[F.try_validate_utf8(F.substring(data, 1, raw_bytes - k).cast("string")) for k in range(4)])
     first = errors.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
-    listed = first.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("rn", "line_no", "field", "code", F.coalesce(cut, F.col("raw")).alias("raw")))).alias("errors"))
+    listed = first.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("rn", "line_no", "field", "code", cut.alias("raw")))).alias("errors"))
     return listed.join(total, "batch_id").select("batch_id", F.to_json(F.struct(F.lit(1).alias("schema"), "error_count", "errors")).alias("report"))
 
 
@@ -126,9 +135,19 @@ def override(validations: DataFrame, asked: DataFrame, least_reason: int = 10) -
 
 
 def resolve_accounts(rows: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with account_id, accounts to create): known by (org, entity, external_ref), or new under a stable id."""
+    """(rows with account_id and mixed_currency, accounts to create): known by (org, entity, external_ref), or new under a stable id.
+
+    A row without an external_ref resolves to no account and creates none. An
+    account on file in another currency than the row's is flagged, if both tables
+    have a currency.
+    """
     key = ["org_id", "entity_id", "external_ref"]
-    j = rows.join(accounts.select(*key, "account_id"), key, "left")
-    new = j.where(F.col("account_id").isNull()).select(*key).distinct().withColumn("account_id", F.sha2(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in key]), 256))
+    has_currency = "currency" in rows.columns and "currency" in accounts.columns
+    on_file = accounts.select(*key, "account_id", *[F.col("currency").alias("__currency")] * has_currency)
+    given = F.trim(F.coalesce(F.col("external_ref").cast("string"), F.lit(""))) != ""
+    j = rows.join(on_file, key, "left")
     fresh = F.sha2(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in key]), 256)
-    return j.withColumn("account_id", F.coalesce(F.col("account_id").cast("string"), fresh)), new
+    new = j.where(F.col("account_id").isNull() & given).select(*key).distinct().withColumn("account_id", fresh)
+    mixed = F.coalesce(F.col("__currency") != F.col("currency"), F.lit(False)) if has_currency else F.lit(False)
+    out = j.withColumn("mixed_currency", mixed).withColumn("account_id", F.coalesce(F.col("account_id").cast("string"), F.when(given, fresh)))
+    return out.drop("__currency"), new

@@ -205,23 +205,27 @@ def dedup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Transfers.
-CANDIDATE_SQL = f"""WITH {carrier.MOVEMENTS_SQL}, cand AS (SELECT a.txn_id, b.txn_id AS candidate_id, abs(datediff('day', a.booked_on, b.booked_on)) AS days_apart FROM movement a JOIN movement b
-  ON a.entity_id = b.entity_id AND a.source_kind = b.source_kind AND a.amount_minor = -b.amount_minor WHERE a.account_id <> b.account_id AND a.amount_minor <> 0 AND abs(datediff('day', a.booked_on, b.booked_on)) <= 3)"""
+CANDIDATE_SQL = f"""WITH {carrier.MOVEMENTS_SQL}, free AS (SELECT txn_id, entity_id, account_id, source_kind, booked_on, coalesce(base_amount_minor, amount_minor) AS base FROM movement WHERE txn_id % 17 <> 0),
+ cand AS (SELECT a.txn_id, b.txn_id AS candidate_id, abs(datediff('day', a.booked_on, b.booked_on)) AS days_apart FROM free a JOIN free b
+  ON a.entity_id = b.entity_id AND a.source_kind = b.source_kind AND a.base = -b.base WHERE a.account_id <> b.account_id AND a.base <> 0 AND abs(datediff('day', a.booked_on, b.booked_on)) <= 3)"""
 
 
 @query("transfer_candidates", f"{CANDIDATE_SQL} SELECT * FROM cand")
 def transfer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfers.candidates(carrier.movements(spark, sf_dir))
+    txn = carrier.movements(spark, sf_dir)
+    return transfers.candidates(txn, members=carrier.movement_members(txn))
 
 
 @query("transfer_nearest", f"{CANDIDATE_SQL} SELECT txn_id, candidate_id, days_apart FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY days_apart, candidate_id) AS rn FROM cand) WHERE rn = 1")
 def transfer_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfers.nearest(carrier.movements(spark, sf_dir))
+    txn = carrier.movements(spark, sf_dir)
+    return transfers.nearest(txn, members=carrier.movement_members(txn))
 
 
 @query("transfer_pairs")
 def transfer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfers.pairs(carrier.movements(spark, sf_dir))
+    txn = carrier.movements(spark, sf_dir)
+    return transfers.pairs(txn, members=carrier.movement_members(txn))
 
 
 @query("transfer_active", f"{WITH} SELECT entity_id, count(*) AS members FROM transfer JOIN txn USING (txn_id) WHERE NOT dismissed GROUP BY 1")
@@ -252,7 +256,7 @@ RULES = [
     _rule("08", 90, c.Condition("description", "contains_all", "7"), org_owned=True, scope="org"),
     _rule("01", 3, c.Condition("description", "contains_all", "PART"), active=False),
 ]
-ROWS_SQL = "r AS (SELECT txn.*, upper(description_raw) AS description_norm, (quantity % 9)::VARCHAR AS regulated_code, 'BYN' AS currency FROM txn)"
+ROWS_SQL = "r AS (SELECT txn.* EXCLUDE (currency), upper(description_raw) AS description_norm, (quantity % 9)::VARCHAR AS regulated_code, 'BYN' AS currency FROM txn)"
 VENDORS_SQL = "vendor AS (SELECT DISTINCT org_id, counterparty_key, '09' AS category_code FROM txn WHERE counterparty_key LIKE '%7')"
 RULE_CASE = """CASE WHEN regulated_code = '7' AND amount_minor < 0 THEN ['0404', 'L0.5', 'global', '1'] WHEN regulated_code = '3' AND source_kind = 'bank' THEN ['0101', 'L0.5', 'global', '2']
  WHEN contains(description_norm, '7') THEN ['08', 'L1', 'org', '90'] WHEN source_kind = 'bank' AND contains(description_norm, '1') AND contains(description_norm, '2') THEN ['02', 'L1', 'global', '10']
@@ -296,12 +300,16 @@ def classify_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.run_log(carrier.transactions(spark, sf_dir), proposals(spark, sf_dir))
 
 
-_ORDER = [(k + 1, r.rule_id, r.category_code, r.priority) for k, r in enumerate(c.effective(RULES))]
-
-
-@query("effective_rules", "SELECT * FROM (VALUES (1, 'r090', '08', 90), (2, 'r001', '0404', 1), (3, 'r002', '0101', 2), (4, 'r010', '02', 10), (5, 'r011', '0401010204', 11), (6, 'r012', '06', 12), (7, 'r013', '03', 13), (8, 'r014', '05', 14)) AS v(rank, rule_id, category_code, priority)")
+@query(
+    "effective_rules",
+    """SELECT p_brand AS org_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 5 <> 0, p_size, p_partkey::VARCHAR) AS rank, p_partkey::VARCHAR AS rule_id, p_size::BIGINT AS priority
+FROM part WHERE p_partkey % 7 <> 0""",
+)
 def effective_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_ORDER, "rank int, rule_id string, category_code string, priority int")
+    """Parts stand for rules of the organisation of their brand."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rules = part.select(F.col("p_brand").alias("org_id"), F.col("p_partkey").cast("string").alias("rule_id"), F.col("p_size").cast("bigint").alias("priority"), (F.col("p_size") % 5 == 0).alias("org_owned"), (F.col("p_partkey") % 7 != 0).alias("active"))
+    return c.ranked_rules(rules, ["org_id"]).select("org_id", "rank", "rule_id", "priority")
 
 
 @query(
@@ -477,7 +485,7 @@ RAW_SQL = f"""raw AS (SELECT o_orderkey AS line_no, o_custkey % 20 AS batch_id,
    replace((round(o_totalprice * 100)::BIGINT // 100) || '.' || lpad((round(o_totalprice * 100)::BIGINT % 100)::VARCHAR, 2, '0'), '.', ',') AS amount FROM orders),
 srow AS (SELECT line_no, batch_id, d, k, CASE WHEN k = 1 THEN '31.02.2000' ELSE strftime(d, '%d.%m.%Y') END AS booked_on,
    CASE WHEN k = 2 THEN '12x' WHEN k = 3 OR k % 2 = 0 THEN amount ELSE '0,00' END AS debit, CASE WHEN k = 3 OR k % 2 = 1 THEN amount ELSE '0,00' END AS credit,
-   CASE WHEN k = 4 THEN ' ' WHEN k = 5 THEN 'a' || chr(65533) ELSE 'payment' END AS description FROM raw)"""
+   CASE WHEN k = 4 THEN ' ' WHEN k = 5 THEN 'a' || chr(65533) ELSE 'payment' END AS description, CASE WHEN k = 6 THEN 'XYZ' ELSE 'BYN' END AS currency, CASE WHEN k = 7 THEN ' ' ELSE 'BY13X' END AS account FROM raw)"""
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -486,7 +494,8 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_orderkey").alias("line_no"),
         (F.col("o_custkey") % 20).alias("batch_id"),
-        F.lit("BYN").alias("currency"),
+        F.when(k == 6, "XYZ").otherwise("BYN").alias("currency"),
+        F.when(k == 7, " ").otherwise("BY13X").alias("account"),
         F.when(k == 1, "31.02.2000").otherwise(F.date_format("o_orderdate", "dd.MM.yyyy")).alias("booked_on"),
         F.when(k == 2, "12x").when((k == 3) | (k % 2 == 0), amount).otherwise("0,00").alias("debit"),
         F.when((k == 3) | (k % 2 == 1), amount).otherwise("0,00").alias("credit"),
@@ -501,7 +510,9 @@ ERRORS_SQL = f"""{RAW_SQL}, err AS (
  UNION ALL SELECT batch_id, line_no, 'debit', 'amount_unparseable', debit FROM srow WHERE k = 2
  UNION ALL SELECT batch_id, line_no, 'debit', 'debit_and_credit_both_set', debit || ' / ' || credit FROM srow WHERE k = 3
  UNION ALL SELECT batch_id, line_no, 'description', 'replacement_character', description FROM srow WHERE k = 5
- UNION ALL SELECT batch_id, line_no, 'description', 'description_missing', description FROM srow WHERE k = 4)"""
+ UNION ALL SELECT batch_id, line_no, 'description', 'description_missing', description FROM srow WHERE k = 4
+ UNION ALL SELECT batch_id, line_no, 'currency', 'currency_unknown', currency FROM srow WHERE k = 6
+ UNION ALL SELECT batch_id, line_no, 'account', 'account_unresolved', account FROM srow WHERE k = 7)"""
 
 
 @query("validate_rows", f"WITH {ERRORS_SQL} SELECT * FROM err")
@@ -509,7 +520,11 @@ def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.row_errors(raw_rows(spark, sf_dir), TODAY)
 
 
-@query("report_json")
+@query(
+    "report_json",
+    f"""WITH {ERRORS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY line_no, field, code) AS rn, count(*) OVER (PARTITION BY batch_id) AS n FROM err)
+SELECT batch_id, to_json({{'schema': 1, 'error_count': any_value(n), 'errors': list({{'rn': rn, 'line_no': line_no, 'field': field, 'code': code, 'raw': raw}} ORDER BY rn)}})::VARCHAR AS report FROM ranked WHERE rn <= 100 GROUP BY batch_id""",
+)
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.report_json(validate.row_errors(raw_rows(spark, sf_dir), TODAY))
 
@@ -605,29 +620,33 @@ def overridden_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("booked_on >= DATE '1996-01-01' AND booked_on < DATE '1998-01-01'").select("batch_id").distinct().join(over.select("batch_id"), "batch_id", "left_semi")
 
 
-@query("resolve_account", f"{WITH} SELECT org_id, entity_id, count(*) AS row_count, count(*) FILTER (WHERE account_id % 3 <> 0) AS new_rows FROM txn GROUP BY 1, 2")
+@query(
+    "resolve_account",
+    f"""{WITH}, r AS (SELECT DISTINCT org_id, entity_id, CASE WHEN account_id % 5 = 0 THEN ' ' ELSE account_id::VARCHAR END AS external_ref, account_id, currency FROM txn)
+SELECT DISTINCT org_id, entity_id, external_ref, currency, CASE WHEN external_ref = ' ' THEN NULL WHEN account_id % 3 = 0 THEN 'a' || account_id ELSE sha256(org_id || chr(31) || entity_id || chr(31) || account_id) END AS account_id,
+  external_ref <> ' ' AND account_id % 3 = 0 AND currency <> CASE WHEN account_id % 2 = 0 THEN 'PLN' ELSE 'BYN' END AS mixed_currency FROM r""",
+)
 def resolve_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     txn = carrier.transactions(spark, sf_dir)
-    rows = txn.select("org_id", "entity_id", F.col("account_id").cast("string").alias("external_ref"))
-    known = txn.where("account_id % 3 = 0").select("org_id", "entity_id", F.col("account_id").cast("string").alias("external_ref"), F.concat(F.lit("a"), F.col("account_id").cast("string")).alias("account_id")).distinct()
+    ref = F.col("account_id").cast("string")
+    rows = txn.select("org_id", "entity_id", F.when(F.col("account_id") % 5 == 0, " ").otherwise(ref).alias("external_ref"), "currency")
+    known = txn.where("account_id % 3 = 0").select("org_id", "entity_id", ref.alias("external_ref"), F.concat(F.lit("a"), ref).alias("account_id"), F.when(F.col("account_id") % 2 == 0, "PLN").otherwise("BYN").alias("currency")).distinct()
     found, _ = validate.resolve_accounts(rows, known)
-    return found.groupBy("org_id", "entity_id").agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.length("account_id") == 64).alias("new_rows"))
+    return found.select("org_id", "entity_id", "external_ref", "currency", "account_id", "mixed_currency").distinct()
 
 
-@query("build_transaction", f"WITH {RAW_SQL} SELECT line_no, CASE WHEN debit <> '0,00' THEN -replace(debit, ',', '')::BIGINT ELSE replace(credit, ',', '')::BIGINT END AS amount_minor FROM srow WHERE k <> 2")
+@query("build_transaction", f"WITH {RAW_SQL} SELECT line_no, CASE WHEN debit <> '0,00' THEN -replace(debit, ',', '')::BIGINT ELSE replace(credit, ',', '')::BIGINT END AS amount_minor FROM srow WHERE k NOT IN (2, 6)")
 def build_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     debit, credit = (money.try_parse_amount(F.col("currency"), F.col(x)) for x in ("debit", "credit"))
     return raw_rows(spark, sf_dir).where(debit.isNotNull()).select("line_no", F.when(debit != 0, -debit).otherwise(credit).alias("amount_minor"))
 
 
-@query("raw_rows_payload", f"WITH {RAW_SQL} SELECT batch_id, count(*) AS row_count, count(DISTINCT line_no) AS row_lines FROM srow GROUP BY 1")
+@query("raw_rows_payload", f"WITH {RAW_SQL} SELECT batch_id, line_no, booked_on, debit, credit, description FROM srow")
 def raw_rows_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows stored as JSON payloads and read back with a declared schema."""
     from quern.sources.sinks import payloads, read_payloads
 
-    stored = payloads(raw_rows(spark, sf_dir))
-    back = read_payloads(stored, "booked_on string, debit string, credit string, description string")
-    return back.groupBy("batch_id").agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("line_no").alias("row_lines"))
+    return read_payloads(payloads(raw_rows(spark, sf_dir)), "booked_on string, debit string, credit string, description string")
 
 
 @query("pseudonymise")

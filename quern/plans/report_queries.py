@@ -58,7 +58,7 @@ def whole_calendar(spark: SparkSession, granularity: str = "month") -> DataFrame
 
 
 def report(spark: SparkSession, sf_dir: str, granularity: str = "month") -> DataFrame:
-    return pnl.management_pnl(*ledger(spark, sf_dir), whole_calendar(spark, granularity), granularity=granularity)
+    return pnl.management_pnl(*ledger(spark, sf_dir), whole_calendar(spark, granularity), granularity=granularity, base_currency="BYN")
 
 
 def tagged(spark: SparkSession, sf_dir: str, granularity: str = "month", basis: str = "bank") -> DataFrame:
@@ -230,10 +230,10 @@ def cli_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(*pnl.REPORT, "period", F.col("s_01").alias("revenue"), (F.col("s_01") - F.col("s_93")).alias("expenses"))
 
 
-@query("versions_distinct", f"{WITH} SELECT DISTINCT org_id, entity_id, taxonomy_version, ruleset_version, engine_version, normalize_version FROM live JOIN txn USING (txn_id, org_id)")
+@query("versions_distinct", f"{WITH} SELECT DISTINCT org_id, entity_id, taxonomy_version, ruleset_version, engine_version, normalize_version FROM live JOIN txn USING (txn_id, org_id) WHERE source_kind = 'bank' AND booked_on BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
 def versions_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     txn, said, _ = ledger(spark, sf_dir)
-    return pnl.used_versions(txn, said)
+    return pnl.used_versions(txn, said, "bank", "1996-01-01", "1996-12-31")
 
 
 @query("live_classifications", f"{WITH} SELECT engine_layer, category_code, count(*) AS row_count FROM live GROUP BY ALL")

@@ -78,6 +78,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (sign * cents).alias("amount_minor"),
         F.when(F.col("l_suppkey") % 7 == 0, sign * base).alias("base_amount_minor"),
         F.when(F.col("l_suppkey") % 7 == 0, sign * base).otherwise(sign * cents).alias("reported_minor"),
+        F.when(F.col("l_suppkey") % 7 == 0, "PLN").otherwise("BYN").alias("currency"),
+        F.when(F.col("l_suppkey") % 7 == 0, "BYN").alias("base_currency"),
         F.col("c_name").alias("counterparty_raw"),
         F.col("p_name").alias("description_raw"),
         F.concat(F.lit("name:"), F.upper(F.regexp_replace("c_name", "[^A-Za-z0-9]", ""))).alias("counterparty_key"),
@@ -93,6 +95,7 @@ TRANSACTIONS_SQL = f"""txn AS (
          CASE WHEN l_linestatus = 'O' THEN 'ledger' ELSE 'bank' END AS source_kind, l_shipdate::DATE AS booked_on,
          sign * cents AS amount_minor, CASE WHEN l_suppkey % 7 = 0 THEN sign * base END AS base_amount_minor,
          CASE WHEN l_suppkey % 7 = 0 THEN sign * base ELSE sign * cents END AS reported_minor,
+         CASE WHEN l_suppkey % 7 = 0 THEN 'PLN' ELSE 'BYN' END AS currency, CASE WHEN l_suppkey % 7 = 0 THEN 'BYN' END AS base_currency,
          c_name AS counterparty_raw, p_name AS description_raw,
          'name:' || upper(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) AS counterparty_key,
          {_TYPE_CASE} AS type_code, l_quantity::BIGINT AS quantity
@@ -103,21 +106,36 @@ TRANSACTIONS_SQL = f"""txn AS (
 
 def classifications(txn: DataFrame) -> DataFrame:
     """The append-only history: a first answer for each typed transaction; every tenth quantity superseded, every thirteenth retracted."""
-    typed = txn.where(F.col("type_code").isNotNull())
     second = F.col("quantity") % 10 == 0
-    common = [F.col("txn_id"), F.col("org_id")]
-    versions = [F.lit("v1").alias("taxonomy_version"), F.when(F.col("batch_id") < 1998, "v1").otherwise("v2").alias("ruleset_version"), F.lit("e1").alias("engine_version"), F.lit("v1").alias("normalize_version")]
-    first = typed.select(
+    first = F.struct(
         F.concat("txn_id", F.lit("#1")).alias("classification_id"),
-        *common,
         F.col("type_code").alias("category_code"),
         F.when(F.col("quantity") % 3 == 0, "L0").when(F.col("quantity") % 3 == 1, "L0.5").otherwise("L1").alias("engine_layer"),
-        *versions,
         F.when(second, F.concat("txn_id", F.lit("#2"))).alias("superseded_by"),
         F.when(~second & (F.col("quantity") % 13 == 0), F.col("booked_on")).alias("retracted_on"),
     )
-    again = typed.where(second).select(F.concat("txn_id", F.lit("#2")).alias("classification_id"), *common, F.lit("03").alias("category_code"), F.lit("human").alias("engine_layer"), *versions, F.lit(None).cast("string").alias("superseded_by"), F.lit(None).cast("date").alias("retracted_on"))
-    return first.unionByName(again)
+    again = F.struct(
+        F.concat("txn_id", F.lit("#2")).alias("classification_id"),
+        F.lit("03").alias("category_code"),
+        F.lit("human").alias("engine_layer"),
+        F.lit(None).cast("string").alias("superseded_by"),
+        F.lit(None).cast("date").alias("retracted_on"),
+    )
+    # One pass over the transactions: each has a history of one row or two.
+    said = txn.where(F.col("type_code").isNotNull()).select("txn_id", "org_id", "batch_id", F.explode(F.when(second, F.array(first, again)).otherwise(F.array(first))).alias("c"))
+    return said.select(
+        "c.classification_id",
+        "txn_id",
+        "org_id",
+        "c.category_code",
+        "c.engine_layer",
+        F.lit("v1").alias("taxonomy_version"),
+        F.when(F.col("batch_id") < 1998, "v1").otherwise("v2").alias("ruleset_version"),
+        F.lit("e1").alias("engine_version"),
+        F.lit("v1").alias("normalize_version"),
+        "c.superseded_by",
+        "c.retracted_on",
+    )
 
 
 CLASSIFICATIONS_SQL = """classification AS (
@@ -134,7 +152,7 @@ live AS (SELECT * FROM classification WHERE superseded_by IS NULL AND retracted_
 
 
 def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as movements whose amounts coincide often: the ledger that transfers are paired on."""
+    """Events as movements whose amounts coincide often: the ledger that transfers are paired on. The third account is in a currency of four to one."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     sign = F.when(F.col("event_type").isin("purchase", "signup"), F.lit(1)).otherwise(F.lit(-1)).cast("bigint")
     return e.select(
@@ -144,16 +162,23 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("bank").alias("source_kind"),
         F.year("ts").cast("bigint").alias("batch_id"),
         F.col("ts").cast("date").alias("booked_on"),
-        (sign * F.round("value").cast("bigint")).alias("amount_minor"),
+        (sign * F.round("value").cast("bigint") * F.when(F.col("event_id") % 3 == 2, 4).otherwise(1)).alias("amount_minor"),
+        F.when(F.col("event_id") % 3 == 2, sign * F.round("value").cast("bigint")).alias("base_amount_minor"),
     )
 
 
 MOVEMENTS_SQL = """movement AS (
   SELECT event_id AS txn_id, user_id % 5 AS entity_id, event_id % 3 AS account_id, 'bank' AS source_kind, year(ts)::BIGINT AS batch_id, ts::DATE AS booked_on,
-         CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE -1 END::BIGINT * round(value)::BIGINT AS amount_minor
+         CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE -1 END::BIGINT * round(value)::BIGINT * CASE WHEN event_id % 3 = 2 THEN 4 ELSE 1 END AS amount_minor,
+         CASE WHEN event_id % 3 = 2 THEN CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE -1 END::BIGINT * round(value)::BIGINT END AS base_amount_minor
   FROM events)"""
 
 
+def movement_members(txn: DataFrame) -> DataFrame:
+    """txn_id of the movements that are in a pair already: every seventeenth."""
+    return txn.where(F.col("txn_id") % 17 == 0).select("txn_id")
+
+
 def transfer_members(txn: DataFrame) -> DataFrame:
     """txn_id, transfer_id, dismissed: a stated choice of paired transactions, some of whose pairs were dismissed."""
     return txn.where(F.col("quantity") % 11 == 0).select("txn_id", F.concat(F.lit("t-"), "txn_id").alias("transfer_id"), (F.col("quantity") % 2 == 0).alias("dismissed"))

@@ -311,3 +311,76 @@ def test_lttb_streams_over_each_series(spark):
             ys = [r[2] for r in rows if r[0] == s]
             want += [(s or 0, p, ys[p]) for p in series.triangle_buckets(ys, most)]
         assert got == sorted(want)
+
+
+def test_two_currencies_are_never_summed(spark):
+    txn, said, dim = books(spark, [("0101", 100, "bank", DAY), ("02", -40, "bank", DAY)])
+    txn = txn.withColumns({"currency": F.when(F.col("txn_id") == "t1", "PLN").otherwise("BYN"), "base_currency": F.when(F.col("txn_id") == "t1", "BYN")})
+    month = calendar(spark, "2024-01", "2024-01")
+    assert lines(pnl.management_pnl(txn, said, dim, month, base_currency="BYN"))["91"][0] == 60
+    with pytest.raises(PySparkException, match="row in PLN, but the report is in BYN"):
+        pnl.management_pnl(txn.withColumn("base_currency", F.lit(None).cast("string")), said, dim, month, base_currency="BYN").collect()
+
+
+def test_versions_are_of_the_basis_and_the_days(spark):
+    txn, said, _ = books(spark, [("02", 1, "bank", DAY), ("02", 1, "ledger", DAY), ("02", 1, "bank", date(2023, 12, 31))])
+    said = said.withColumns({"taxonomy_version": F.col("txn_id"), "ruleset_version": F.lit("r"), "engine_version": F.lit("e"), "normalize_version": F.lit("n")})
+    assert [r.taxonomy_version for r in pnl.used_versions(txn, said, "bank", "2024-01-01", "2024-01-15").collect()] == ["t0"]
+    assert {r.taxonomy_version for r in pnl.used_versions(txn, said, "ledger").collect()} == {"t1"}
+
+
+def test_drill_pages_and_line_references(spark):
+    rows = spark.createDataFrame([(f"t{k:03d}", date(2024, 1, 1 + k // 100), "04") for k in range(250)], "txn_id string, booked_on date, line string")
+    page = pnl.drill_page(rows, "section:04").collect()
+    assert len(page) == pnl.PAGE + 1
+    after = pnl.cursor_of(page[-2])
+    assert pnl.parse_cursor(after) == ("2024-01-01", "t099")
+    assert [r.txn_id for r in pnl.drill_page(rows, "section:04", after, 2).collect()] == ["t100", "t101", "t102"]
+    for bad in ("section:99", "computed:04", "bucket", "other:04", ""):
+        with pytest.raises(ValueError):
+            pnl.line_ref(bad)
+    for bad in ((rows, "computed:93"), (rows, "section:04", None, 501), (rows, "section:04", "2024-01-01"), (rows, "section:04", "x|y")):
+        with pytest.raises(ValueError):
+            pnl.drill_page(*bad)
+
+
+def test_transfers_pair_on_base_amounts_and_leave_members_out(spark):
+    schema = "txn_id bigint, entity_id bigint, account_id bigint, source_kind string, booked_on date, amount_minor bigint, base_amount_minor bigint"
+    txn = spark.createDataFrame([(1, 1, 1, "bank", DAY, -100, None), (2, 1, 2, "bank", DAY, 400, 100), (3, 1, 3, "bank", DAY, 100, 25), (4, 1, 4, "bank", DAY, 100, None)], schema)
+    assert {tuple(r)[:2] for r in transfers.candidates(txn).collect()} == {(1, 2), (2, 1), (1, 4), (4, 1)}
+    paired = spark.createDataFrame([(2,)], "txn_id bigint")
+    assert {r.txn_id: r.candidate_id for r in transfers.nearest(txn, members=paired).collect()} == {1: 4, 4: 1}
+    assert [tuple(r) for r in transfers.pairs(txn, members=paired).collect()] == [(1, 4)]
+
+
+def test_nearest_is_the_least_of_all_candidates(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, 1, rng.randrange(3), "bank", date(2024, 1, 1 + rng.randrange(12)), rng.choice((-5, 5, -7, 7))) for k in range(120)]
+    txn = spark.createDataFrame(rows, "txn_id bigint, entity_id bigint, account_id bigint, source_kind string, booked_on date, amount_minor bigint")
+    best = {}
+    for r in transfers.candidates(txn).collect():
+        best[r.txn_id] = min(best.get(r.txn_id, (9, 0)), (r.days_apart, r.candidate_id))
+    assert {r.txn_id: (r.days_apart, r.candidate_id) for r in transfers.nearest(txn).collect()} == best
+
+
+def test_report_cuts_raw_text_to_whole_characters(spark):
+    import json
+
+    errors = spark.createDataFrame([("b", k, "f", "c", "a" * k + "ж" * 300) for k in range(2)] + [("b", 2, "f", "c", "x📚" * 100)], "batch_id string, line_no bigint, field string, code string, raw string")
+    out = [e["raw"] for e in json.loads(validate.report_json(errors).first().report)["errors"]]
+    assert out == ["ж" * 100, "a" + "ж" * 99, "x📚" * 40]
+
+
+def test_unknown_currency_and_missing_account_are_row_errors(spark):
+    rows = spark.createDataFrame([("b", 1, "XYZ", "01.02.2024", "1", "0", "d", "c", "n", "A"), ("b", 2, "BYN", "01.02.2024", "1", "0", "d", "c", "n", " "), ("b", 3, None, "01.02.2024", "1", "0", "d", "c", "n", None)], "batch_id string, line_no bigint, currency string, booked_on string, debit string, credit string, description string, counterparty string, document_no string, account string")
+    assert {(r.line_no, r.code) for r in validate.row_errors(rows, "2024-06-30").collect()} == {(1, "currency_unknown"), (2, "account_unresolved"), (3, "currency_unknown"), (3, "account_unresolved")}
+
+
+def test_accounts_without_a_reference_are_not_made(spark):
+    rows = spark.createDataFrame([(1, 1, "A", "BYN"), (1, 1, "A", "EUR"), (1, 1, " ", "BYN"), (1, 1, None, "BYN"), (1, 1, "N", "BYN")], "org_id bigint, entity_id bigint, external_ref string, currency string")
+    known = spark.createDataFrame([(1, 1, "A", "acc", "BYN")], "org_id bigint, entity_id bigint, external_ref string, account_id string, currency string")
+    found, new = validate.resolve_accounts(rows, known)
+    assert {(r.external_ref, r.currency): (r.account_id and r.account_id[:3], r.mixed_currency) for r in found.where("external_ref = 'A' OR account_id IS NULL").collect()} == {("A", "BYN"): ("acc", False), ("A", "EUR"): ("acc", True), (" ", "BYN"): (None, False), (None, "BYN"): (None, False)}
+    assert [r.external_ref for r in new.collect()] == ["N"]
