@@ -141,3 +141,19 @@ def lttb(rows: DataFrame, by: list[str], order: list[str], y: str, most: int) ->
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
     return met.repartition(*by).sortWithinPartitions(*by, "place").mapInPandas(choose, f"{kinds}, place bigint, {y} {kind}")
+
+
+def project_last_segment(rows: DataFrame, by: list[str], x: str, y: str, ahead: int) -> DataFrame:
+    """``ahead`` points on from each series' last one, along its last segment and at that segment's step.
+
+    A series of one point stays level, at steps of one. Of points that share an
+    x the larger y counts as the later.
+    """
+    order = Window.partitionBy(*by).orderBy(F.desc(x), F.desc(y))
+    two = rows.select(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.row_number().over(order).alias("__rn")).where("__rn <= 2")
+    pick = lambda c, k: F.max(F.when(F.col("__rn") == k, F.col(c)))
+    ends = two.groupBy(*by).agg(pick("__x", 1).alias("x1"), pick("__y", 1).alias("y1"), pick("__x", 2).alias("x0"), pick("__y", 2).alias("y0"))
+    step = F.coalesce(F.col("x1") - F.col("x0"), F.lit(1.0))
+    rise = F.coalesce(F.when(F.col("x1") != F.col("x0"), F.col("y1") - F.col("y0")), F.lit(0.0))
+    line = ends.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(ahead).cast("bigint"))))
+    return line.select(*by, "k", (F.col("x1") + F.col("k") * step).alias("x"), (F.col("y1") + F.col("k") * rise).alias("y"))

@@ -82,3 +82,27 @@ def prepare_rules(rules: DataFrame, composed: bool = False) -> DataFrame:
     kept = rules.withColumns({"stored_value": stored, "parts": parts}).withColumn("rn", F.row_number().over(own)).where("rn = 1")
     order = Window.partitionBy("country").orderBy(F.desc("parts"), F.desc(F.length("value")), "place")
     return kept.withColumn("priority", F.row_number().over(order)).drop("rn", "parts")
+
+
+#: Fixed value: what joins the names of a folded chain.
+CHAIN_GLUE = " › "
+
+
+def folded_trails(paths: DataFrame, path: str = "path") -> DataFrame:
+    """Of each path, ``trail``: the labels from its section down to itself, chains of single children folded into one label.
+
+    A section (the first level) is never folded into what it holds. A path that
+    also is the beginning of others is a leaf beside that branch. Repeated paths
+    count once; null and empty paths are left out. Rows of one path are as many
+    as it has levels, so no group grows with the table.
+    """
+    leaves = paths.select(F.col(path).alias("path")).where("path != ''").distinct()
+    nodes = with_ancestors(leaves).withColumn("parts", F.split("path", GLUE)).withColumn("name", F.get("parts", F.col("level") - 1))
+    above = F.array_join(F.slice("parts", F.lit(1), F.greatest(F.col("level") - 1, F.lit(1))), GLUE)
+    nodes = nodes.withColumn("above", above).withColumn("is_leaf", F.col("level") == F.size("parts"))
+    held = nodes.where("level > 1").select("above", "prefix", "is_leaf").distinct().groupBy("above").agg(F.count(F.lit(1)).alias("children"))
+    begins = (F.col("level") <= 2) | (F.col("children") > 1)
+    numbered = nodes.join(held, "above", "left").withColumn("g", F.sum(begins.cast("int")).over(Window.partitionBy("path").orderBy("level")))
+    in_order = lambda names: F.transform(F.array_sort(F.collect_list(names)), lambda x: x["name"])
+    labels = numbered.groupBy("path", "g").agg(F.array_join(in_order(F.struct("level", "name")), CHAIN_GLUE).alias("name"))
+    return labels.groupBy("path").agg(in_order(F.struct("g", "name")).alias("trail"))

@@ -110,3 +110,13 @@ def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ahead.select(*pnl.REPORT, "k", F.round("x", 6).alias("x"), F.round(F.col("y") / 1000).alias("y_thousands"))
 
 
+@query(
+    "projection_last_segment",
+    f"""{WITH}, m AS (SELECT org_id, entity_id, (year(booked_on) * 12 + month(booked_on))::BIGINT AS x, sum(reported_minor)::BIGINT AS y FROM txn GROUP BY 1, 2, 3),
+s AS (SELECT *, row_number() OVER (PARTITION BY org_id, entity_id ORDER BY x DESC) AS rn, lead(x) OVER w AS x0, lead(y) OVER w AS y0 FROM m WINDOW w AS (PARTITION BY org_id, entity_id ORDER BY x DESC))
+SELECT org_id, entity_id, k, (x + k * coalesce(x - x0, 1))::DOUBLE AS x, (y + k * coalesce(y - y0, 0))::DOUBLE AS y FROM s CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS k) WHERE rn = 1""",
+)
+def projection_last_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("booked_on")
+    months = carrier.transactions(spark, sf_dir).groupBy(*pnl.REPORT, (F.year(day) * 12 + F.month(day)).cast("bigint").alias("x")).agg(F.sum("reported_minor").alias("y"))
+    return series.project_last_segment(months, pnl.REPORT, "x", "y", 3)

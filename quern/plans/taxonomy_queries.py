@@ -29,6 +29,20 @@ def taxonomy_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.build_taxonomy(used(spark, sf_dir))
 
 
+@query(
+    "category_tree",
+    f"""WITH {USED_SQL}, leaf AS (SELECT DISTINCT path, string_split(path, ' > ') AS parts FROM u),
+node AS (SELECT path, i, parts[i] AS name, list_slice(parts, 1, i - 1) AS above, list_slice(parts, 1, i) AS own, i = len(parts) AS is_leaf FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM leaf)),
+held AS (SELECT above, count(*) AS children FROM (SELECT DISTINCT above, own, is_leaf FROM node WHERE i > 1) GROUP BY above),
+cut AS (SELECT n.*, sum((i <= 2 OR children > 1)::INT) OVER (PARTITION BY path ORDER BY i) AS g FROM node n LEFT JOIN held h ON h.above = n.above),
+label AS (SELECT path, g, string_agg(name, ' › ' ORDER BY i) AS name FROM cut GROUP BY path, g)
+SELECT path, string_agg(name, ' / ' ORDER BY g) AS trail, count(*) AS depth FROM label GROUP BY path""",
+)
+def category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trails = t.folded_trails(used(spark, sf_dir))
+    return trails.select("path", F.array_join("trail", " / ").alias("trail"), F.size("trail").cast("bigint").alias("depth"))
+
+
 @query("taxonomy_scopes", f"{BUILD_SQL}, hit AS (SELECT DISTINCT path FROM u JOIN part ON true WHERE false UNION SELECT DISTINCT path FROM u WHERE path LIKE '%Size 1'), up AS (SELECT path FROM hit UNION SELECT array_to_string(list_slice(string_split(path, ' > '), 1, 2), ' > ') FROM hit) SELECT path, CASE WHEN path LIKE 'SMALL%Size 1' THEN 'org' WHEN level <= 2 OR path IN (SELECT path FROM up) THEN 'global' ELSE 'org' END AS scope FROM built".replace("SELECT DISTINCT path FROM u JOIN part ON true WHERE false UNION ", ""))
 def taxonomy_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = used(spark, sf_dir).select("path")
