@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import cut_lineage, whole_text
 
 
-def interleaved_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int = 4096) -> DataFrame:
+def interleaved_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window_rows: int = 65_536) -> DataFrame:
     """Proportional stratified interleaving: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The rows of each source are shuffled by a seeded digest of their id and
@@ -18,18 +18,20 @@ def interleaved_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_col
     holds every source in the corpus's proportion.
 
     No source is ever in one task: rows are ranked within (source, bucket of
-    the digest), of ``buckets`` (a power of 16) buckets, and counts of the
-    buckets give what lies before. The order of all rows is found in the same
-    way, over ``buckets`` equal ranges of the fraction, which are even by
-    construction. At N rows a window holds about N / buckets of them.
+    the digest), and counts of the buckets give what lies before. The order of
+    all rows is found in the same way, over equal ranges of the fraction, which
+    are even by construction. The buckets are a power of 16, so many that a
+    window holds ``window_rows`` rows or fewer on average, at any number of rows.
 
-    A null source is a source of its own; a null id sorts as empty; a null text
+    Under the law ``rows`` equal texts are rows like others and are spread over
+    the shards. A null source is a source of its own; a null id sorts as empty; a null text
     has no bytes. Rows equal in every used column are interchangeable. Further
     columns are ignored; an empty table gives an empty result.
     """
-    digits = 0
-    while 16**digits < buckets:
+    n, digits = docs.count(), 1
+    while 16**digits * window_rows < n:
         digits += 1
+    buckets = 16**digits
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     text = whole_text(text_col)
     rows = docs.select(
@@ -53,7 +55,7 @@ def interleaved_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_col
     place = (2 * F.col("rank") - 1) / (2 * F.col("in_stratum"))
     ranked = rows.withColumn("own", rank).join(before, ["stratum", "bucket"]).withColumn("rank", F.col("own") + F.col("before"))
     ranked = cut_lineage(ranked.select("doc_id", "stratum", "size", "text_crc32", "key", place.alias("place")).withColumn("stretch", F.floor(F.col("place") * buckets).cast("int")))
-    # One row a stretch: at most ``buckets`` rows, whatever the input.
+    # One row a stretch: a row for each ``window_rows`` / 16 rows of the input at most, so the planner decides how it is joined.
     stretches = ranked.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"))
     stretches = stretches.select(
         "stretch",
@@ -61,7 +63,7 @@ def interleaved_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_col
         F.sum("n").over(Window.partitionBy()).alias("total"),
     )
     by_place = Window.partitionBy("stretch").orderBy("place", "stratum", "key", "doc_id", "text_crc32", "size")
-    placed = ranked.withColumn("within", F.row_number().over(by_place).cast("bigint")).join(F.broadcast(stretches), "stretch")
+    placed = ranked.withColumn("within", F.row_number().over(by_place).cast("bigint")).join(stretches, "stretch")
     position = F.col("ahead") + F.col("within") - 1
     return (
         placed.withColumn("position", position)

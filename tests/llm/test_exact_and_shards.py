@@ -48,7 +48,7 @@ def test_drop_exact_copies_keeps_columns(docs_of):
 def test_shards_match_brute_force(docs_of):
     rows = [(k, "t" * (k % 9), "en", None if k % 10 == 0 else "hot" if k % 3 else f"s{k % 5}") for k in range(400)] + [(None, None, "en", "hot"), (5, "x", "en", "hot")]
     shards, seed = 7, 3
-    found = interleaved_shards(docs_of(rows), shards=shards, seed=seed, buckets=16).collect()
+    found = interleaved_shards(docs_of(rows), shards=shards, seed=seed, window_rows=2).collect()
     by = defaultdict(list)
     for i, t, _, s in rows:
         body = (t or "").encode()
