@@ -8,8 +8,8 @@ the hub it shares most buckets with, and each link is confirmed on the full
 sets. Two members may be linked although neither is a hub, so what still lies
 between two components is looked through once more: ties to other hubs, and, in
 buckets with strays outside their main component, the strays against the others,
-in blocks of bounded size. Sketches rule out pairs in the task, and what they
-leave is confirmed on the full sets as well.
+in blocks of bounded size, on the full sets; a block gives the links that join
+components, not every pair that is alike.
 """
 
 from __future__ import annotations
@@ -28,10 +28,8 @@ from quern.llm.textkit import U64, blocks, mix, shingle_set, text_bytes, word_ha
 
 BINS, BANDS = 128, 32
 SHIFT = U64(64 - BINS.bit_length() + 1)
-SKETCH = 256
-BLOCK = 256
-#: Five deviations: a sketch rules out a true pair about as seldom as the bands miss one.
-SLACK = 5
+#: Sets of one side of a cell, about: what a task holds at once is twice as many sets.
+BLOCK = 128
 
 
 def _orders(bins: int, seed: int = 11) -> np.ndarray:
@@ -104,41 +102,49 @@ def _full_sets(width: int):
     return batches
 
 
-def close_pairs(sketches: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different labels and sides (0 or 1) that may be alike in ``percent`` of their union, judged by their least hashes.
+def forest(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the two sides that join sets of different labels: as many as it takes, not all.
 
-    A set no larger than its sketch is judged by all its hashes; of others, a
-    pair goes on unless it falls short by more than ``SLACK`` standard deviations.
+    Two sets are linked if they have ``percent`` percent of their union in common,
+    counted on whole sets; labels that a link joins count as one from then on.
     """
-    m = len(sketches)
-    owner = np.repeat(np.arange(m), [len(s) for s in sketches])
-    hashes, place, times = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times > 1)
-    renumbered = np.full(len(hashes), -1)
-    renumbered[shared] = np.arange(len(shared))
-    place = renumbered[place]
-    owner, place = owner[place >= 0], place[place >= 0]
-    both = np.zeros((m, m), np.float32)
+    m, size = len(sets), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(m), size)
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    renumbered = np.cumsum(times > 1) - 1
+    used = times[place] > 1
+    owner, place = owner[used], renumbered[place[used]]
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
-    for lo in range(0, len(shared), 4096):
+    both = np.zeros((m, m), np.float32)
+    for lo in range(0, int((times > 1).sum()), 4096):
         a, b = np.searchsorted(place, [lo, lo + 4096])
-        grid = np.zeros((m, min(4096, len(shared) - lo)), np.float32)
+        grid = np.zeros((m, 4096), np.float32)
         grid[owner[a:b], place[a:b] - lo] = 1
         both += grid @ grid.T
-    cut = np.array([s[-1] if len(s) < n else U64(0xFFFFFFFF) for s, n in zip(sketches, sizes, strict=True)], U64)
-    below = np.array([np.searchsorted(s, cut, "right") for s in sketches])
-    union = np.maximum(below + below.T - both, 1)
-    whole = sizes <= [len(s) for s in sketches]
-    share = percent / 100
-    slack = np.where(whole[:, None] & whole[None, :], 0.0, SLACK * np.sqrt(share * (1 - share) / union))
-    fit = (both / union >= share - slack - 1e-9) & (100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes))
-    fit &= (label[:, None] != label[None, :]) & (side[:, None] != side[None, :])
-    a, b = np.nonzero(np.triu(fit, 1))
-    return a, b
-
-
-def _block_pairs(percent: int):
+    common = both.astype(np.int64)
+    fit = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    fit &= (label[:, None] != label[None, :]) & (side[:, None] < side[None, :])
+    a, b = np.nonzero(fit)
+    names, code = np.unique(label, return_inverse=True)
+    _, first = np.unique(code[a] * len(names) + code[b], return_index=True)
+    up = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kept = []
+    for k in first.tolist():
+        x, y = root(code[a[k]]), root(code[b[k]])
+        if x != y:
+            up[x] = y
+            kept.append(k)
+    return a[kept], b[kept]
+
+
+def _block_links(percent: int):
     """Rows sorted by (key, i, j): one cell of a bucket's grid after another."""
 
     def cells(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -156,16 +162,12 @@ def _block_pairs(percent: int):
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in cells(frames):
-            label, node, size = (cell.column(c).to_numpy() for c in ("component", "node", "n"))
-            if len(label) < 2 or (label == label[0]).all():
-                continue
-            side = cell.column("side").to_numpy()
-            if side.all() or not side.any():
+            label, node, side = (cell.column(c).to_numpy() for c in ("component", "node", "side"))
+            if (label == label[0]).all() or side.all() or not side.any():
                 continue
-            listed = cell.column("sketch").combine_chunks()
-            flat, at = listed.values.to_numpy().view(np.uint32).astype(U64), listed.offsets.to_numpy()
-            sketches = [flat[at[k] : at[k + 1]] for k in range(len(label))]
-            a, b = close_pairs(sketches, size, label, side, percent)
+            listed = cell.column("shingles").combine_chunks()
+            flat, at = listed.values.to_numpy(), listed.offsets.to_numpy()
+            a, b = forest([flat[at[k] : at[k + 1]] for k in range(len(label))], label, side, percent)
             yield pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(node[a], node[b])), "v": pa.array(np.minimum(node[a], node[b]))})
 
     return batches
@@ -191,9 +193,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     of white space, has no shingle and no link, and is kept.
 
     Two sets at exactly 75 percent share none of the 32 bands of four bins with
-    a chance of 5 in a million; a link that no hub shows has a further chance of
-    1 in a million or less to be ruled out by its sketches, if a set has over 256
-    shingles. Shingles and words are told apart by 64-bit hashes.
+    a chance of 5 in a million; no other link between components is lost.
+    Shingles and words are told apart by 64-bit hashes.
 
     Equal sets are one node from the start, so copies cost nothing further.
     Ids may repeat or be null (a null id never names a component unless all its
@@ -229,8 +230,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     named = label.withColumnRenamed("component", "at")
     ends = stars.join(named.withColumnRenamed("node", "u").withColumnRenamed("at", "cu"), "u", "left").join(named.withColumnRenamed("node", "v").withColumnRenamed("at", "cv"), "v", "left")
     ties = ends.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-    rest = ties.unionByName(stray_pairs(bucketed, label, sets, percent)).distinct()
-    more = cut_lineage(confirmed(rest.join(best, ["u", "v"], "left_anti"), sets, percent))
+    strays = stray_links(bucketed, label, sets, percent)
+    more = cut_lineage(confirmed(ties.join(best, ["u", "v"], "left_anti"), sets, percent).unionByName(strays).distinct())
     joined = more.join(named.withColumnRenamed("node", "u").withColumnRenamed("at", "cu"), "u", "left").join(named.withColumnRenamed("node", "v").withColumnRenamed("at", "cv"), "v", "left")
     between = components(joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
 
@@ -241,21 +242,19 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def stray_pairs(bucketed: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v), u > v: pairs of a bucket that lie in two components and that their sketches do not rule out.
+def stray_links(bucketed: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v), u > v: links within buckets that join two components, as many as it takes.
 
     bucketed: key, node, c (members of the bucket). A bucket's largest component
     needs no look within itself. Only its strays, the members outside of it, are
     dealt to blocks of ``BLOCK``, and each block meets all members in blocks of
-    that size. A bucket of c members and s strays sends some 2 * s * c / BLOCK + c
-    rows; buckets without strays send none.
+    that size, by their whole sets. A bucket of c members and s strays sends some
+    2 * s * c / BLOCK + c rows; buckets without strays send none. A cell gives
+    fewer links than it has components, however many of its pairs are alike.
     """
     labelled = bucketed.where("c > 2").join(label, "node", "left").select("key", "node", "c", F.coalesce("component", "node").alias("component"))
     held = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c"))
     open_ = cut_lineage(held.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.max("c") - F.max("n")).alias("strays")).where("strays > 0"))
-    # A sketch holds the upper halves of a set's least hashes; their order is that of the hashes.
-    halves = F.transform(F.slice("shingles", 1, SKETCH), lambda h: F.shiftright(h, 32).cast("int"))
-    sketches = sets.select("node", F.size("shingles").cast("bigint").alias("n"), halves.alias("sketch"))
     met = labelled.join(open_, "key")
     into = lambda n: F.expr(f"int(({n} + {BLOCK - 1}) div {BLOCK})")
     dealt = lambda n: F.pmod(F.xxhash64("node"), into(n)).cast("int")
@@ -264,11 +263,24 @@ def stray_pairs(bucketed: DataFrame, label: DataFrame, sets: DataFrame, percent:
     # A stray answers the blocks up to its own, so two strays meet in one of their two cells, or in both of one block.
     blocks_of = F.when(F.col("component") == F.col("main"), into("strays")).otherwise(dealt("strays") + 1)
     answers = met.select("key", "node", "component", F.lit(1).alias("side"), upto(blocks_of).alias("i"), dealt("c").alias("j"))
-    cells = asked.unionByName(answers).join(sketches, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cells.select("key", "i", "j", "node", "component", "side", "n", "sketch").mapInArrow(_block_pairs(percent), "u bigint, v bigint")
+    cells = asked.unionByName(answers).join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return cells.select("key", "i", "j", "node", "component", "side", "shingles").mapInArrow(_block_links(percent), "u bigint, v bigint")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     kept = near_groups(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+
+
+#: DuckDB SQL for the rows of ``near_groups`` with its default settings: all pairs that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+ends AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT d, y FROM reach JOIN ends ON x = r)
+SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id, d = min(r) AS kept FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY d"""

@@ -80,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.oracle(),
+        "op2_near_dedup": near_dedup.ORACLE,
         "op8_exact_dedup": """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
