@@ -20,6 +20,8 @@ from quern.llm.common import cut_lineage, whole_text, words
 FEATURES = 32_768
 #: Documents whose posteriors round to the same parts share a cell when rates are fitted; a cell keeps their mean.
 PARTS = 256
+#: Tasks that read the cells in each round.
+CELL_TASKS = 16
 #: Labelled rows that are learned from, about and at most.
 MOST_ROWS = 20_000
 #: Texts are dealt to so many folds; a text is scored by weights learned from the labels of the other folds.
@@ -130,12 +132,13 @@ def fit_rates(posteriors: DataFrame, targets: Mapping[str, float], domains: list
     whose K sums go to the driver. Distances to the targets are taken relative
     to the domains' tokens at rate one, and a document's step is not scaled by
     its own tokens; in that metric the gradient's largest slope is one, so steps
-    of length one converge. A domain without any posterior is left out.
+    of length one converge; rounds end when targets are met or the distances
+    stand still. A domain without any posterior is left out.
     """
     k = range(len(domains))
     cell = [F.round(F.col(f"p{i}") * PARTS).cast("int").alias(f"c{i}") for i in k]
     tokens = F.sum("n_tokens").cast("double")
-    cells = cut_lineage(posteriors.where("n_tokens > 0").groupBy(*cell).agg(tokens.alias("n_tokens"), *[(F.sum(F.col("n_tokens") * F.col(f"p{i}")) / tokens).alias(f"p{i}") for i in k]))
+    cells = cut_lineage(posteriors.where("n_tokens > 0").groupBy(*cell).agg(tokens.alias("n_tokens"), *[(F.sum(F.col("n_tokens") * F.col(f"p{i}")) / tokens).alias(f"p{i}") for i in k]).coalesce(CELL_TASKS))
     mass = domain_mass(cells, domains)
     if not sum(mass):
         return []
@@ -144,16 +147,25 @@ def fit_rates(posteriors: DataFrame, targets: Mapping[str, float], domains: list
     for _ in range(rounds):
         now = domain_mass(cells, domains, rate_of(steps, domains, most))
         off = [round((now[i] - wanted[i]) / mass[i], 12) if mass[i] else 0.0 for i in k]
-        if max(map(abs, off)) < 1e-5:
+        still = bool(steps) and max(abs(a - b) for a, b in zip(off, steps[-1], strict=True)) < 1e-6
+        if max(map(abs, off)) < 1e-5 or still:
             break
         steps.append(off)
     return steps
 
 
-def reachable_tokens(posteriors: DataFrame, weights: Mapping[str, float]) -> float:
-    """The largest total whose share of no domain exceeds what the domain has at rate one; domains without text do not count."""
-    domains, whole = list(weights), float(sum(weights.values()))
-    return min((m * whole / weights[d] for d, m in zip(domains, domain_mass(posteriors, domains), strict=True) if m and weights[d]), default=0.0)
+def reachable_targets(posteriors: DataFrame, weights: Mapping[str, float], most: float) -> dict[str, float]:
+    """Targets that rates up to ``most`` can reach, domain by domain.
+
+    The domain of the largest weight gets all it has; the others get their share
+    beside it, or all they have if that is less. A scarce domain so bounds its
+    own target only, not the mixture.
+    """
+    domains = list(weights)
+    mass = dict(zip(domains, domain_mass(posteriors, domains), strict=True))
+    main = max(domains, key=lambda d: (weights[d], d))
+    total = mass[main] / weights[main]
+    return {d: most * min(total * weights[d], mass[d]) for d in domains}
 
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", total_tokens: float | None = None, rounds: int = 60, most_rate: float | None = None, seed: int = 7) -> DataFrame:
@@ -161,8 +173,8 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, fl
 
     ``weights``: the share of tokens wanted of each domain; they are scaled to
     sum to one and times ``total_tokens``. If that is None, it is the corpus's
-    own number of tokens, or, if ``most_rate`` bounds the rates, the
-    ``reachable_tokens`` times that bound. ``target`` holds the tokens that were
+    own number of tokens, or, if ``most_rate`` bounds the rates, targets are the
+    ``reachable_targets``. ``target`` holds the tokens that were
     aimed at, ``expected_mixture`` what the rates lead to. ``copies`` is the rate
     rounded down or up by a seeded hash of the id, so its mean is the rate.
 
@@ -175,14 +187,12 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, fl
     """
     domains = list(weights)
     posteriors = cut_lineage(domain_posteriors(docs, fit_domains(labelled, domains, text_col, domain_col), domains, id_col, text_col))
-    if total_tokens is not None:
-        tokens = total_tokens
-    elif most_rate is not None:
-        tokens = most_rate * reachable_tokens(posteriors, weights)
-    else:
-        tokens = float(posteriors.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
     whole = float(sum(weights.values()))
-    targets = {d: tokens * w / whole for d, w in weights.items()}
+    if total_tokens is None and most_rate is not None:
+        targets = reachable_targets(posteriors, weights, most_rate)
+    else:
+        tokens = total_tokens if total_tokens is not None else float(posteriors.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
+        targets = {d: tokens * w / whole for d, w in weights.items()}
     steps = fit_rates(posteriors, targets, domains, rounds, most_rate)
     draw = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_003)) + 0.5) / 1_000_003
     named = lambda values: F.map_from_arrays(F.array(*[F.lit(d) for d in domains]), F.array(*values))

@@ -88,6 +88,20 @@ def test_targets_are_met_on_the_test_tables(spark):
     assert set(out) == set(MIXTURE) and all(abs(r.off) < 1e-4 for r in out.values())
 
 
+def test_scarce_domain_does_not_bound_the_mixture(spark):
+    """With rates of one at most, clean text stays whole however little of another domain there is."""
+    schema = "n_tokens bigint, p0 double, p1 double, p2 double"
+    rows = spark.createDataFrame([(100, 1.0, 0.0, 0.0)] * 90 + [(100, 0.0, 0.0, 1.0)] * 10 + [(1, 0.0, 1.0, 0.0)], schema)
+    weights = {"clean": 0.9, "low": 0.05, "toxic": 0.05}
+    targets = mixing.reachable_targets(rows, weights, 1.0)
+    assert targets == pytest.approx({"clean": 9000, "low": 1, "toxic": 500})
+    steps = mixing.fit_rates(rows, targets, list(weights), most=1.0)
+    got = {tuple(r[:3]): r[3] for r in rows.select("p0", "p1", "p2", mixing.rate_of(steps, list(weights), 1.0)).distinct().collect()}
+    assert got[1, 0, 0] == pytest.approx(1, abs=1e-4) and got[0, 1, 0] == pytest.approx(1, abs=1e-4) and got[0, 0, 1] == pytest.approx(0.5, abs=1e-3)
+    none = spark.createDataFrame([], schema)
+    assert mixing.reachable_targets(none, weights, 1.0) == {"clean": 0, "low": 0, "toxic": 0}
+
+
 def test_labels_are_bounded_and_count_once(spark, docs_of):
     docs = docs_of([(k, f"t{k}") for k in range(400)])
     labels = spark.createDataFrame([(k, 1, 0) for k in range(400)] + [(0, 0, 1), (1, 0, 0), (1, 0, 0), (2, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
@@ -162,6 +176,77 @@ def test_classifier_edges(spark, docs_of):
     assert qc.score_quality(docs_of(rows), labels.where("false")).count() == len(rows)
 
 
+def test_co_training_matches_brute_force(spark, docs_of):
+    """Two rounds over single rows in plain Python: counts, calibration, pseudo-labels of the other view, scores."""
+    import math
+    import zlib
+
+    from quern.llm.textkit import text_bytes, word_hashes
+
+    rng = random.Random(8)
+    rows, given = [], {}
+    for k in range(260):
+        good = rng.random() < 0.5
+        words = ("alpha beta gamma delta common" if good else "junk spam buy now common").split()
+        rows.append((k, " ".join(rng.choice(words) for _ in range(4 + k % 9)) if k % 50 else None, "en" if k % 3 else None, rng.choice("ab" if good else "bc")))
+        if k % 3 == 0:
+            given[k] = int(good if rng.random() < 0.95 else not good)
+    out = {r.doc_id: r for r in qc.score_quality(docs_of(rows), spark.createDataFrame(list(given.items()), "doc_id bigint, quality int"), sure=0.8).collect()}
+
+    import pyarrow as pa
+
+    def features(text):
+        word, _ = word_hashes(*text_bytes(pa.array([text], pa.string())))
+        return {int(w) % qc.WORDS for w in word}
+
+    crc = lambda x: zlib.crc32(x.encode())
+    view_of = {}
+    for k, text, lang, source in rows:
+        size = int(math.log2(max(len(text or ""), 1)))
+        meta = [crc(source) % 300, 310 + (crc(lang) % 100 if lang else 100), 420 + min(2 * size, 60)]
+        view_of[k] = {"text": features(text), "meta": meta}
+    aside = {k for k in given if crc(str(k)) % 5 == 0}
+    size_of = {"text": qc.WORDS, "meta": qc.META}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    weight = line = None
+    for _ in range(3):
+        sets = {}
+        for view, other in (("text", "meta"), ("meta", "text")):
+            sets[view] = {0: [], 1: []}
+            for k in view_of:
+                if k in aside:
+                    continue
+                if k in given:
+                    sets[view][given[k]].append(k)
+                elif weight is not None:
+                    p = sigmoid(min(30, max(-30, line[other][0] * raw(other, k) + line[other][1])))  # noqa: F821
+                    if p >= 0.8 or p <= 1 - 0.8:
+                        sets[view][int(p >= 0.8)].append(k)
+        learned = {}
+        for view in qc.VIEWS:
+            n = [Counter(f for k in sets[view][y] for f in view_of[k][view]) for y in (0, 1)]
+            total = [sum(c.values()) for c in n]
+            learned[view] = lambda f, n=n, total=total, size=size_of[view]: math.log((n[1][f] + 1) / (total[1] + size)) - math.log((n[0][f] + 1) / (total[0] + size))
+        weight = learned
+
+        def raw(view, k, weight=weight):
+            each = [weight[view](f) for f in view_of[k][view]]
+            value = sum(each) / math.sqrt(max(len(each), 1)) if view == "text" else sum(each)
+            return min(qc.REACH, max(-qc.REACH, value))
+
+        line = {}
+        for view in qc.VIEWS:
+            cells = np.zeros((2, qc.BINS))
+            for k in aside:
+                cells[given[k], min(int((raw(view, k) + qc.REACH) * qc.BINS / (2 * qc.REACH)), qc.BINS - 1)] += 1
+            line[view] = qc.platt_line(cells)
+        n1 = sum(given[k] for k in aside)
+        prior = math.log((n1 + 1) / (len(aside) - n1 + 1))
+    for k in view_of:
+        text, meta = (min(30, max(-30, line[v][0] * raw(v, k) + line[v][1])) for v in qc.VIEWS)
+        assert (out[k].text_score, out[k].meta_score, out[k].score) == pytest.approx((sigmoid(text), sigmoid(meta), sigmoid(text + meta - prior)), abs=1e-9)
+
+
 def test_platt_line_fits_a_logistic_curve():
     x = (np.arange(qc.BINS) + 0.5) * 2 * qc.REACH / qc.BINS - qc.REACH
     p = 1 / (1 + np.exp(-(0.7 * x - 1)))
