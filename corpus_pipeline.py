@@ -25,7 +25,7 @@ from quern.llm.exact_dedup import drop_exact_copies
 from quern.llm.near_dedup import drop_near_copies
 from quern.llm.quality_rules import drop_low_quality
 
-#: Token shares that rates of at most one can reach where clean text prevails: clean text stays whole, low and toxic text is thinned.
+#: Token shares for rates of at most one: clean text stays whole, low and toxic text is thinned to its share beside it.
 KEPT_MIXTURE = {"clean": 0.985, "low": 0.01, "toxic": 0.005}
 
 
@@ -47,8 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Low and toxic text is thinned to its share of what clean text there is; no rate is above one, so no document is repeated.
 
-    The total is the largest that rates of one can reach in every domain; so the
-    targets are the clean text's own tokens and their shares of the others.
+    The targets are the clean text's own tokens and, beside them, the others'
+    shares or all they have.
     """
     labelled = mixing.labelled_domains(docs, table(spark, sf_dir, "labels"))
     return mixing.take_mixture(docs, labelled, KEPT_MIXTURE, most_rate=1.0)
