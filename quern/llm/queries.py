@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, brown_lm, language_id, mixing, near_dedup, pii, quality_classifier, quality_rules
+from quern.llm import bpe, brown_lm, filter_audit, language_id, mixing, near_dedup, pii, quality_classifier, quality_rules
 from quern.llm.common import table
 from quern.llm.exact_dedup import exact_groups
 from quern.llm.sharding import interleaved_shards
@@ -62,6 +62,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_columns(bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_personal_data": op9_personal_data,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
@@ -81,6 +86,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.oracle(),
         "op2_near_dedup": near_dedup.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
         "op8_exact_dedup": """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
