@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, brown_lm, filter_audit, language_id, mixing, near_dedup, pii, quality_classifier, quality_rules, token_counts
+from quern.llm import bpe, brown_lm, conversation_repair, filter_audit, language_id, mixing, near_dedup, pii, quality_classifier, quality_rules, token_counts
 from quern.llm.common import table
 from quern.llm.exact_dedup import exact_groups
 from quern.llm.sharding import interleaved_shards
@@ -66,6 +66,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    summary, turns = conversation_repair.repair_conversations(conversation_repair.damage(conversations), conversations)
+    return conversation_repair.digest_columns(summary, turns)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = token_counts.read_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
     return token_counts.count_columns(token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary))
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_personal_data": op9_personal_data,
         "op10_byte_bpe": op10_byte_bpe,
         "op11_filter_audit": op11_filter_audit,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_token_counts": op13_token_counts,
     }
 
