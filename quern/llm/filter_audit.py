@@ -18,13 +18,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
-    """Each (doc_id, print) with its words and its distinct words, of a table with doc_id, print and content.
+    """Words and distinct words of each (doc_id, print), of a table with doc_id, print and content.
 
-    Words are exploded, counted by (document, word), then by document: however
-    long a text is or often a word comes, the first count is spread over its
-    words and the second over partial sums. Texts without words have no row.
+    Rows that repeat id and text are folded into one before words are exploded,
+    and that places each text in the task that then counts by (document, word)
+    and by document, so no word is sent anywhere. Texts without words have no
+    row.
     """
-    each = docs.select("doc_id", "print", F.explode(F.split("content", WHITE)).alias("word")).where("word <> ''")
+    texts = docs.groupBy("doc_id", "print").agg(F.first("content").alias("content"))
+    each = texts.select("doc_id", "print", F.explode(F.split("content", WHITE)).alias("word")).where("word <> ''")
     counted = each.groupBy("doc_id", "print", "word").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("doc_id", "print").agg(F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_distinct"))
 
@@ -53,31 +55,18 @@ def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             F.col("content").rlike(r"[#$%&*|]").alias("d"),
         )
     )
-    copies = facts.groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("copies"))
-    totals = word_totals(rows)
-    by_text = _outer(copies, totals, "copies").select(
-        "doc_id",
-        "print",
-        F.expr("coalesce(n_words, 0) div copies").alias("n_words"),  # rows that repeat id and text were counted together
-        F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
-    )
     firsts = cut_lineage(facts.groupBy("digest").agg(F.min("doc_id").alias("first")))
     marked = labels.groupBy(F.col("doc_id").alias("__label")).agg(F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
     flagged = facts.join(firsts, "digest").select("doc_id", "part", "print", "c", "d", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("e"))
-    flags = _outer(flagged, cut_lineage(by_text), "part")
+    totals = cut_lineage(word_totals(rows)).withColumnsRenamed({"doc_id": "__doc_id", "print": "__print"})
+    same = flagged["doc_id"].eqNullSafe(totals["__doc_id"]) & (flagged["print"] == totals["__print"])
+    flags = flagged.join(totals, same, "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_words", "n_distinct")})
     flags = flags.join(marked, flags["doc_id"] == marked["__label"], "left")
     bit = lambda holds, k: F.when(holds, F.lit(1 << k)).otherwise(F.lit(0))
     failed = bit(F.col("n_words") < 200, 0) + bit(100 * F.col("n_distinct") < 50 * F.col("n_words"), 1) + bit(F.col("c"), 2) + bit(F.col("d"), 3) + bit(F.col("e"), 4)
     return flags.select("doc_id", "part", failed.alias("failed"), F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
 
 
-def _outer(flags: DataFrame, others: DataFrame, present: str) -> DataFrame:
-    """``flags`` outer-joined with others of the same (doc_id, print), null ids too; ``present`` tells rows that have flags."""
-    others = others.withColumnsRenamed({"doc_id": "__doc_id", "print": "__print"})
-    same = flags["doc_id"].eqNullSafe(others["__doc_id"]) & (flags["print"] == others["__print"])
-    return flags.join(others, same, "outer").where(F.col(present).isNotNull()).drop("__doc_id", "__print")
-
-
 def mask_counts(failed: DataFrame) -> DataFrame:
     """One row per part: documents, good and toxic ones for each of the 32 sets of failures, as arrays ``n``, ``good``, ``toxic``."""
     counts = failed.groupBy("part", "good", "toxic").agg(*[F.count(F.when(F.col("failed") == m, 1)).alias(f"m{m}") for m in MASKS])
