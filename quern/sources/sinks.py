@@ -35,7 +35,7 @@ def checked_ledger(txn: DataFrame) -> DataFrame:
 
 
 def write_ledger(txn: DataFrame, path: str) -> None:
-    """Appends checked rows, laid out by organisation and month so that reports read only their own."""
+    """Appends checked rows, laid out by organisation and month so that reports read only their own; under a folder of ``Commits`` too."""
     checked_ledger(txn).withColumn("month", F.date_format("booked_on", "yyyy-MM")).write.mode("append").partitionBy("org_id", "month").parquet(path)
 
 

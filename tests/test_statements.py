@@ -99,7 +99,7 @@ def test_files_through_spark(spark, tmp_path):
 
 
 def test_stream_imports_each_row_once(spark, tmp_path):
-    from quern.streaming.ingest import stream_files
+    from quern.streaming.ingest import imported, stream_files
 
     inbox = tmp_path / "in"
     inbox.mkdir()
@@ -109,14 +109,14 @@ def test_stream_imports_each_row_once(spark, tmp_path):
     (inbox / "same.csv").write_bytes(sample(ROWS))
     (inbox / "next.csv").write_bytes(sample(ROWS + "\n07.01.2024;3;0,00;1,00;C;190000003;BY3;x"))
     stream_files(spark, str(inbox), *where).awaitTermination(120)
-    rows = spark.read.parquet(where[0]).orderBy("booked_on").collect()
+    rows = imported(spark, *where[:2])["ledger"].orderBy("booked_on").collect()
     assert [r.amount_minor for r in rows] == [-5000, 1000, 100]
     assert rows[0].counterparty_key == "tax:190000001"
 
 
 def streamed(spark, tmp_path, contents, **options):
     """The tables after one run over files of the given contents: rows, files, skips, errors."""
-    from quern.streaming.ingest import stream_files
+    from quern.streaming.ingest import imported, stream_files
 
     inbox = tmp_path / "in"
     inbox.mkdir(exist_ok=True)
@@ -124,8 +124,8 @@ def streamed(spark, tmp_path, contents, **options):
         (inbox / name).write_bytes(raw)
     ledger, files, cp = (str(tmp_path / x) for x in ("ledger", "files", "cp"))
     stream_files(spark, str(inbox), ledger, files, cp, **options).awaitTermination(180)
-    read = lambda path: spark.read.parquet(path).collect()
-    return read(ledger), {r.path.rpartition("/")[2]: r for r in read(files)}, read(f"{files}-skips"), read(f"{files}-errors")
+    read = {name: table.collect() for name, table in imported(spark, ledger, files).items()}
+    return read["ledger"], {r.path.rpartition("/")[2]: r for r in read["files"]}, read["skips"], read["errors"]
 
 
 def test_stream_keeps_one_row_of_two_overlapping_files(spark, tmp_path):
@@ -146,14 +146,14 @@ def test_stream_records_what_it_cannot_import(spark, tmp_path):
 
 def test_stream_holds_back_warnings_if_asked(spark, tmp_path):
     rows = sample(ROWS, closing="0,00;61,00")
-    from quern.streaming.ingest import import_batch
     from quern.sources.statements import read_files
+    from quern.streaming.ingest import import_batch, imported
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "w.csv").write_bytes(rows)
     files = read_files(spark, str(tmp_path / "in"))
     where = [str(tmp_path / x) for x in ("ledger", "files")]
     import_batch(files, *where, accept_warnings=False)
-    assert [r.failure_code for r in spark.read.parquet(where[1]).collect()] == ["needs_override"]
+    assert [r.failure_code for r in imported(spark, *where)["files"].collect()] == ["needs_override"]
     import_batch(files, *where)
-    assert spark.read.parquet(where[0]).count() == 2
+    assert imported(spark, *where)["ledger"].count() == 2
