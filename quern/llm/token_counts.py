@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -78,18 +80,24 @@ class PrefixCounter(Encoder):
     def __init__(self, vocabulary: Vocabulary, most_kept: int = 300_000):
         super().__init__(vocabulary.ranks, r"\A.*\Z", most_kept)
         self._special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.specials, key=len, reverse=True))) or r"(?!)")
+        self._size = [0] * (max(vocabulary.ranks.values()) + 1)
+        for token, rank in vocabulary.ranks.items():
+            self._size[rank] = len(token)
         self._units: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def piece_counts(self, piece: bytes) -> list[int]:
         """Tokens of piece[:0], piece[:1], ..., piece."""
-        n, size = len(piece), self.bytes_of
-        last, count = [None] * (n + 1), [0] * (n + 1)
+        size, known, last, count = self._size, self._holds, [-1] * (len(piece) + 1), [0] * (len(piece) + 1)
         for end, token in self.automaton.iter(piece.decode("latin-1")):
             end += 1
-            if last[end] is None:
-                start = end - len(size[token])
-                if not start or self._border(last[start], token):
-                    last[end], count[end] = token, count[start] + 1
+            if last[end] < 0:
+                start = end - size[token]
+                if start:
+                    holds = known.get((last[start], token))
+                    if not (self._border(last[start], token) if holds is None else holds):
+                        continue
+                last[end], count[end] = token, count[start] + 1
         return count
 
     def _by_letter(self, piece: str) -> list[int]:
@@ -103,17 +111,20 @@ class PrefixCounter(Encoder):
     def _unit(self, unit: str) -> bytes:
         """What each code point of white space and the piece after it adds to the count."""
         white = RUN.match(unit).end()
-        body, run = unit[white:], self._by_letter(unit[:white])
-        counts = run[1:]
-        if body:
-            if white and unit[white - 1] == " ":  # the last space belongs to the piece
-                before, own = run[white - 1], self._by_letter(unit[white - 1 :])[2:]
-            else:
-                before, own = (run[white - 1] + self._by_letter(unit[white - 1])[-1] if white else 0), self._by_letter(body)[1:]
-            if body in LONG_CONTRACTIONS:
-                own[1] = own[0] + self._by_letter(body[1])[-1]
-            counts = counts + [before + c for c in own]
-        return np.diff(np.array([0, *counts], "<i4")).tobytes()
+        run, body = unit[:white], unit[white:]
+        if body and run in ("", " "):  # one piece, whose first space alone is a token too
+            counts = self._by_letter(unit)
+        else:
+            counts = self._by_letter(run)
+            if body and run[-1] == " ":  # the last space belongs to the piece
+                before, own = counts[-2], self._by_letter(" " + body)[2:]
+                counts += [before + c for c in own]
+            elif body:
+                before, own = counts[-2] + self._by_letter(run[-1])[-1], self._by_letter(body)[1:]
+                counts += [before + c for c in own]
+        if body in LONG_CONTRACTIONS:
+            counts[-2] = counts[-3] + self._by_letter(body[1])[-1]
+        return array("i", [y - x for x, y in pairwise(counts)]).tobytes()
 
     def _plain(self, text: str) -> np.ndarray:
         """Counts of all prefixes of a text without special strings."""
@@ -121,14 +132,15 @@ class PrefixCounter(Encoder):
         for unit in UNIT.findall(text):
             own = kept.get(unit)
             if own is None:
-                own = self._unit(unit)
+                own = self._older.get(unit) or self._unit(unit)
                 if len(unit) <= 64:
-                    if len(kept) >= self.most_kept:
-                        kept.clear()
+                    if len(kept) >= self.most_kept:  # what was not asked for since the last time goes
+                        self._older, self._units = kept, {}
+                        kept = self._units
                     kept[unit] = own
             steps.append(own)
         counts = np.zeros(len(text) + 1, np.int64)
-        np.cumsum(np.frombuffer(b"".join(steps), "<i4"), out=counts[1:])
+        np.cumsum(np.frombuffer(b"".join(steps), "i"), out=counts[1:])
         return counts
 
     def counts(self, text: str) -> np.ndarray:
