@@ -49,8 +49,10 @@ def calendar(spark: SparkSession, first: str, last: str, granularity: str = "mon
     return months.groupBy(period_label(F.col("month_start"), granularity).alias("period")).agg(F.min("month_start").alias("period_from"), F.last_day(F.max("month_start")).alias("period_to"))
 
 
-def try_parse_date(text: Column) -> Column:
-    """A day from the four known layouts, tried in order; null if none fits."""
+def try_parse_date(text: Column, layout: str = "") -> Column:
+    """A day from the four known layouts, tried in order, or from the one that is named; null if none fits."""
     bare = F.trim(text)
+    if layout:
+        return F.try_to_date(bare, layout)
     layouts = [(r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$", "dd.MM.yyyy"), (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd"), (r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", "dd/MM/yyyy"), (r"^[0-9]{2}-[0-9]{2}-[0-9]{4}$", "dd-MM-yyyy")]
     return F.coalesce(*[F.when(bare.rlike(shape), F.try_to_date(bare, layout)) for shape, layout in layouts])

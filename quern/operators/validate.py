@@ -2,35 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.money import exponent_of, try_parse_amount
 from quern.functions.periods import try_parse_date
 from quern.functions.text import has_replacement_char
 
-#: States of a batch and the moves between them.
+#: The states of a batch and the moves between them. The last four states end a batch.
 MOVES = {
-    "awaiting_upload": ("uploaded", "abandoned"),
-    "uploaded": ("measured", "failed", "rejected"),
-    "measured": ("validating", "failed"),
-    "validating": ("validated", "validated_with_warnings", "rejected", "failed"),
+    "awaiting_upload": ("uploaded", "abandoned", "failed"),
+    "uploaded": ("parsing", "failed"),
+    "parsing": ("parsed", "failed"),
+    "parsed": ("validating", "failed"),
+    "validating": ("validated", "rejected", "failed"),
     "validated": ("persisting", "failed"),
-    "validated_with_warnings": ("persisting", "rejected", "failed"),
     "persisting": ("imported", "failed"),
+    "abandoned": (),
+    "rejected": (),
+    "imported": (),
+    "failed": (),
 }
 
 
-def row_errors(rows: DataFrame, today: str) -> DataFrame:
+def row_errors(rows: DataFrame, today: str, date_format: str = "") -> DataFrame:
     """batch_id, line_no, field, code, raw: an error for each check that a statement row fails.
 
     rows: batch_id, line_no, currency, booked_on, debit, credit, description,
     counterparty, document_no as text, and account if accounts are checked. A day
-    is plausible within ten times 365 days before ``today`` and one day after it.
+    is plausible within ten times 365 days before ``today`` and one day after it;
+    a profile's ``date_format`` is the only one it may be written in.
     In an unknown currency no amount can be read, so that is the one error of the
     amounts. An account that is missing or blank is not resolved.
     """
-    day, now = try_parse_date(F.col("booked_on")), F.lit(today).cast("date")
+    day, now = try_parse_date(F.col("booked_on"), date_format), F.lit(today).cast("date")
     amounts = {f"__{c}": try_parse_amount(F.col("currency"), F.col(c)) for c in ("debit", "credit")}
     read = rows.withColumns(amounts | {"__digits": exponent_of(F.col("currency")), "__day": day})
 
@@ -102,8 +107,6 @@ def report_json(errors: DataFrame, most: int = 100, raw_bytes: int = 200) -> Dat
     Each batch keeps a bounded list: errors are ranked first, so a batch of
     millions of errors never meets in one row.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("batch_id").orderBy("line_no", "field", "code")
     total = errors.groupBy("batch_id").agg(F.count(F.lit(1)).alias("error_count"))
     # A character has four bytes at most: of the cuts that leave off none to three, the longest that is whole text.
@@ -114,11 +117,44 @@ def report_json(errors: DataFrame, most: int = 100, raw_bytes: int = 200) -> Dat
     return listed.join(total, "batch_id").select("batch_id", F.to_json(F.struct(F.lit(1).alias("schema"), "error_count", "errors")).alias("report"))
 
 
+def may_move(state: Column, next_state: Column) -> Column:
+    """Whether a batch may go from one state to the other; unknown states go nowhere."""
+    steps = F.create_map(*[x for a, to in MOVES.items() for x in (F.lit(a), F.array(*map(F.lit, to)) if to else F.array().cast("array<string>"))])
+    return F.coalesce(F.array_contains(F.try_element_at(steps, state), next_state), F.lit(False))
+
+
 def illegal_moves(history: DataFrame) -> DataFrame:
     """Moves (batch_id, state, next_state) that no batch may make."""
-    spark = history.sparkSession
-    legal = spark.createDataFrame([(a, b) for a, to in MOVES.items() for b in to], "state string, next_state string")
-    return history.join(legal, ["state", "next_state"], "left_anti")
+    return history.where(~may_move(F.col("state"), F.col("next_state")))
+
+
+def moved(batches: DataFrame, asked: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(batches in their new state, requests that are refused) of requests batch_id, status, failure_code.
+
+    A failure has a code and no other state does: a code that was there before is
+    cleared. Refused are requests for a batch that has several (``asked_twice``),
+    for one that is not there (``not_found``), from a state
+    that cannot be left that way (``illegal_transition``), for a state past the
+    upload without a measurement (``not_measured``), and to import a file that is
+    imported already, in this or an earlier request (``already_imported``).
+    """
+    want = asked.select(F.col("batch_id").alias("__id"), F.col("status").alias("__to"), F.col("failure_code").alias("__code"))
+    seen = batches.where("status = 'imported'").select(F.col("org_id").alias("__org"), F.col("file_sha256").alias("__sha")).distinct()
+    joined = want.join(batches, F.col("__id") == F.col("batch_id"), "left").join(seen, (F.col("org_id") == F.col("__org")) & (F.col("file_sha256") == F.col("__sha")), "left")
+    first = F.row_number().over(Window.partitionBy("__to", "org_id", "file_sha256").orderBy("__id"))
+    unmeasured = F.col("file_sha256").isNull() | F.col("byte_length").isNull() | F.col("content_type").isNull()
+    twice = (F.col("__to") == "imported") & (F.col("__sha").isNotNull() | ((first > 1) & F.col("file_sha256").isNotNull()))
+    refused = (
+        F.when(F.count(F.lit(1)).over(Window.partitionBy("__id")) > 1, "asked_twice")
+        .when(F.col("batch_id").isNull(), "not_found")
+        .when(~may_move(F.col("status"), F.col("__to")), "illegal_transition")
+        .when(unmeasured & ~F.col("__to").isin("awaiting_upload", "abandoned", "failed"), "not_measured")
+        .when(twice, "already_imported")
+    )
+    judged = joined.withColumn("refused", refused)
+    new = {"status": F.col("__to"), "failure_code": F.when(F.col("__to") == "failed", F.col("__code")), "updated_at": now}
+    done = judged.where("refused IS NULL").withColumns(new).select(*batches.columns)
+    return done, judged.where("refused IS NOT NULL").select(F.col("__id").alias("batch_id"), "status", F.col("__to").alias("next_status"), "refused")
 
 
 def expired(batches: DataFrame, now: Column, minutes: int = 15) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import money, text
@@ -591,19 +591,73 @@ def outcome_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.outcomes(errors.select("batch_id").distinct(), errors, errors.where("false").select("batch_id", "code"))
 
 
-LEGAL_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, to in validate.MOVES.items() for b in to) + ") AS legal(state, next_state)"
-STATES = sorted({*validate.MOVES, *[b for to in validate.MOVES.values() for b in to]})
-_STATE_SQL = "[" + ", ".join(f"'{s}'" for s in STATES) + "]"
+# Written out beside the library's own table, so that the two are held against each other.
+LEGAL_SQL = """(VALUES ('awaiting_upload', 'uploaded'), ('awaiting_upload', 'abandoned'), ('awaiting_upload', 'failed'), ('uploaded', 'parsing'), ('uploaded', 'failed'),
+  ('parsing', 'parsed'), ('parsing', 'failed'), ('parsed', 'validating'), ('parsed', 'failed'), ('validating', 'validated'), ('validating', 'rejected'), ('validating', 'failed'),
+  ('validated', 'persisting'), ('validated', 'failed'), ('persisting', 'imported'), ('persisting', 'failed')) AS legal(state, next_state)"""
+STATES = ["abandoned", "awaiting_upload", "failed", "imported", "parsed", "parsing", "persisting", "rejected", "uploaded", "validated", "validating", "measured"]
+_STATE_SQL = "['abandoned', 'awaiting_upload', 'failed', 'imported', 'parsed', 'parsing', 'persisting', 'rejected', 'uploaded', 'validated', 'validating', 'measured']"
 
 
-@query("batch_state_illegal", f"WITH h AS (SELECT o_orderkey AS batch_id, {_STATE_SQL}[o_orderkey % {len(STATES)} + 1] AS state, {_STATE_SQL}[o_custkey % {len(STATES)} + 1] AS next_state FROM orders) SELECT * FROM h WHERE (state, next_state) NOT IN (SELECT (state, next_state) FROM {LEGAL_SQL})")
+def _state(place: str) -> Column:
+    return F.element_at(F.array(*[F.lit(s) for s in STATES]), F.expr(f"cast({place} as int)"))
+
+
+@query("batch_state_illegal", f"WITH h AS (SELECT o_orderkey AS batch_id, {_STATE_SQL}[o_orderkey % 12 + 1] AS state, {_STATE_SQL}[o_custkey % 12 + 1] AS next_state FROM orders) SELECT * FROM h WHERE (state, next_state) NOT IN (SELECT (state, next_state) FROM {LEGAL_SQL})")
 def batch_state_illegal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*[F.lit(s) for s in STATES])
-    pick = lambda col: F.element_at(names, (F.col(col) % len(STATES) + 1).cast("int"))
-    history = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("batch_id"), pick("o_orderkey").alias("state"), pick("o_custkey").alias("next_state"))
+    history = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("batch_id"), _state("o_orderkey % 12 + 1").alias("state"), _state("o_custkey % 12 + 1").alias("next_state"))
     return validate.illegal_moves(history).select("batch_id", "state", "next_state")
 
 
+BATCHES_SQL = f"""batches AS (
+  SELECT o_orderkey AS batch_id, 'o' || (o_custkey % 3) AS org_id, {_STATE_SQL}[o_orderkey % 11 + 1] AS status, CASE WHEN o_orderkey % 13 > 0 THEN 'f' || (o_custkey % 40) END AS file_sha256
+  FROM orders),
+asked AS (
+  SELECT CASE WHEN l_linenumber = 5 THEN -l_orderkey ELSE l_orderkey END AS batch_id, {_STATE_SQL}[l_partkey % 11 + 1] AS status, CASE WHEN l_suppkey % 2 = 0 THEN 'code' || (l_suppkey % 5) END AS failure_code
+  FROM lineitem WHERE l_linenumber IN (3, 5) OR l_linenumber = 4 AND l_partkey % 20 = 0),
+judged AS (
+  SELECT a.batch_id, b.status, a.status AS next_status, a.failure_code,
+         CASE WHEN count(*) OVER (PARTITION BY a.batch_id) > 1 THEN 'asked_twice'
+              WHEN b.batch_id IS NULL THEN 'not_found'
+              WHEN (b.status, a.status) NOT IN (SELECT (state, next_state) FROM {LEGAL_SQL}) THEN 'illegal_transition'
+              WHEN b.file_sha256 IS NULL AND a.status NOT IN ('awaiting_upload', 'abandoned', 'failed') THEN 'not_measured'
+              WHEN a.status = 'imported' AND b.file_sha256 IS NOT NULL AND ((b.org_id, b.file_sha256) IN (SELECT (org_id, file_sha256) FROM batches WHERE status = 'imported' AND file_sha256 IS NOT NULL)
+                   OR row_number() OVER (PARTITION BY a.status, b.org_id, b.file_sha256 ORDER BY a.batch_id) > 1) THEN 'already_imported' END AS refused
+  FROM asked a LEFT JOIN batches b ON a.batch_id = b.batch_id)"""
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sha = F.when(F.expr("o_orderkey % 13 > 0"), F.concat(F.lit("f"), F.expr("cast(o_custkey % 40 as string)")))
+    batches = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("batch_id"),
+        F.concat(F.lit("o"), F.expr("cast(o_custkey % 3 as string)")).alias("org_id"),
+        _state("o_orderkey % 11 + 1").alias("status"),
+        F.lit(None).cast("string").alias("failure_code"),
+        sha.alias("file_sha256"),
+        F.when(sha.isNotNull(), 1).cast("bigint").alias("byte_length"),
+        F.when(sha.isNotNull(), "text/plain").alias("content_type"),
+        F.lit(None).cast("timestamp").alias("updated_at"),
+    )
+    asked = (
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        .where("l_linenumber IN (3, 5) OR l_linenumber = 4 AND l_partkey % 20 = 0")
+        .select(F.expr("CASE WHEN l_linenumber = 5 THEN -l_orderkey ELSE l_orderkey END").alias("batch_id"), _state("l_partkey % 11 + 1").alias("status"), F.expr("CASE WHEN l_suppkey % 2 = 0 THEN concat('code', l_suppkey % 5) END").alias("failure_code"))
+    )
+    return validate.moved(batches, asked, F.current_timestamp())
+
+
+@query("batch_moves", f"WITH {BATCHES_SQL} SELECT batch_id, next_status AS status, CASE WHEN next_status = 'failed' THEN failure_code END AS failure_code FROM judged WHERE refused IS NULL")
+def batch_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that requests bring into a new state."""
+    return _moves(spark, sf_dir)[0].select("batch_id", "status", "failure_code")
+
+
+@query("batch_moves_refused", f"WITH {BATCHES_SQL} SELECT batch_id, status, next_status, refused FROM judged WHERE refused IS NOT NULL")
+def batch_moves_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that move nothing, and why."""
+    return _moves(spark, sf_dir)[1]
+
+
 @query("expiry", "SELECT event_id AS batch_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 15 MINUTE THEN 'abandoned' WHEN event_type = 'view' THEN 'awaiting_upload' ELSE 'uploaded' END AS state FROM events")
 def expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("batch_id"), F.col("ts").alias("created_at"), F.when(F.col("event_type") == "view", "awaiting_upload").otherwise("uploaded").alias("state"))

@@ -8,6 +8,7 @@ upload limit, so a row is.
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator, Mapping
@@ -134,11 +135,19 @@ class Profile:
     charset: str = ""
     delimiter: str = ""
     columns: Mapping[str, str] = field(default_factory=dict)
+    decimal_sep: str = ""
+    date_format: str = ""
 
     def source_of(self, canonical: str, built_in: str) -> str:
         return next((s for s, c in sorted(self.columns.items()) if c == canonical), built_in)
 
 
+    def as_json(self) -> str:
+        """What a batch keeps of the profile that it was read with; blank parts are left out."""
+        said = {"charset": self.charset, "delimiter": self.delimiter, "decimal_sep": self.decimal_sep, "date_format": self.date_format, "column_map": dict(self.columns)}
+        return json.dumps({k: v for k, v in said.items() if v}, ensure_ascii=False)
+
+
 class NotReadable(ValueError):
     """A file that a parser cannot read."""
 

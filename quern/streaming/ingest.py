@@ -24,7 +24,7 @@ from quern.functions.text import counterparty_key, normalize_description
 from quern.operators.dedup import content_key, dedup_hash, split_reimports, with_occurrence
 from quern.operators.validate import file_warnings, outcomes, row_errors
 from quern.sources.sinks import write_ledger
-from quern.sources.statements import measured, statement_lines, statements
+from quern.sources.statements import Profile, measured, statement_lines, statements
 from quern.sources.versions import Commits
 
 FILES_SCHEMA = "path string, file_sha256 string, byte_length bigint, content_type string, failure_code string, detail string, error_count bigint, warning_count bigint"
@@ -38,7 +38,7 @@ ERRORS_SCHEMA = "batch_id string, line_no bigint, field string, code string, raw
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def ledger_rows(lines: DataFrame) -> DataFrame:
+def ledger_rows(lines: DataFrame, date_format: str = "") -> DataFrame:
     """Ledger rows of statement lines: signed amounts, normal forms and content hashes."""
     none = F.lit(None).cast("string")
     amount = F.when(F.col("debit_minor") != 0, -F.col("debit_minor")).otherwise(F.col("credit_minor"))
@@ -47,7 +47,7 @@ def ledger_rows(lines: DataFrame) -> DataFrame:
         "line_no",
         "account",
         "currency",
-        try_parse_date(F.col("booked_on")).alias("booked_on"),
+        try_parse_date(F.col("booked_on"), date_format).alias("booked_on"),
         amount.alias("amount_minor"),
         F.col("counterparty_name").alias("counterparty_raw"),
         counterparty_key(F.col("counterparty_name"), F.col("counterparty_tax_id"), F.col("counterparty_account")).alias("counterparty_key"),
@@ -59,7 +59,7 @@ def ledger_rows(lines: DataFrame) -> DataFrame:
     return rows.withColumn("content_key", content_key(F.col("account"), F.col("booked_on"), F.col("amount_minor"), F.col("currency"), F.col("description_norm"), none, none, F.col("posting_no")))
 
 
-def errors_of(lines: DataFrame, today: str) -> DataFrame:
+def errors_of(lines: DataFrame, today: str, date_format: str = "") -> DataFrame:
     """The row checks over statement lines, whose amounts are read again from the file's own text."""
     typed = lines.select(
         F.col("path").alias("batch_id"),
@@ -73,17 +73,17 @@ def errors_of(lines: DataFrame, today: str) -> DataFrame:
         F.col("counterparty_name").alias("counterparty"),
         "document_no",
     )
-    return row_errors(typed, today)
+    return row_errors(typed, today, date_format)
 
 
-def warnings_of(parsed: DataFrame, lines: DataFrame) -> DataFrame:
+def warnings_of(parsed: DataFrame, lines: DataFrame, date_format: str = "") -> DataFrame:
     """The checks of whole statements."""
     files = parsed.select(F.col("path").alias("batch_id"), "currency", "opening_minor", "closing_minor", try_parse_date(F.col("period_from")).alias("period_from"), try_parse_date(F.col("period_to")).alias("period_to"), "declared_rows")
-    rows = lines.select(F.col("path").alias("batch_id"), "currency", try_parse_date(F.col("booked_on")).alias("booked_on"), "document_no", "counterparty_account", "debit_minor", "credit_minor")
+    rows = lines.select(F.col("path").alias("batch_id"), "currency", try_parse_date(F.col("booked_on"), date_format).alias("booked_on"), "document_no", "counterparty_account", "debit_minor", "credit_minor")
     return file_warnings(rows, files)
 
 
-def import_batch(files: DataFrame, ledger_path: str, files_path: str, org_id: str = "org", today: str | None = None, accept_warnings: bool = True, commit: str | None = None) -> bool:
+def import_batch(files: DataFrame, ledger_path: str, files_path: str, org_id: str = "org", today: str | None = None, accept_warnings: bool = True, commit: str | None = None, profile: Profile = Profile()) -> bool:
     """Imports the files not imported before, as the commit of that name; false if there is one already.
 
     A file that is too large, that no parser reads, or of which a row fails a
@@ -110,17 +110,17 @@ def import_batch(files: DataFrame, ledger_path: str, files_path: str, org_id: st
     seen = commits.read("files", files_path, FILES_SCHEMA).where("failure_code IS NULL").select("file_sha256")
     first = measured(files).withColumn("__rn", F.row_number().over(Window.partitionBy("file_sha256").orderBy("path"))).where("__rn = 1").drop("__rn")
     new = first.join(seen, "file_sha256", "left_anti").persist()
-    parsed = statements(files.join(new.where("failure_code IS NULL").select("path"), "path", "left_semi")).persist()
+    parsed = statements(files.join(new.where("failure_code IS NULL").select("path"), "path", "left_semi"), profile).persist()
     lines = statement_lines(parsed)
-    errors = errors_of(lines, today).persist()
+    errors = errors_of(lines, today, profile.date_format).persist()
     readable = parsed.where("error IS NULL")
-    judged = outcomes(readable.select(F.col("path").alias("batch_id")), errors, warnings_of(readable, lines)).withColumnRenamed("batch_id", "path")
+    judged = outcomes(readable.select(F.col("path").alias("batch_id")), errors, warnings_of(readable, lines, profile.date_format)).withColumnRenamed("batch_id", "path")
     judged = judged.join(parsed.select("path", "error"), "path", "full")
     refused = F.col("outcome") == "valid_with_warnings" if not accept_warnings else F.lit(False)
     code = F.when(F.col("error").isNotNull(), "unreadable").when(F.col("outcome") == "rejected", "rejected").when(refused, "needs_override")
     judged = judged.withColumn("said", code).persist()
 
-    rows = with_occurrence(ledger_rows(lines.join(judged.where("said IS NULL").select("path"), "path", "left_semi")))
+    rows = with_occurrence(ledger_rows(lines.join(judged.where("said IS NULL").select("path"), "path", "left_semi"), profile.date_format))
     rows = rows.withColumn("dedup_hash", dedup_hash(F.col("content_key"), F.col("occurrence"))).withColumn("created_on", F.current_timestamp())
     months = [r[0] for r in rows.select(F.date_format("booked_on", "yyyy-MM")).distinct().collect()]  # as many as a statement spans
     held_months = F.arrays_overlap("months", F.array(*map(F.lit, months))) if months else F.lit(False)
