@@ -610,7 +610,7 @@ def batch_state_illegal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BATCHES_SQL = f"""batches AS (
-  SELECT o_orderkey AS batch_id, 'o' || (o_custkey % 3) AS org_id, {_STATE_SQL}[o_orderkey % 11 + 1] AS status, CASE WHEN o_orderkey % 13 > 0 THEN 'f' || (o_custkey % 40) END AS file_sha256
+  SELECT o_orderkey AS batch_id, 'o' || (o_custkey % 3) AS org_id, {_STATE_SQL}[o_orderkey % 11 + 1] AS status, CASE WHEN o_orderkey % 13 > 0 THEN 'f' || o_custkey END AS file_sha256
   FROM orders),
 asked AS (
   SELECT CASE WHEN l_linenumber = 5 THEN -l_orderkey ELSE l_orderkey END AS batch_id, {_STATE_SQL}[l_partkey % 11 + 1] AS status, CASE WHEN l_suppkey % 2 = 0 THEN 'code' || (l_suppkey % 5) END AS failure_code
@@ -627,7 +627,7 @@ judged AS (
 
 
 def _moves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sha = F.when(F.expr("o_orderkey % 13 > 0"), F.concat(F.lit("f"), F.expr("cast(o_custkey % 40 as string)")))
+    sha = F.when(F.expr("o_orderkey % 13 > 0"), F.concat(F.lit("f"), F.expr("cast(o_custkey as string)")))
     batches = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_orderkey").alias("batch_id"),
         F.concat(F.lit("o"), F.expr("cast(o_custkey % 3 as string)")).alias("org_id"),

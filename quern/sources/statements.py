@@ -99,6 +99,7 @@ class Line:
     debit_minor: int = 0
     credit_minor: int = 0
     regulated_code: str = ""
+    currency: str = ""
 
 
 @dataclass
@@ -121,7 +122,7 @@ class Statement:
         return (self.opening_minor or 0) + sum(x.credit_minor - x.debit_minor for x in self.lines) - (self.closing_minor or 0)
 
 
-LINE_TYPE = "struct<line_no:bigint,booked_on:string,document_no:string,counterparty_name:string,counterparty_tax_id:string,counterparty_account:string,description:string,debit_raw:string,credit_raw:string,debit_minor:bigint,credit_minor:bigint,regulated_code:string>"
+LINE_TYPE = "struct<line_no:bigint,booked_on:string,document_no:string,counterparty_name:string,counterparty_tax_id:string,counterparty_account:string,description:string,debit_raw:string,credit_raw:string,debit_minor:bigint,credit_minor:bigint,regulated_code:string,currency:string>"
 STATEMENT_SCHEMA = (
     "path string, error string, parser string, account string, holder string, currency string, period_from string, period_to string, opening_minor bigint, closing_minor bigint, "
     f"declared_debit_minor bigint, declared_credit_minor bigint, declared_rows bigint, lines array<{LINE_TYPE}>"
@@ -190,6 +191,7 @@ def register(name: str, detect: Callable[[bytes], bool], parse: Parser) -> None:
 
 def parse_statement(raw: bytes, profile: Profile = Profile()) -> Statement:
     """The statement by the one parser that claims the file; none or several is an error."""
+    _parsers()
     claims = [name for name, (detect, _) in _PARSERS.items() if detect(raw)]
     if len(claims) != 1:
         raise NotReadable(f"unknown format; tried {', '.join(sorted(_PARSERS))}" if not claims else f"claimed by {', '.join(sorted(claims))}")
@@ -297,38 +299,6 @@ def workbook_rows(raw: bytes) -> list[list[str]]:
         return rows
 
 
-def columned_rows(rows: list[list[str]], currency: str = "KZT") -> list[Line]:
-    """Rows of the Kazakh sheet: fixed columns, a state payment code, and DEBIT or CREDIT beside two amounts."""
-    out = []
-    for k, r in enumerate(rows, 1):
-        r = r + [""] * (22 - len(r))
-        if r[3] not in ("DEBIT", "CREDIT"):
-            continue
-        raw = r[10] if r[3] == "DEBIT" else r[12]
-        size = abs(_minor_or_zero(currency, raw))
-        out.append(Line(k, r[0], r[1], r[19], r[20], r[21], r[17], *((raw, "") if r[3] == "DEBIT" else ("", raw)), *((size, 0) if r[3] == "DEBIT" else (0, size)), r[16]))
-    return out
-
-
-def keyed_cell(cell: str, keys: list[str]) -> dict[str, str]:
-    """A cell ``key: value | key: value`` by a list of known keys; a part without one continues the value before."""
-    out: dict[str, str] = {}
-    now = ""
-    for part in (p.strip() for p in cell.split("|")):
-        key = next((k for k in keys if part.startswith(k + ":")), None)
-        if key:
-            now = key
-            out[key] = part[len(key) + 1 :].strip()
-        elif now:
-            out[now] = f"{out[now]} {part}".strip()
-    return out
-
-
-def card_merchant(text: str) -> str:
-    """The merchant of a card payment: what follows the last star."""
-    return text.rpartition("*")[2].strip()
-
-
 def statements(files: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """One row per file with its statement and lines; a file that no parser can read has ``error`` instead."""
 
@@ -348,7 +318,12 @@ def statements(files: DataFrame, profile: Profile = Profile()) -> DataFrame:
 
 
 def statement_lines(parsed: DataFrame) -> DataFrame:
-    """The lines of all statements as rows."""
-    return parsed.where("error is null").select("path", "account", "currency", F.explode("lines").alias("l")).select("path", "account", "currency", "l.*")
+    """The lines of all statements as rows; a line's own currency goes before the statement's."""
+    lines = parsed.where("error is null").select("path", "account", F.col("currency").alias("__currency"), F.explode("lines").alias("l")).select("path", "account", "__currency", "l.*")
+    own = F.when(F.col("currency") != "", F.col("currency")).otherwise(F.col("__currency"))
+    return lines.select("path", "account", own.alias("currency"), *[c for c in lines.columns if c not in ("path", "account", "__currency", "currency")])
 
 
+def _parsers() -> None:
+    """Parsers of other modules, which a worker process must know too."""
+    from quern.sources import sheets  # noqa: F401

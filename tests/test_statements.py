@@ -78,15 +78,6 @@ def test_workbook(tmp_path):
     assert s.workbook_rows(path.read_bytes()) == [["x", "", "5"]]
 
 
-def test_sheet_rows_and_keyed_cells():
-    row = [""] * 22
-    row[0], row[3], row[10], row[16], row[17] = "01.02.2024", "DEBIT", "1 000,50", "852", "fee"
-    line = s.columned_rows([["head"], row])[0]
-    assert (line.line_no, line.debit_minor, line.regulated_code) == (2, 100050, "852")
-    assert s.keyed_cell("Tytuł: a | b | Rachunek: 1", ["Tytuł", "Rachunek"]) == {"Tytuł": "a b", "Rachunek": "1"}
-    assert s.card_merchant("PAY*SHOP*Zabka") == "Zabka"
-
-
 def test_files_through_spark(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(sample(ROWS))
     (tmp_path / "b.csv").write_bytes(b"nothing")
