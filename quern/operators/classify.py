@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import NORMALIZE_VERSION, key_tier
+from quern.functions.text import NORMALIZE_VERSION, key_tier, normalize_description
+from quern.operators.evaluate import verdict
 
 #: Confidence of each layer.
 CONFIDENCE = {"L0": "1.000", "L0.5": "0.990", "L1": "0.950"}
@@ -76,8 +77,15 @@ def is_regulated(rule: Rule) -> bool:
     return any(c.field == "regulated_code" for c in rule.conditions)
 
 
-def condition(c: Condition) -> Column:
-    """One condition over the columns of a transaction; an unknown field or operator refuses the batch."""
+def condition(c: Condition, evaluation: bool = False) -> Column:
+    """One condition over the columns of a transaction; an unknown field or operator refuses the batch.
+
+    In an evaluation a description may also have to contain one text whole, a
+    ``counterparty_account`` may have to hold a text, a bank's own operation type
+    stands in where there is no state code, and what is unknown holds for no row.
+    """
+    if evaluation:
+        return _evaluated(c)
     if c.field == "description":
         if c.op != "contains_all":
             raise RequestRejected("unsupported_operator", f"description: {c.op}")
@@ -99,23 +107,41 @@ def condition(c: Condition) -> Column:
     return F.coalesce(F.col(DIRECT[c.field]).cast("string"), F.lit("")) == c.value
 
 
-def rule_matches(rule: Rule) -> Column:
+def _evaluated(c: Condition) -> Column:
+    if c.field == "description" and c.op != "contains_all":
+        return F.contains(F.col("description_norm"), F.lit(c.value))
+    if c.field == "description":
+        return condition(c)
+    if c.field == "direction":
+        return condition(Condition("direction", "eq", c.value))
+    if c.field == "regulated_code":
+        first = F.when(F.coalesce("regulated_code", F.lit("")) != "", F.col("regulated_code")).otherwise(F.coalesce("operation_type", F.lit("")))
+        return first == c.value
+    if c.field == "counterparty_account":
+        return F.contains(normalize_description(F.coalesce("counterparty_account", F.lit(""))), normalize_description(F.lit(c.value)))
+    if c.field == "counterparty_key":
+        return F.coalesce("counterparty_key", F.lit("")) == c.value
+    return F.lit(False)
+
+
+def rule_matches(rule: Rule, evaluation: bool = False) -> Column:
     if not rule.conditions:
         raise RequestRejected("empty_matcher", f"priority {rule.priority}")
     out = F.lit(True) if not rule.source_kind else F.col("source_kind") == rule.source_kind
     for c in rule.conditions:
-        out = out & F.coalesce(condition(c), F.lit(False))
+        out = out & F.coalesce(condition(c, evaluation), F.lit(False))
     return out
 
 
-def first_match(rules: Iterable[Rule]) -> Column:
-    """A struct of category_code, engine_layer, evidence, matched_rule_priority; null if no rule matches."""
+def first_match(rules: Iterable[Rule], evaluation: bool = False) -> Column:
+    """A struct of category_code, engine_layer, evidence, matched_rule_priority; null if no rule matches. ``evaluation``: see ``condition``."""
     ordered = effective(rules)
     out = None
     for rule in [r for r in ordered if is_regulated(r)] + [r for r in ordered if not is_regulated(r)]:
         layer = "L0.5" if is_regulated(rule) else "L1"
         answer = F.struct(F.lit(rule.category_code).alias("category_code"), F.lit(layer).alias("engine_layer"), F.lit(rule.scope).alias("evidence"), F.lit(rule.priority).alias("matched_rule_priority"))
-        out = F.when(rule_matches(rule), answer) if out is None else out.when(rule_matches(rule), answer)
+        fits = rule_matches(rule, evaluation)
+        out = F.when(fits, answer) if out is None else out.when(fits, answer)
     return out if out is not None else F.lit(None).cast("struct<category_code:string,engine_layer:string,evidence:string,matched_rule_priority:int>")
 
 
@@ -163,16 +189,10 @@ def run_log(txn: DataFrame, proposals: DataFrame) -> DataFrame:
 
 
 def compare_labels(predicted: DataFrame, labels: DataFrame, needs_allocation: Iterable[str] = ()) -> DataFrame:
-    """How predictions agree with an accountant's labels: rows and absolute amounts by verdict.
-
-    ``less_specific``: the label lies below the predicted category or above it.
-    """
+    """How predictions agree with an accountant's labels: rows and absolute amounts by ``evaluate.verdict``."""
     both = labels.join(predicted.select("txn_id", F.col("category_code").alias("predicted")), "txn_id", "left")
-    p, t = F.col("predicted"), F.col("label")
-    verdict = (
-        F.when(p.isNull(), "uncovered").when(p == t, "agreed").when(p.isin(*needs_allocation) if needs_allocation else F.lit(False), "awaiting_allocation").when(F.startswith(t, p) | F.startswith(p, t), "less_specific").otherwise("disagreed")
-    )
-    return both.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.abs("amount_minor")).alias("volume_minor"))
+    said = verdict(F.col("predicted"), F.col("label"), needs_allocation)
+    return both.groupBy(said.alias("verdict")).agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.abs("amount_minor")).alias("volume_minor"))
 
 
 def dead_rules(rules: Iterable[Rule], proposals: DataFrame) -> DataFrame:

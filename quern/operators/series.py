@@ -9,19 +9,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.evaluate import top_of
+
 
 def fold_top_n(totals: DataFrame, by: list[str], label: str, value: str, n: int = 8) -> DataFrame:
-    """Of each group the ``n`` largest positive values, and the sum of all others as ``other``."""
-    order = Window.partitionBy(*by).orderBy(F.desc(value), label)
-    ranked = totals.where(F.col(value) > 0).withColumn("rn", F.row_number().over(order))
-    return ranked.groupBy(*by, F.when(F.col("rn") <= n, F.col(label)).otherwise("other").alias(label)).agg(F.sum(value).alias(value))
+    """Of each group the ``n`` largest positive values, and what all others come to as ``other`` with ``folded`` true.
+
+    Others are the group's sum less its largest, so no task sorts a group: each
+    keeps its own ``n`` largest, and those meet. A label that is itself ``other``
+    stays apart, not folded.
+    """
+    used = totals.where(F.col(value) > 0)
+    top = top_of(used, by, [F.desc(value), F.col(label)], n).select(*by, label, value)
+    whole = used.groupBy(*by).agg(F.sum(value).alias("__whole"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > n)
+    held = top.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.sum(value).alias("__top"))
+    same = [whole[c].eqNullSafe(held[f"__{c}"]) for c in by]
+    rest = whole.join(held, same).select(*by, F.lit("other").alias(label), (F.col("__whole") - F.col("__top")).alias(value))
+    return top.withColumn("folded", F.lit(False)).unionByName(rest.withColumn("folded", F.lit(True)))
 
 
 def trend_facets(periods: DataFrame, by: list[str], label: str, value: str, n: int = 8) -> DataFrame:
     """The ``n`` labels of the largest absolute total in each group that have any value, with their total."""
     totals = periods.groupBy(*by, label).agg(F.sum(value).alias("total"), F.sum((F.col(value) != 0).cast("bigint")).alias("used")).where("used > 0")
-    order = Window.partitionBy(*by).orderBy(F.desc(F.abs("total")), label)
-    return totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(*by, label, "total", "rank")
+    return top_of(totals, by, [F.desc(F.abs("total")), F.col(label)], n).select(*by, label, "total", "rank")
 
 
 def ohlc_buckets(rows: DataFrame, by: list[str], most: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import money, text
 from quern.functions.periods import try_parse_date
 from quern.operators import classify as c
-from quern.operators import dedup, pnl, review, transfers, validate
+from quern.operators import dedup, evaluate, pnl, review, transfers, validate
 from quern.plans.registry import query
 from quern.plans.report_queries import WITH, ledger
 from quern.sources import carrier
@@ -315,7 +315,7 @@ def effective_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "eval_agreement",
     f"""{CLASSIFIED_SQL}, v AS (SELECT CASE WHEN a.category_code IS NULL THEN 'uncovered' WHEN a.category_code = type_code THEN 'agreed' WHEN a.category_code = '0404' THEN 'awaiting_allocation'
- WHEN starts_with(type_code, a.category_code) OR starts_with(a.category_code, type_code) THEN 'less_specific' ELSE 'disagreed' END AS verdict, amount_minor FROM txn LEFT JOIN answer a USING (txn_id) WHERE type_code IS NOT NULL)
+ WHEN starts_with(type_code, a.category_code) THEN 'less_specific' ELSE 'disagreed' END AS verdict, amount_minor FROM txn LEFT JOIN answer a USING (txn_id) WHERE type_code IS NOT NULL)
 SELECT verdict, count(*) AS row_count, sum(abs(amount_minor))::BIGINT AS volume_minor FROM v GROUP BY 1""",
 )
 def eval_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,6 +328,96 @@ def eval_dead_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.dead_rules(RULES, proposals(spark, sf_dir))
 
 
+# An accountant's file of rules: a line a part, with texts of its name, of customers' names and of accounts.
+LABEL_LINES_SQL = """line AS (
+  SELECT p_partkey AS ord, p_name AS spelled, upper(p_name) AS normal, CASE WHEN p_partkey % 5 = 0 THEN 'CUSTOMER#0000' || lpad((p_partkey % 40)::VARCHAR, 5, '0') ELSE '' END AS cp,
+         CASE p_partkey % 3 WHEN 0 THEN 'Expense' WHEN 1 THEN 'Income' ELSE '' END AS dir, CASE WHEN p_partkey % 7 > 0 THEN ['0101', '02', '0404', '08'][p_partkey % 4 + 1] END AS code, p_partkey % 4 AS kind
+  FROM part WHERE p_partkey <= 120),
+rule AS (SELECT ord, cp, dir, code, CASE kind WHEN 1 THEN 'Tytuł: ' || spelled WHEN 2 THEN 'Rachunek kontrahenta' ELSE spelled END AS spelled,
+         CASE kind WHEN 1 THEN normal WHEN 2 THEN 'ACC' || (ord % 10) || ';' || (ord % 4) WHEN 3 THEN ord % 10 || '; CUST ;PART' ELSE normal END AS normal,
+         CASE kind WHEN 1 THEN 'purpose' WHEN 2 THEN 'account' ELSE 'both' END AS field FROM line),
+seen AS (SELECT txn_id, type_code, reported_minor, org_id::VARCHAR AS country, upper(description_raw) AS purpose, upper(counterparty_raw) AS cp, 'ACC' || account_id || '-' || (account_id % 4) AS acct, CASE WHEN amount_minor >= 0 THEN 'Income' ELSE 'Expense' END AS dir, counterparty_key FROM txn)"""
+LABELLED_SQL = f"""{LABEL_LINES_SQL},
+first_rule AS (
+  SELECT s.txn_id, min(r.ord) AS ord FROM seen s JOIN rule r
+    ON (r.dir = '' OR r.dir = s.dir) AND (r.cp = '' OR contains(s.cp, r.cp))
+   AND len(list_filter(string_split(r.normal, ';'), lambda p: trim(p) <> '' AND NOT contains(CASE r.field WHEN 'account' THEN s.acct WHEN 'purpose' THEN s.purpose ELSE s.purpose || ' || ' || s.cp END, trim(p)))) = 0
+   AND (s.country <> '0' OR r.ord % 2 = 0)
+  GROUP BY s.txn_id),
+labelled AS (SELECT s.*, r.code AS label, r.ord FROM seen s LEFT JOIN first_rule f USING (txn_id) LEFT JOIN rule r ON r.ord = f.ord)"""
+
+
+def label_rules(spark: SparkSession, sf_dir: str) -> dict[str, list[evaluate.LabelRule]]:
+    """The file's lines by country; one country's file has every second line."""
+    lines = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 120").select("p_partkey", "p_name").orderBy("p_partkey").collect()  # a file of 120 lines
+    out: dict[str, list[evaluate.LabelRule]] = {str(c): [] for c in range(5)}
+    for k, name in lines:
+        kind, normal = k % 4, name.upper()
+        spelled = {1: f"Tytuł: {name}", 2: "Rachunek kontrahenta"}.get(kind, name)
+        normal = {2: f"ACC{k % 10};{k % 4}", 3: f"{k % 10}; CUST ;PART"}.get(kind, normal)
+        code = ["0101", "02", "0404", "08"][k % 4] if k % 7 else None
+        rule = evaluate.LabelRule.of(spelled, normal, counterparty=f"CUSTOMER#0000{k % 40:05d}" if k % 5 == 0 else "", direction=["Expense", "Income", ""][k % 3], code=code)
+        for country, rules in out.items():
+            if country != "0" or k % 2 == 0:
+                rules.append(rule)
+    return out
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txn = carrier.transactions(spark, sf_dir)
+    rows = txn.select(
+        "txn_id",
+        "reported_minor",
+        "counterparty_key",
+        F.col("org_id").cast("string").alias("country"),
+        F.upper("description_raw").alias("purpose_norm"),
+        F.upper("counterparty_raw").alias("counterparty_norm"),
+        F.concat(F.lit("ACC"), "account_id", F.lit("-"), (F.col("account_id") % 4).cast("string")).alias("account_norm"),
+        F.when(F.col("amount_minor") >= 0, "Income").otherwise("Expense").alias("direction"),
+    )
+    return evaluate.label_rows(rows, label_rules(spark, sf_dir))
+
+
+@query("label_rows", f"{WITH}, {LABELLED_SQL} SELECT txn_id, label FROM labelled")
+def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each transaction's label by the first line of the accountant's file that fits."""
+    return labelled(spark, sf_dir).select("txn_id", "label")
+
+
+VERDICTS_SQL = f"""{CLASSIFIED_SQL}, {LABELLED_SQL}, bare AS (SELECT l.*, a.category_code AS predicted, CASE WHEN a.category_code = '0101' THEN '01' ELSE a.category_code END AS b FROM labelled l LEFT JOIN answer a USING (txn_id)),
+v AS (SELECT *, CASE WHEN predicted IS NULL THEN 'uncovered' WHEN label IS NULL THEN 'unlabelled' WHEN predicted = label THEN 'agreed' WHEN predicted = '0404' THEN 'awaiting_allocation'
+  WHEN starts_with(label, b) AND length(b) < length(label) THEN 'less_specific' ELSE 'disagreed' END AS verdict FROM bare)"""
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = proposals(spark, sf_dir).select("txn_id", F.col("category_code").alias("predicted"))
+    return labelled(spark, sf_dir).join(answers, "txn_id", "left").withColumn("verdict", evaluate.verdict(F.col("predicted"), F.col("label"), ["0404"], ["0101"]))
+
+
+@query(
+    "eval_report",
+    f"""{VERDICTS_SQL}, s AS (SELECT country, count(*) AS row_count, count(*) FILTER (verdict <> 'uncovered') AS matched, count(*) FILTER (verdict = 'agreed') AS agreed, count(*) FILTER (verdict = 'awaiting_allocation') AS awaiting_allocation,
+  count(*) FILTER (verdict = 'less_specific') AS less_specific, count(*) FILTER (verdict = 'disagreed') AS disagreed, count(*) FILTER (verdict = 'unlabelled') AS unlabelled, count(*) FILTER (verdict = 'uncovered') AS uncovered,
+  count(DISTINCT counterparty_key) FILTER (verdict = 'uncovered') AS residue_keys, coalesce(sum(abs(reported_minor)) FILTER (verdict <> 'uncovered'), 0)::BIGINT AS covered_minor, sum(abs(reported_minor))::BIGINT AS volume_minor FROM v GROUP BY country)
+SELECT *, matched * 100.0::DOUBLE / row_count AS rows_pct, covered_minor * 100.0::DOUBLE / nullif(volume_minor, 0) AS amount_pct,
+  agreed * 100.0::DOUBLE / nullif(agreed + awaiting_allocation + less_specific + disagreed, 0) AS agreed_pct, disagreed * 100.0::DOUBLE / nullif(agreed + awaiting_allocation + less_specific + disagreed, 0) AS disagreed_pct FROM s""",
+)
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage, accuracy and residue of the rules in each country."""
+    return evaluate.coverage(judged(spark, sf_dir), ["country"], "reported_minor", "counterparty_key")
+
+
+@query(
+    "eval_residue",
+    f"""{VERDICTS_SQL}, c AS (SELECT country, left(CASE WHEN cp <> '' THEN cp ELSE purpose END, 52) AS name, count(*) AS row_count FROM v WHERE verdict = 'uncovered' GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY row_count DESC, name) AS rank FROM c) WHERE rank <= 4""",
+)
+def eval_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counterparties that most rows without an answer have, four a country."""
+    name = F.when(F.col("counterparty_norm") != "", F.col("counterparty_norm")).otherwise(F.col("purpose_norm"))
+    return evaluate.residue(judged(spark, sf_dir), ["country"], name)
+
+
 PATH_SQL = f"WITH RECURSIVE {carrier.CATEGORIES_SQL}, p AS (SELECT code, name AS path FROM category WHERE parent_code IS NULL UNION ALL SELECT c.code, p.path || ' > ' || c.name FROM category c JOIN p ON c.parent_code = p.code)"
 
 

