@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import NORMALIZE_VERSION, key_tier, normalize_description
 from quern.operators.evaluate import verdict
+from quern.session import cut_lineage
 
 #: Confidence of each layer.
 CONFIDENCE = {"L0": "1.000", "L0.5": "0.990", "L1": "0.950"}
@@ -181,6 +182,30 @@ def classify(txn: DataFrame, rules: Iterable[Rule], vendors: DataFrame, threshol
     return out.where(F.col("engine_layer").isNotNull() & (F.col("confidence") >= (threshold or DEFAULT_THRESHOLD)))
 
 
+def checked_proposals(sent: DataFrame, proposals: DataFrame) -> DataFrame:
+    """The proposals, if they fit what was sent in a chunk: batch_id and txn_id on both sides.
+
+    Refused whole, as the classifier's fault, are proposals for a row that was
+    not sent (``unknown_transaction``), more than one for a row
+    (``repeated_transaction``), a category or a layer that is missing
+    (``incomplete_proposal``) and a confidence outside of zero to one
+    (``bad_confidence``).
+    """
+    known = sent.select(F.col("batch_id").alias("__batch"), F.col("txn_id").alias("__txn"), F.lit(True).alias("__sent")).distinct()
+    same = proposals["batch_id"].eqNullSafe(known["__batch"]) & proposals["txn_id"].eqNullSafe(known["__txn"])
+    counted = proposals.groupBy("batch_id", "txn_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("batch_id", "txn_id", F.lit("repeated_transaction").alias("code"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    fault = (
+        F.when(F.col("__sent").isNull(), "unknown_transaction")
+        .when(blank("category_code") | blank("engine_layer"), "incomplete_proposal")
+        .when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "bad_confidence")
+    )
+    faults = proposals.join(known, same, "left").select("batch_id", "txn_id", fault.alias("code")).where("code IS NOT NULL").unionByName(counted)
+    for bad in faults.orderBy("code", "batch_id", "txn_id").limit(1).collect():
+        raise RequestRejected(bad.code, f"batch {bad.batch_id}: {bad.txn_id}")
+    return proposals
+
+
 def run_log(txn: DataFrame, proposals: DataFrame) -> DataFrame:
     """Of each batch: rows seen, classified and left to review."""
     seen = txn.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
@@ -202,13 +227,22 @@ def dead_rules(rules: Iterable[Rule], proposals: DataFrame) -> DataFrame:
     return every.join(proposals.select("matched_rule_priority").distinct(), "matched_rule_priority", "left_anti")
 
 
-def taxonomy_paths(categories: DataFrame, depth: int = 5) -> DataFrame:
-    """code and its path of names from the root; a parent is the code without its last two characters."""
-    out = categories.select("code", F.col("parent_code").alias("up"), F.col("name").alias("path"))
-    for k in range(depth - 1):
-        above = categories.select(F.col("code").alias("up"), F.col("parent_code").alias(f"up{k}"), F.col("name").alias("above"))
-        out = out.join(above, "up", "left").select("code", F.col(f"up{k}").alias("up"), F.when(F.col("above").isNotNull(), F.concat("above", F.lit(" > "), "path")).otherwise(F.col("path")).alias("path"))
-    return out.select("code", "path")
+def taxonomy_paths(categories: DataFrame) -> DataFrame:
+    """code and its path of names from the root, at any depth; categories: code, parent_code, name.
+
+    Each round joins what is known of a category to what is known of the
+    ancestor where that ends, which doubles both: as many rounds as the depth has
+    binary digits. A parent that is not there is passed over. Categories that are
+    their own ancestors are an error.
+    """
+    held = categories.select(F.col("code").alias("parent_code"), F.lit(True).alias("there")).distinct()
+    now = cut_lineage(categories.join(held, "parent_code", "left").select("code", F.when(F.col("there"), F.col("parent_code")).alias("up"), F.col("name").alias("path")))
+    for _ in range(now.count().bit_length() + 1):
+        if now.where("up IS NOT NULL").isEmpty():
+            return now.select("code", "path")
+        above = now.select(F.col("code").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
+        now = cut_lineage(now.join(above, "up", "left").select("code", F.col("next").alias("up"), F.when(F.col("above").isNotNull(), F.concat("above", F.lit(" > "), "path")).otherwise(F.col("path")).alias("path")))
+    raise ValueError(f"a category is its own ancestor: {now.where('up IS NOT NULL').first().code}")
 
 
 def assert_live_once(classifications: Mapping | DataFrame) -> DataFrame:

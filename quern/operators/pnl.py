@@ -7,12 +7,15 @@ transaction has exactly one ``line``. So a cell is the sum of its own rows.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.periods import period_label
+from quern.functions.periods import period_end, period_label, period_start
 
+# Sections, buckets, and the lines that are computed from others.
 SECTIONS = ("01", "02", "03", "04", "05", "06", "07")
 OFF_PNL = ("08", "09")
 BUCKETS = ("unclassified", "non_pnl", "unallocated", "other_basis")
@@ -127,39 +130,117 @@ PAGE, MOST_PAGE = 100, 500
 
 
 def cursor_of(row) -> str:
-    """The place of a row in the drill-down's order, as text."""
-    return f"{row['booked_on']}|{row['txn_id']}"
+    """The place of a row in the drill-down's order, as text: its day and its id."""
+    return f"{row['booked_on']}:{row['txn_id']}"
 
 
-def parse_cursor(text: str) -> tuple[str, str]:
-    """The day and id of a cursor; anything else is an error."""
-    day, mark, txn_id = text.partition("|")
-    if not mark or not txn_id or not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", day):
+def parse_cursor(text: str) -> tuple[str, str] | None:
+    """The day and id of a cursor; None is the start, which is written as nothing; anything else is an error."""
+    if not text:
+        return None
+    day, _, txn_id = text.partition(":")
+    if not txn_id or not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", day):
         raise ValueError(f"not a cursor: {text!r}")
+    date.fromisoformat(day)
     return day, txn_id
 
 
 def line_ref(text: str) -> tuple[str, str]:
-    """A line's kind and name, from ``section:04``, ``computed:93`` or ``bucket:unclassified``; the names are closed lists."""
-    kind, _, name = text.partition(":")
-    if name not in {"section": SECTIONS, "computed": tuple(CHAIN), "bucket": BUCKETS}.get(kind, ()):
-        raise ValueError(f"unknown line: {text!r}")
-    return kind, name
+    """A line's kind (bucket, section, computed) and name; the names are closed lists, also of sections off the report."""
+    for kind, names in (("bucket", BUCKETS), ("section", SECTIONS + OFF_PNL), ("computed", tuple(CHAIN))):
+        if text in names:
+            return kind, text
+    raise ValueError(f"not a line of this report: {text!r}")
 
 
-def drill_page(tagged: DataFrame, ref: str, after: str | None = None, limit: int | None = None) -> DataFrame:
-    """One page behind a line, with a row more to look ahead; a computed line has operands, not rows, and is an error here."""
-    kind, name = line_ref(ref)
+@dataclass(frozen=True)
+class Selection:
+    """What one figure was summed from: a closed range of days, the cell's own, and a line."""
+
+    first: date
+    last: date
+    line: str
+
+
+def _months(label: str, granularity: str) -> tuple[str, str]:
+    shape = {"month": r"[0-9]{4}-(?:0[1-9]|1[0-2])", "quarter": r"[0-9]{4}-Q[1-4]", "year": r"[0-9]{4}"}.get(granularity)
+    if shape is None or not re.fullmatch(shape, label):
+        raise ValueError(f"not a {granularity}: {label!r}")
+    if granularity == "month":
+        return label, label
+    last = 3 * int(label[-1]) if granularity == "quarter" else 12
+    return f"{label[:4]}-{last - 2 if granularity == 'quarter' else 1:02d}", f"{label[:4]}-{last:02d}"
+
+
+def selection_for(label: str, line: str, granularity: str, asked_from: str, asked_to: str) -> Selection:
+    """The selection of one cell of a report over the months ``asked_from`` to ``asked_to``.
+
+    The cell's days are clipped to what was asked for, as its figure was. A
+    period outside of it is an error, and so is a computed line, which has
+    operands and no rows.
+    """
+    kind, name = line_ref(line)
+    if kind == "computed":
+        raise ValueError(f"{name} is computed from {', '.join(part for part, _ in operands(name))} and has no rows of its own")
+    for month in (asked_from, asked_to):
+        _months(month, "month")
+    first, last = _months(label, granularity)
+    first, last = max(first, asked_from), min(last, asked_to)
+    if first > last:
+        raise ValueError(f"period {label} lies outside of {asked_from} to {asked_to}")
+    year, month = int(last[:4]), int(last[5:])
+    return Selection(date.fromisoformat(f"{first}-01"), date(year + month // 12, month % 12 + 1, 1) - timedelta(days=1), name)
+
+
+def selections(labels: Column, asked_from: str, asked_to: str) -> tuple[Column, Column]:
+    """First and last day of each label's cell of a report over some months; null outside of it."""
+    start, end = F.lit(f"{asked_from}-01").cast("date"), F.last_day(F.lit(f"{asked_to}-01").cast("date"))
+    first, last = F.greatest(period_start(labels), start), F.least(period_end(labels), end)
+    return F.when(first <= last, first), F.when(first <= last, last)
+
+
+@dataclass(frozen=True)
+class DrillDown:
+    """What a cell opens to: ``operands`` of a computed line, or a page of rows with the number and sum of all."""
+
+    kind: str
+    operands: tuple[tuple[str, str], ...] = ()
+    rows: list = field(default_factory=list)
+    row_count: int = 0
+    total_minor: int = 0
+    next_cursor: str = ""
+
+
+def drill_down(tagged: DataFrame, label: str, line: str, granularity: str, asked_from: str, asked_to: str, cursor: str = "", limit: int = 0) -> DrillDown:
+    """Opens a cell of one report (the rows of ``tagged`` are those of one entity and basis).
+
+    A computed line answers with its operands. Other lines answer with the rows
+    of the cell's own days after the cursor, ``limit`` of them, 100 if that is
+    none or over 500, and with a cursor if there are more. A period that the
+    report does not have, or a line or cursor of no known form, is an error.
+    """
+    kind, name = line_ref(line)
+    after = parse_cursor(cursor)
+    selected = selection_for(label, name if kind != "computed" else REVENUE, granularity, asked_from, asked_to)
     if kind == "computed":
-        raise ValueError(f"{name} is computed: open its operands")
-    if limit is not None and not 0 < limit <= MOST_PAGE:
-        raise ValueError(f"a page has 1 to {MOST_PAGE} rows")
-    return drill_rows(tagged, name, parse_cursor(after) if after else None, limit or PAGE)
+        return DrillDown("operands", tuple(operands(name)))
+    page = limit if 0 < limit <= MOST_PAGE else PAGE
+    cell = tagged.where(F.col("booked_on").between(F.lit(selected.first), F.lit(selected.last)))
+    whole = rows_of_line(cell, name).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("reported_minor"), F.lit(0)).alias("total")).first()
+    rows = drill_rows(cell, name, after, page).collect()  # a page and one row
+    return DrillDown("transactions", (), rows[:page], whole.n, whole.total, cursor_of(rows[page - 1]) if len(rows) > page else "")
+
+
+def rows_of_line(tagged: DataFrame, line: str) -> DataFrame:
+    """The rows behind a line; those of a section off the report are the ones in its bucket that say of themselves that they belong on it."""
+    if line in OFF_PNL:
+        return tagged.where((F.col("line") == "non_pnl") & (F.col("section") == line) & F.col("is_pnl") & ~F.col("requires_allocation"))
+    return tagged.where(F.col("line") == line)
 
 
 def drill_rows(tagged: DataFrame, line: str, after: tuple | None = None, limit: int | None = None) -> DataFrame:
     """The rows behind a cell in (booked_on, txn_id) order, after a cursor, with one more than ``limit`` to look ahead."""
-    rows = tagged.where(F.col("line") == line)
+    rows = rows_of_line(tagged, line)
     if after is not None:
         day, txn_id = F.lit(after[0]).cast("date"), F.lit(after[1])
         rows = rows.where((F.col("booked_on") > day) | ((F.col("booked_on") == day) & (F.col("txn_id") > txn_id)))
@@ -173,9 +254,12 @@ def operands(line: str) -> list[tuple[str, str]]:
     return parts
 
 
-def selection(period_from: Column, period_to: Column, asked_from: Column, asked_to: Column) -> tuple[Column, Column]:
-    """A period clipped to the request, so that the scan is pruned by the narrower range."""
-    return F.greatest(period_from, asked_from), F.least(period_to, asked_to)
+def operand_rows(report: DataFrame) -> DataFrame:
+    """Of each computed line of a presented report its operands and their amounts: REPORT, period, line, place, operand, sign, amount_minor."""
+    parts = F.array(*[F.struct(F.lit(line).alias("line"), F.lit(k).alias("place"), F.lit(part).alias("operand"), F.lit(sign).alias("sign")) for line in CHAIN for k, (part, sign) in enumerate(operands(line))])
+    wanted = sorted({part for line in CHAIN for part, _ in operands(line)})
+    used = report.where(F.col("line").isin(wanted)).withColumn("o", F.explode(F.filter(parts, lambda o: o["operand"] == F.col("line"))))
+    return used.select(*REPORT, "period", F.col("o.line").alias("line"), F.col("o.place").alias("place"), F.col("o.operand").alias("operand"), F.col("o.sign").alias("sign"), "amount_minor")
 
 
 def reconciliation(txn: DataFrame, transfers: DataFrame, calendar: DataFrame, granularity: str = "month", basis: str = "bank") -> DataFrame:

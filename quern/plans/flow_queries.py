@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import money, text
 from quern.functions.periods import try_parse_date
 from quern.operators import classify as c
-from quern.operators import dedup, evaluate, pnl, review, transfers, validate
+from quern.operators import dedup, evaluate, pnl, review, taxonomy, transfers, validate
 from quern.plans.registry import query
 from quern.plans.report_queries import WITH, ledger
 from quern.sources import carrier
@@ -418,35 +418,58 @@ def eval_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.residue(judged(spark, sf_dir), ["country"], name)
 
 
-PATH_SQL = f"WITH RECURSIVE {carrier.CATEGORIES_SQL}, p AS (SELECT code, name AS path FROM category WHERE parent_code IS NULL UNION ALL SELECT c.code, p.path || ' > ' || c.name FROM category c JOIN p ON c.parent_code = p.code)"
+# A tree as deep as the table is large: each part hangs below the one of half its number.
+PATH_SQL = "WITH RECURSIVE t AS (SELECT p_partkey AS code, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent_code, p_name AS name FROM part), p AS (SELECT code, name AS path FROM t WHERE parent_code IS NULL OR parent_code NOT IN (SELECT code FROM t) UNION ALL SELECT t.code, p.path || ' > ' || t.name FROM t JOIN p ON t.parent_code = p.code)"
 
 
 @query("category_path", f"{PATH_SQL} SELECT code, path FROM p")
 def category_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.taxonomy_paths(carrier.categories(spark))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return c.taxonomy_paths(part.select(F.col("p_partkey").alias("code"), F.expr("CASE WHEN p_partkey > 1 THEN p_partkey div 2 END").alias("parent_code"), F.col("p_name").alias("name")))
+
+
+# Codes of a tree built from the table, two digits a level: types, brands, sizes.
+TREE_SQL = """word AS (SELECT DISTINCT [p_type, p_brand, 'Size ' || (p_size % 3)] AS w FROM part), a AS (SELECT w[1] AS x, row_number() OVER (ORDER BY w[1]) AS r FROM (SELECT DISTINCT [w[1]] AS w FROM word)),
+b AS (SELECT w[1] AS x, w[2] AS y, row_number() OVER (PARTITION BY w[1] ORDER BY w[2]) AS r FROM (SELECT DISTINCT [w[1], w[2]] AS w FROM word)),
+d AS (SELECT w[1] AS x, w[2] AS y, w[3] AS z, row_number() OVER (PARTITION BY w[1], w[2] ORDER BY w[3]) AS r FROM word),
+tree AS (SELECT lpad(a.r::VARCHAR, 2, '0') AS code, x AS name, false AS is_leaf FROM a
+  UNION ALL SELECT lpad(a.r::VARCHAR, 2, '0') || lpad(b.r::VARCHAR, 2, '0'), y, false FROM a JOIN b USING (x)
+  UNION ALL SELECT lpad(a.r::VARCHAR, 2, '0') || lpad(b.r::VARCHAR, 2, '0') || lpad(d.r::VARCHAR, 2, '0'), z, true FROM a JOIN b USING (x) JOIN d USING (x, y))"""
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat_ws(" > ", "p_type", "p_brand", F.expr("concat('Size ', p_size % 3)")).alias("path"))
+    return taxonomy.build_taxonomy(paths).select("code", "name", "is_leaf")
 
 
-@query("section_by_prefix", f"WITH {carrier.CATEGORIES_SQL} SELECT c.code, c.section, p.name AS parent_name FROM category c LEFT JOIN category p ON p.code = c.parent_code")
+@query("section_by_prefix", f"WITH {TREE_SQL} SELECT c.code, left(c.code, 2) AS section, p.name AS parent_name FROM tree c LEFT JOIN tree p ON p.code = left(c.code, length(c.code) - 2)")
 def section_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = carrier.categories(spark)
-    return dim.join(dim.select(F.col("code").alias("parent_code"), F.col("name").alias("parent_name")), "parent_code", "left").select("code", "section", "parent_name")
+    dim = tree(spark, sf_dir)
+    parents = dim.select(F.col("code").alias("parent_code"), F.col("name").alias("parent_name"))
+    return dim.withColumn("parent_code", F.expr("left(code, length(code) - 2)")).join(parents, "parent_code", "left").select("code", F.left("code", F.lit(2)).alias("section"), "parent_name")
 
 
-@query("taxonomy_classifiable", f"WITH {carrier.CATEGORIES_SQL} SELECT code, name FROM category WHERE is_leaf AND NOT is_computed")
+@query("taxonomy_classifiable", f"WITH {TREE_SQL} SELECT code, name FROM tree WHERE is_leaf AND code NOT LIKE '05%'")
 def taxonomy_classifiable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carrier.categories(spark).where("is_leaf AND NOT is_computed").select("code", "name")
+    """Leaves that rows can be put in; one section stands for computed lines."""
+    dim = tree(spark, sf_dir).withColumn("is_computed", F.startswith("code", F.lit("05")))
+    return dim.where("is_leaf AND NOT is_computed").select("code", "name")
 
 
 #: Prefixes and the side of the ledger they belong to, the first that fits counts.
 SIDES = [("01", "income"), ("0502", "income"), ("0602", "income"), ("02", "expense"), ("03", "expense"), ("04", "expense"), ("0501", "expense"), ("07", "expense"), ("08", "expense")]
 
 
-@query("side_of", f"WITH {carrier.CATEGORIES_SQL} SELECT code, CASE " + " ".join(f"WHEN starts_with(code, '{p}') THEN '{s}'" for p, s in SIDES) + " ELSE 'both' END AS side FROM category")
+@query(
+    "side_of",
+    f"""WITH {TREE_SQL} SELECT code, CASE WHEN left(code, 2) = '01' THEN 'income' WHEN left(code, 2) IN ('02', '03', '04', '07', '08') THEN 'expense'
+  WHEN left(code, 4) IN ('0502', '0602') THEN 'income' WHEN left(code, 4) = '0501' THEN 'expense' ELSE 'both' END AS side FROM tree""",
+)
 def side_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.when(F.startswith("code", F.lit(SIDES[0][0])), SIDES[0][1])
     for prefix, name in SIDES[1:]:
         side = side.when(F.startswith("code", F.lit(prefix)), name)
-    return carrier.categories(spark).select("code", side.otherwise("both").alias("side"))
+    return tree(spark, sf_dir).select("code", side.otherwise("both").alias("side"))
 
 
 @query(
@@ -559,9 +582,14 @@ def batch_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.batch_transactions(*ledger(spark, sf_dir))
 
 
-@query("assert_live_once", f"{WITH} SELECT txn_id, count(*) AS n FROM live GROUP BY 1 HAVING count(*) > 1")
+@query(
+    "assert_live_once",
+    "SELECT l_orderkey AS txn_id, count(*) AS n FROM lineitem WHERE l_partkey % 4 > 0 AND l_suppkey % 5 > 0 GROUP BY 1 HAVING count(*) > 1",
+)
 def assert_live_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.assert_live_once(ledger(spark, sf_dir)[1])
+    """Line items as answers for their order: some superseded, some retracted, and more than one left for many."""
+    said = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("txn_id"), F.when(F.col("l_partkey") % 4 == 0, "x").alias("superseded_by"), F.when(F.col("l_suppkey") % 5 == 0, F.col("l_shipdate")).alias("retracted_on"))
+    return c.assert_live_once(said)
 
 
 @query("agg_counts", f"{WITH} SELECT batch_id, count(*) AS row_count, count(DISTINCT account_id) AS accounts FROM txn GROUP BY 1")

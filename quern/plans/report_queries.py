@@ -134,13 +134,22 @@ def agg_other_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "calendar_zero_fill",
-    f"""WITH m AS (SELECT unnest(generate_series(DATE '{carrier.FIRST}-01', DATE '{carrier.LAST}-01', INTERVAL 1 MONTH))::DATE AS booked_on),
-g AS (SELECT 'month' AS granularity, {LABEL['month']} AS period, booked_on FROM m UNION ALL SELECT 'quarter', {LABEL['quarter']}, booked_on FROM m UNION ALL SELECT 'year', {LABEL['year']}, booked_on FROM m)
-SELECT granularity, period, min(booked_on) AS period_from, last_day(max(booked_on)) AS period_to FROM g GROUP BY ALL""",
+    f"""WITH r AS (SELECT o_custkey, date_trunc('month', min(o_orderdate))::DATE AS a, date_trunc('month', max(o_orderdate))::DATE AS b FROM orders GROUP BY 1),
+m AS (SELECT o_custkey, unnest(generate_series(a, b, INTERVAL 1 MONTH))::DATE AS booked_on FROM r),
+g AS (SELECT o_custkey, 'month' AS granularity, {LABEL['month']} AS period, booked_on FROM m UNION ALL SELECT o_custkey, 'quarter', {LABEL['quarter']}, booked_on FROM m UNION ALL SELECT o_custkey, 'year', {LABEL['year']}, booked_on FROM m),
+n AS (SELECT o_custkey, o_orderdate::DATE AS booked_on FROM orders),
+c AS (SELECT o_custkey, 'month' AS granularity, {LABEL['month']} AS period FROM n UNION ALL SELECT o_custkey, 'quarter', {LABEL['quarter']} FROM n UNION ALL SELECT o_custkey, 'year', {LABEL['year']} FROM n)
+SELECT o_custkey, granularity, period, min(booked_on) AS period_from, last_day(max(booked_on)) AS period_to, (SELECT count(*) FROM c WHERE c.o_custkey = g.o_custkey AND c.granularity = g.granularity AND c.period = g.period) AS orders FROM g GROUP BY ALL""",
 )
 def calendar_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = [whole_calendar(spark, g).select(F.lit(g).alias("granularity"), "*") for g in GRANULARITIES]
-    return every[0].unionByName(every[1]).unionByName(every[2])
+    """Orders of each customer in every period from the first to the last, in periods without any too."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    labels = lambda day: F.explode(F.array(*[F.struct(F.lit(g).alias("granularity"), period_label(day, g).alias("period")) for g in GRANULARITIES])).alias("p")
+    reach = rows.groupBy("o_custkey").agg(F.trunc(F.min("day"), "month").alias("a"), F.trunc(F.max("day"), "month").alias("b"))
+    months = reach.select("o_custkey", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month_start"))
+    every = months.select("o_custkey", "month_start", labels(F.col("month_start"))).groupBy("o_custkey", "p.granularity", "p.period").agg(F.min("month_start").alias("period_from"), F.last_day(F.max("month_start")).alias("period_to"))
+    booked = rows.select("o_custkey", labels(F.col("day"))).groupBy("o_custkey", "p.granularity", "p.period").agg(F.count(F.lit(1)).alias("orders"))
+    return every.join(booked, ["o_custkey", "granularity", "period"], "left").na.fill(0, ["orders"])
 
 
 @query(
@@ -155,9 +164,11 @@ def period_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select("label", period_start(F.col("label")).alias("first_day"), period_end(F.col("label")).alias("last_day"))
 
 
-@query("month_range", f"WITH m AS (SELECT unnest(generate_series(DATE '{carrier.FIRST}-01', DATE '{carrier.LAST}-01', INTERVAL 1 MONTH))::DATE AS month_start) SELECT month_start, last_day(month_start) AS month_end FROM m")
+@query("month_range", "SELECT o_custkey, date_trunc('month', min(o_orderdate))::DATE AS first_day, last_day(max(o_orderdate)::DATE) AS last_day FROM orders GROUP BY 1")
 def month_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return months_between(spark, carrier.FIRST, carrier.LAST).select("month_start", F.last_day("month_start").alias("month_end"))
+    """The closed range of days from the month of a customer's first order to that of the last."""
+    labels = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.min(period_label(F.col("o_orderdate"))).alias("a"), F.max(period_label(F.col("o_orderdate"))).alias("b"))
+    return labels.select("o_custkey", period_start(F.col("a")).alias("first_day"), period_end(F.col("b")).alias("last_day"))
 
 
 @query("drill_rows", f"{WITH}, {tagged_sql()} SELECT org_id, entity_id, period, txn_id, booked_on, category_code, reported_minor FROM tagged WHERE line = '04'")
@@ -175,12 +186,37 @@ def drill_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pnl.drill_rows(tagged(spark, sf_dir), "01", after=("1996-06-15", "2"), limit=100).select("txn_id", "booked_on", "reported_minor")
 
 
-_OPERANDS = [(line, k, part, sign) for line in pnl.CHAIN for k, (part, sign) in enumerate(pnl.operands(line))]
+# Written out beside the library's own chain, so that the two are held against each other.
+OPERANDS_SQL = """o(line, place, operand, sign) AS (VALUES ('91', 0, '01', 'plus'), ('91', 1, '02', 'minus'), ('92', 0, '91', 'plus'), ('92', 1, '03', 'minus'), ('93', 0, '92', 'plus'), ('93', 1, '04', 'minus'), ('93', 2, '05', 'minus'),
+  ('94', 0, '93', 'plus'), ('94', 1, '06', 'minus'), ('95', 0, '94', 'plus'), ('95', 1, '07', 'minus'))"""
 
 
-@query("operands", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}, '{c}', '{d}')" for a, b, c, d in _OPERANDS) + ") AS v(line, place, operand, sign)")
+@query("operands", f"WITH {OPERANDS_SQL}, rep AS ({report_sql('year')}) SELECT org_id, entity_id, period, o.line, place, operand, sign, amount_minor FROM o JOIN rep ON rep.line = o.operand")
 def operands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_OPERANDS, "line string, place int, operand string, sign string")
+    """What computed lines open to, with the amounts that come to theirs."""
+    return pnl.operand_rows(report(spark, sf_dir, "year"))
+
+
+@query("operands_add_up", f"SELECT org_id, entity_id, period, line, amount_minor FROM ({report_sql('year')}) WHERE line IN ('91', '92', '93', '94', '95')")
+def operands_add_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Computed lines from their operands; the SQL reads the report's own."""
+    signed = F.when(F.col("sign") == "minus", -F.col("amount_minor")).otherwise(F.col("amount_minor"))
+    return pnl.operand_rows(report(spark, sf_dir, "year")).groupBy(*pnl.REPORT, "period", "line").agg(F.sum(signed).alias("amount_minor"))
+
+
+@query(
+    "selections",
+    f"""{WITH}, l AS (SELECT DISTINCT unnest([{LABEL['month']}, {LABEL['quarter']}, {LABEL['year']}]) AS label FROM txn),
+d AS (SELECT label, greatest(make_date(left(label, 4)::BIGINT, CASE WHEN length(label) = 4 THEN 1 WHEN contains(label, 'Q') THEN right(label, 1)::BIGINT * 3 - 2 ELSE right(label, 2)::BIGINT END, 1), DATE '1996-02-01') AS first_day,
+  least(last_day(make_date(left(label, 4)::BIGINT, CASE WHEN length(label) = 4 THEN 12 WHEN contains(label, 'Q') THEN right(label, 1)::BIGINT * 3 ELSE right(label, 2)::BIGINT END, 1)), DATE '1997-11-30') AS last_day FROM l)
+SELECT label, CASE WHEN first_day <= last_day THEN first_day END AS first_day, CASE WHEN first_day <= last_day THEN last_day END AS last_day FROM d""",
+)
+def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of every cell of a report from February 1996 to November 1997."""
+    day = F.col("booked_on")
+    labels = carrier.transactions(spark, sf_dir).select(F.explode(F.array(*[period_label(day, g) for g in GRANULARITIES])).alias("label")).distinct()
+    first, last = pnl.selections(F.col("label"), "1996-02", "1997-11")
+    return labels.select("label", first.alias("first_day"), last.alias("last_day"))
 
 
 RECON_SQL = f"""{WITH}, flag AS (SELECT txn.*, coalesce(NOT dismissed, false) AS is_transfer FROM txn LEFT JOIN transfer USING (txn_id) WHERE source_kind = 'bank'),

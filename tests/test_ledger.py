@@ -329,19 +329,71 @@ def test_versions_are_of_the_basis_and_the_days(spark):
     assert {r.taxonomy_version for r in pnl.used_versions(txn, said, "ledger").collect()} == {"t1"}
 
 
-def test_drill_pages_and_line_references(spark):
-    rows = spark.createDataFrame([(f"t{k:03d}", date(2024, 1, 1 + k // 100), "04") for k in range(250)], "txn_id string, booked_on date, line string")
-    page = pnl.drill_page(rows, "section:04").collect()
-    assert len(page) == pnl.PAGE + 1
-    after = pnl.cursor_of(page[-2])
-    assert pnl.parse_cursor(after) == ("2024-01-01", "t099")
-    assert [r.txn_id for r in pnl.drill_page(rows, "section:04", after, 2).collect()] == ["t100", "t101", "t102"]
-    for bad in ("section:99", "computed:04", "bucket", "other:04", ""):
+def test_drill_down_in_pages(spark):
+    rows = spark.createDataFrame([(f"t{k:03d}", date(2024, 1, 30 + k // 200) if k < 400 else date(2024, 2, 1), "04", "04", True, False, k) for k in range(450)] + [("n1", date(2024, 1, 2), "non_pnl", "08", True, False, 5), ("n2", date(2024, 1, 2), "non_pnl", "08", False, False, 7), ("n3", date(2023, 12, 31), "04", "04", True, False, 9)], "txn_id string, booked_on date, line string, section string, is_pnl boolean, requires_allocation boolean, reported_minor bigint")
+    ask = lambda label, line, *rest, **more: pnl.drill_down(rows, label, line, "month", "2024-01", "2024-03", *rest, **more)
+    seen, cursor = [], ""
+    while True:
+        page = ask("2024-01", "04", cursor, limit=150)
+        assert (page.kind, page.row_count, page.total_minor) == ("transactions", 400, sum(range(400)))
+        seen += [r.txn_id for r in page.rows]
+        cursor = page.next_cursor
+        if not cursor:
+            break
+    assert seen == [f"t{k:03d}" for k in range(400)]
+    first = ask("2024-01", "04", limit=501)
+    assert len(first.rows) == 100 and first.next_cursor == "2024-01-30:t099" and len(ask("2024-01", "04", limit=-1).rows) == 100
+    assert ask("2024-01", "93") == pnl.DrillDown("operands", (("92", "plus"), ("04", "minus"), ("05", "minus")))
+    assert [r.txn_id for r in ask("2024-01", "08").rows] == ["n1"] and ask("2024-01", "non_pnl").row_count == 2 and ask("2024-03", "04").rows == []
+    quarter = pnl.drill_down(rows, "2024-Q1", "04", "quarter", "2024-02", "2024-03")
+    assert quarter.row_count == 50, "a quarter is clipped to the months that were asked for"
+    for bad in (("2024-04", "04"), ("2024-1", "04"), ("2024-01", "section:04"), ("2024-01", "99"), ("2024-01", "04", "2024-01-30"), ("2024-01", "04", "2024-99-99:x"), ("2024-01", "04", "x:y"), ("2023-12", "93")):
         with pytest.raises(ValueError):
-            pnl.line_ref(bad)
-    for bad in ((rows, "computed:93"), (rows, "section:04", None, 501), (rows, "section:04", "2024-01-01"), (rows, "section:04", "x|y")):
+            ask(*bad)
+
+
+def test_selections_and_cursors():
+    s = pnl.selection_for("2024-Q1", "unclassified", "quarter", "2024-02", "2025-01")
+    assert (s.first, s.last, s.line) == (date(2024, 2, 1), date(2024, 3, 31), "unclassified")
+    assert pnl.selection_for("2024", "01", "year", "2023-01", "2025-01").last == date(2024, 12, 31)
+    assert pnl.selection_for("2024-02", "09", "month", "2024-02", "2024-02").last == date(2024, 2, 29)
+    for bad in (("2024-Q5", "01", "quarter"), ("2024-13", "01", "month"), ("24", "01", "year"), ("2024", "01", "week"), ("2026", "01", "year"), ("2024", "95", "year")):
         with pytest.raises(ValueError):
-            pnl.drill_page(*bad)
+            pnl.selection_for(*bad, "2023-01", "2025-12")
+    assert pnl.parse_cursor("") is None and pnl.parse_cursor("2024-02-29:a:b") == ("2024-02-29", "a:b")
+    assert [pnl.line_ref(x)[0] for x in ("01", "08", "91", "other_basis")] == ["section", "section", "computed", "bucket"]
+
+
+def test_paths_of_any_depth_and_cycles(spark):
+    chain = [(k, k - 1 if k else None, f"n{k}") for k in range(21)] + [(100, 999, "orphan")]
+    got = dict(c.taxonomy_paths(spark.createDataFrame(chain, "code int, parent_code int, name string")).collect())
+    assert got[20] == " > ".join(f"n{k}" for k in range(21)) and got[0] == "n0" and got[100] == "orphan"
+    with pytest.raises(ValueError, match="its own ancestor"):
+        c.taxonomy_paths(spark.createDataFrame([(1, 3, "a"), (2, 1, "b"), (3, 2, "c"), (4, None, "d")], "code int, parent_code int, name string"))
+    assert c.taxonomy_paths(spark.createDataFrame([], "code int, parent_code int, name string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("rows", "code"),
+    [
+        ([("b", "x", "01", "L1", 0.9)], None),
+        ([("b", "z", "01", "L1", 0.9)], "unknown_transaction"),
+        ([("other", "x", "01", "L1", 0.9)], "unknown_transaction"),
+        ([("b", "x", "01", "L1", 0.9), ("b", "x", "02", "L1", 0.9)], "repeated_transaction"),
+        ([("b", "x", "", "L1", 0.9)], "incomplete_proposal"),
+        ([("b", "x", "01", None, 0.9)], "incomplete_proposal"),
+        ([("b", "x", "01", "L1", 1.5)], "bad_confidence"),
+        ([("b", "x", "01", "L1", None)], "bad_confidence"),
+    ],
+)
+def test_proposals_fit_what_was_sent(spark, rows, code):
+    sent = spark.createDataFrame([("b", "x"), ("b", "y")], "batch_id string, txn_id string")
+    proposals = spark.createDataFrame(rows, "batch_id string, txn_id string, category_code string, engine_layer string, confidence double")
+    if code is None:
+        assert c.checked_proposals(sent, proposals).count() == 1
+    else:
+        with pytest.raises(c.RequestRejected, match=code):
+            c.checked_proposals(sent, proposals)
 
 
 def test_transfers_pair_on_base_amounts_and_leave_members_out(spark):
