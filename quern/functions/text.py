@@ -98,17 +98,3 @@ def key_tier(key: Column) -> Column:
 
 def has_replacement_char(text: Column) -> Column:
     return F.contains(text, F.lit("�"))
-
-
-def pseudonym(value: Column, salt: str, pool: list[str]) -> Column:
-    """A name of the pool, the same for the same value and salt."""
-    return F.element_at(F.array(*[F.lit(x) for x in pool]), (F.pmod(F.xxhash64(F.lit(salt), value), F.lit(len(pool))) + 1).cast("int"))
-
-
-def masked_digits(text: Column, salt: str) -> Column:
-    """Each run of six or more digits becomes digits of the same shape, drawn from a salted digest of the whole text."""
-    digest = F.translate(F.sha2(F.concat(F.lit(salt), text), 256), "abcdef", "012345")
-    parts = F.regexp_extract_all(text, F.lit(r"([0-9]{6,}|[0-9]{1,5}|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]{6,}$"), F.substring(F.repeat(digest, (F.length(p) / 64 + 1).cast("int")), F.lit(1), F.length(p))).otherwise(p)), "")
-
-

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.pnl import live
+from quern.sources.versions import Partitioned
 
 #: An outcome and the category it writes; ``categorised`` brings its own.
 OUTCOMES = {"categorised": None, "transfer": "09", "non_pnl": "09", "skipped": None}
@@ -67,6 +68,39 @@ def supersede(classifications: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def touched(rows: DataFrame, by: str) -> list[str]:
+    """The partitions that rows lie in; there are as many as months or organisations of one change."""
+    return [r[0] for r in rows.select(by).distinct().collect()]
+
+
+def supersede_stored(history: Partitioned, new: DataFrame) -> int:
+    """``supersede`` on a stored history: only the partitions of new rows, which lie with those they replace, are read and written."""
+    return history.rewrite(touched(new, history.by), lambda old: supersede(old, new))
+
+
+def retract_stored(history: Partitioned, retract: DataFrame, on: Column, who: str) -> int:
+    """Marks rows (classification_id and the history's partition) as retracted, in their own partitions; rows that do not stand are left as they are."""
+    ids = retract.select("classification_id").distinct().withColumn("__gone", F.lit(True))
+
+    def changed(old: DataFrame) -> DataFrame:
+        met = old.join(ids, "classification_id", "left")
+        now = F.coalesce("__gone", F.lit(False)) & F.col("superseded_by").isNull() & F.col("retracted_on").isNull()
+        return met.withColumns({"retracted_on": F.when(now, on).otherwise(F.col("retracted_on")), "retracted_by": F.when(now, who).otherwise(F.col("retracted_by"))}).drop("__gone")
+
+    return history.rewrite(touched(retract, history.by), changed)
+
+
+def upsert_vendors_stored(vendors: Partitioned, new: DataFrame) -> int:
+    """``upsert_vendors`` on a stored memory: only the organisations of new rows are read and written."""
+    return vendors.rewrite(touched(new, vendors.by), lambda old: upsert_vendors(old, new))
+
+
+def forget_stored(vendors: Partitioned, forget: DataFrame) -> int:
+    """Removes vendors (the partition and counterparty_key) from a stored memory."""
+    keys = [vendors.by, "counterparty_key"]
+    return vendors.rewrite(touched(forget, vendors.by), lambda old: old.join(forget.select(*keys).distinct(), keys, "left_anti"))
+
+
 def upsert_vendors(vendors: DataFrame, new: DataFrame) -> DataFrame:
     """Vendor memory after an upsert: the latest decision of each (org, key) stays."""
     every = vendors.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)))

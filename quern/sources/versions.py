@@ -12,6 +12,7 @@ import json
 import os
 import uuid
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,3 +176,63 @@ class Commits:
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", path).parquet(*folders).drop("commit")
+
+
+class Partitioned:
+    """A table in partitions of one column, of which a change rewrites those that it touches and no others.
+
+    A version names the folder of each partition. A change reads its own
+    partitions, writes them anew and puts a version in which they lie elsewhere;
+    all other partitions stay the files that they were. Of two changes at once
+    the second puts its folders into the first one's version if they have no
+    partition in common, and is computed again otherwise. The column is text and
+    never null, and coarse: the driver holds the names of all partitions.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, by: str):
+        self.spark, self.path, self.by = spark, path.rstrip("/"), by
+        self.schema = StructType.fromDDL(schema)
+
+    def version(self) -> int:
+        return max((int(n.removesuffix(".json")) for n in names_in(self.spark, f"{self.path}/versions") if n.endswith(".json")), default=0)
+
+    def parts(self, version: int | None = None) -> dict[str, str]:
+        """The folder of each partition."""
+        version = self.version() if version is None else version
+        return json.loads(read_text(self.spark, f"{self.path}/versions/{version:012d}.json")) if version else {}
+
+    def read(self, values: Sequence[str] | None = None, version: int | None = None) -> DataFrame:
+        """The rows, of some partitions only if they are named; no other partition's files are listed."""
+        return self._of({v: f for v, f in self.parts(version).items() if values is None or v in values})
+
+    def _of(self, parts: dict[str, str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        base = f"{self.path}/rows"
+        rows = self.spark.read.schema(self.schema).option("basePath", base).parquet(*[f"{base}/{f}" for f in parts.values()])
+        return rows.select(*self.schema.fieldNames())
+
+    def rewrite(self, values: Sequence[str], changed: Callable[[DataFrame], DataFrame], attempts: int = 20) -> int:
+        """Puts what ``changed`` returns for the rows of these partitions in their place; rows of other partitions are an error."""
+        values = sorted(set(values))
+        if not values:
+            return self.version()
+        seen, written = None, {}
+        for _ in range(attempts):
+            version = self.version()
+            parts = self.parts(version)
+            own = {v: parts[v] for v in values if v in parts}
+            if own != seen:  # for the first time, or somebody has changed these
+                seen, written = own, self._write(changed(self._of(own)), values)
+            rest = {v: f for v, f in parts.items() if v not in values}
+            if put_if_absent(self.spark, f"{self.path}/versions/{version + 1:012d}.json", json.dumps(rest | written)):
+                return version + 1
+        raise LostRace(f"{self.path}: {attempts} attempts, each of which came second")
+
+    def _write(self, rows: DataFrame, values: Sequence[str]) -> dict[str, str]:
+        folder, value = f"version={uuid.uuid4().hex}", F.col(self.by)
+        stray = F.raise_error(F.concat(F.lit("row of another partition: "), F.coalesce(value, F.lit("null")))).cast("string")
+        checked = rows.select(*self.schema.fieldNames()).withColumn(self.by, F.when(value.isin(list(values)), value).otherwise(stray))
+        checked.write.partitionBy(self.by).parquet(f"{self.path}/rows/{folder}")
+        names = [n for n in names_in(self.spark, f"{self.path}/rows/{folder}") if n.startswith(f"{self.by}=")]
+        return {unquote(n.split("=", 1)[1]): f"{folder}/{n}" for n in names}

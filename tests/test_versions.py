@@ -131,3 +131,76 @@ def test_import_that_stops_after_each_write(spark, tmp_path, monkeypatch):
     for t in whole:
         assert resumed[t] == whole[t], t
     assert {t: len(x) for t, x in whole.items()} | {"errors": 0} == {"ledger": 4, "skips": 4, "errors": 0, "files": 4} and whole["errors"]
+
+
+HISTORY = "classification_id string, txn_id string, month string, category_code string, superseded_by string, retracted_on date, retracted_by string"
+
+
+def files_below(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def stored_history(spark, tmp_path):
+    table = versions.Partitioned(spark, str(tmp_path / "h"), HISTORY, "month")
+    old = spark.createDataFrame([(f"c{m}{k}", f"t{m}{k}", f"2024-0{m}", "01", None, None, None) for m in (1, 2, 3) for k in range(4)], HISTORY)
+    table.rewrite(["2024-01", "2024-02", "2024-03"], lambda _: old)
+    return table, old
+
+
+def test_a_change_rewrites_its_own_partitions(spark, tmp_path):
+    from quern.operators import review
+
+    table, old = stored_history(spark, tmp_path)
+    before, folders = files_below(tmp_path / "h" / "rows"), table.parts()
+    new = spark.createDataFrame([("n1", "t21", "2024-02", "05", None, None, None), ("n2", "t99", "2024-02", "05", None, None, None)], HISTORY)
+    review.supersede_stored(table, new)
+    assert rows(table.read().na.fill("-")) == rows(review.supersede(old, new).select(old.columns).na.fill("-"))
+    after = table.parts()
+    assert {m: after[m] == folders[m] for m in folders} == {"2024-01": True, "2024-02": False, "2024-03": True}
+    assert {f: t for f, t in files_below(tmp_path / "h" / "rows").items() if f in before} == before, "files that were there are as they were"
+    read = table.read(["2024-02"]).inputFiles()
+    assert read and all("month=2024-02" in f for f in read)
+
+    review.retract_stored(table, table.read().where("classification_id IN ('c30', 'c21')").select("classification_id", "month"), F.lit("2024-05-01").cast("date"), "u1")
+    said = {r.classification_id: (r.superseded_by, r.retracted_by) for r in table.read().collect()}
+    assert said["c30"] == (None, "u1") and said["c21"] == ("n1", None) and table.parts()["2024-01"] == folders["2024-01"]
+    assert rows(table.read(version=1).na.fill("-")) == rows(old.na.fill("-")), "earlier versions can be read"
+
+
+def test_vendor_memory_by_organisation(spark, tmp_path):
+    from quern.operators import review
+
+    schema = "org_id string, counterparty_key string, category_code string, decided_on date"
+    table = versions.Partitioned(spark, str(tmp_path / "v"), schema, "org_id")
+    of = lambda *x: spark.createDataFrame(list(x), "org_id string, counterparty_key string, category_code string, decided_on string").withColumn("decided_on", F.to_date("decided_on"))
+    review.upsert_vendors_stored(table, of(("a/b", "k", "01", "2024-01-01"), ("o2", "k", "02", "2024-01-01")))
+    kept = table.parts()["o2"]
+    review.upsert_vendors_stored(table, of(("a/b", "k", "03", "2024-02-01"), ("a/b", "l", "04", "2024-02-01")))
+    assert sorted(r[:3] for r in rows(table.read())) == [("a/b", "k", "03"), ("a/b", "l", "04"), ("o2", "k", "02")] and table.parts()["o2"] == kept
+    review.forget_stored(table, of(("a/b", "k", "", "2024-01-01"), ("a/b", "l", "", "2024-01-01")))
+    assert [r[:3] for r in rows(table.read())] == [("o2", "k", "02")] and list(table.parts()) == ["o2"]
+    assert table.rewrite([], lambda old: old) == table.version()
+    with pytest.raises(Exception, match="another partition"):
+        table.rewrite(["o2"], lambda old: of(("o3", "k", "01", "2024-01-01")))
+
+
+def test_two_changes_at_once(spark, tmp_path):
+    """Changes of different months both stand, each computed once; of one month's, the second sees the first."""
+    from quern.operators import review
+
+    table, _ = stored_history(spark, tmp_path)
+    other = versions.Partitioned(spark, str(tmp_path / "h"), HISTORY, "month")
+    one = lambda i, m: spark.createDataFrame([(f"n{i}", f"t{m}0", f"2024-0{m}", "05", None, None, None)], HISTORY)
+    for first, second, tries in ((1, 2, 1), (3, 3, 2)):
+        calls = []
+
+        def changed(old, first=first, second=second, calls=calls):
+            calls.append(1)
+            if len(calls) == 1:
+                review.supersede_stored(other, one(f"a{first}", first))
+            return review.supersede(old, one(f"b{second}", second))
+
+        table.rewrite([f"2024-0{second}"], changed)
+        assert len(calls) == tries
+    said = {r.classification_id: r.superseded_by for r in table.read().collect()}
+    assert (said["c10"], said["c20"], said["c30"], said["na3"], said["nb3"]) == ("na1", "nb2", "na3", "nb3", None)
