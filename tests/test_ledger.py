@@ -122,6 +122,31 @@ def test_pairs_match_one_sequential_pass(spark):
     assert got == want and len({x for p in got for x in p}) == 2 * len(got)
 
 
+@pytest.mark.parametrize(("seed", "accounts", "per_day"), [(1, 2, 1), (2, 3, 4), (3, 5, 9), (4, 1, 3)])
+def test_a_dense_amount_is_paired_in_pieces(spark, seed, accounts, per_day):
+    """One amount with rows on every day of two months, of which some are missed by all partners, and free rows that cross many borders."""
+    import random
+
+    rng = random.Random(seed)
+    rows = [(k, 1, "bank", rng.randrange(accounts), date.fromordinal(date(2024, 1, 1).toordinal() + (k // per_day)), rng.choice([-5, 5]) if k // per_day % 20 < 12 else rng.choice([-5, 5, 5, 5])) for k in range(60 * per_day)]
+    txn = spark.createDataFrame(rows, MOVE)
+    want = set(transfers.pair_in_order(sorted((r[4].toordinal(), r[0], r[3], r[5]) for r in rows)))
+    for piece_days in (4, 7):
+        assert {(r.out_id, r.in_id) for r in transfers.pairs(txn, piece_days=piece_days).collect()} == want
+    pieces = transfers.dated_pieces(txn, transfers.DAYS, 7, None).groupBy(*transfers.PIECE).count().collect()
+    assert len(pieces) >= 9 and max(r["count"] for r in pieces) <= 7 * per_day
+    with pytest.raises(ValueError):
+        transfers.pairs(txn, piece_days=3)
+
+
+def test_a_free_row_that_moves_every_pair_after_it(spark):
+    """Rows of one account and the other by turns, each taking the row of the day before: the first one decides about all pieces."""
+    turns = [(k, 1, "bank", 1 + k % 2, date.fromordinal(738000 + 2 * k), 5 if k % 2 else -5) for k in range(40)]
+    for rows in (turns, turns[1:]):
+        want = set(transfers.pair_in_order(sorted((r[4].toordinal(), r[0], r[3], r[5]) for r in rows)))
+        assert {(r.out_id, r.in_id) for r in transfers.pairs(spark.createDataFrame(rows, MOVE), piece_days=4).collect()} == want and len(want) >= 19
+
+
 def test_pairing_holds_the_last_days_only():
     """A row on each of many days, all of one sign: what is held doesn't grow with the sequence."""
     p = transfers.Pairing()
