@@ -44,30 +44,45 @@ def norm_digits_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "counterparty_key",
     """WITH n AS (SELECT c_custkey, 'tax:' || lpad(c_custkey::VARCHAR, 9, '0') AS by_tax, 'name:' || upper(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) AS by_name FROM customer)
-SELECT c_custkey, by_tax, by_name, 'acct:' || 'BY' || c_custkey AS by_account, '' AS by_nothing, 'tax_id,name,account,none' AS tiers FROM n""",
+SELECT c_custkey, by_tax, by_name, 'acct:' || 'BY' || c_custkey AS by_account, '' AS by_nothing, 'tax_id,name,account,none' AS tiers,
+  'name:РОГА' || c_custkey AS by_quoted_name, 'tax:000000000' AS by_zeroes, 'name:ФИРМА' || c_custkey AS by_short_tax, 'tax:190' || lpad(c_custkey::VARCHAR, 6, '0') AS by_spaced_tax, 'acct:BY' || c_custkey AS by_form_only FROM n""",
 )
 def counterparty_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("string")
+    none, number = F.lit(None).cast("string"), F.col("c_custkey").cast("string")
     keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         "c_custkey",
         text.counterparty_key(F.col("c_name"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), none).alias("by_tax"),
         text.counterparty_key(F.concat(F.lit("ООО "), F.col("c_name"), F.lit(" UL.X 1")), F.lit("0"), none).alias("by_name"),
         text.counterparty_key(none, none, F.concat(F.lit("by-"), F.col("c_custkey").cast("string"))).alias("by_account"),
         text.counterparty_key(none, none, none).alias("by_nothing"),
+        text.counterparty_key(F.concat(F.lit("«Рога-"), number, F.lit("» ООО, Минск")), F.lit(" - "), none).alias("by_quoted_name"),
+        text.counterparty_key(F.col("c_name"), F.lit("000000000"), none).alias("by_zeroes"),
+        text.counterparty_key(F.concat(F.lit("ЗАО Фирма-"), number), F.lit("1234567"), none).alias("by_short_tax"),
+        text.counterparty_key(F.col("c_name"), F.concat(F.lit("190-"), F.lpad(number, 6, "0")), none).alias("by_spaced_tax"),
+        text.counterparty_key(F.lit("ООО"), F.lit("0"), F.concat(F.lit("BY "), number)).alias("by_form_only"),
     )
     tiers = F.concat_ws(",", *[text.key_tier(F.col(k)) for k in ("by_tax", "by_name", "by_account", "by_nothing")])
     return keys.withColumn("tiers", tiers)
 
 
-@query("strip_address", r"SELECT c_custkey, regexp_replace(c_name, '^\s+|\s+$', '', 'g') AS bare FROM customer")
+# What is put behind a name, and what of it stays: written out by the rules, beside the library.
+ADDRESSES = [" UL.Nowa 5", " UL. Nowa", " UL. Nowa 15", ", Minsk", " , Minsk", " 220030 Minsk", " 7 Minsk", " ROAD 7", " ROADSIDE", " ROADЯ x", " BROAD 1", " PLAZA", " ADRES,x", " A1 22", "", " ", " х. 12-3"]
+ADDRESSES_SQL = "['', ' UL. Nowa', ' UL. Nowa', ', Minsk', '', '', ' 7 Minsk', '', ' ROADSIDE', ' ROADЯ x', ' BROAD 1', '', '', ' A1', '', '', ' х.']"
+
+
+@query("strip_address", f"SELECT c_custkey, c_name || {ADDRESSES_SQL}[c_custkey % 17 + 1] AS bare FROM customer")
 def strip_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    addressed = F.concat(F.col("c_name"), F.element_at(F.array(*[F.lit(x) for x in (" UL.Nowa 5", " , Minsk", " 220030 Minsk", " ROAD 7")]), (F.col("c_custkey") % 4 + 1).cast("int")))
+    addressed = F.concat(F.col("c_name"), F.element_at(F.array(*[F.lit(x) for x in ADDRESSES]), (F.col("c_custkey") % 17 + 1).cast("int")))
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", text.strip_address(addressed).alias("bare"))
 
 
-@query("strip_legal_forms", "SELECT c_custkey, '  ' || upper(c_name) || ' ' AS bare FROM customer")
+FORMS = ["ООО {} LTD", "LTDX {}", "{} INC. LLC", "{} AB SA", "SP. Z O.O. {}", "SPZOO {}", "{} S.A.", "ТОВАРИЩЕСТВО С ОГРАНИЧЕННОЙ ОТВЕТСТВЕННОСТЬЮ {}", "{}-LTD", "ЧУП {} УПАК"]
+FORMS_SQL = "['  {} ', 'LTDX {}', '{}  ', '{}  ', '  {}', '  {}', '{} ', '  {}', '{}-LTD', '  {} УПАК']"
+
+
+@query("strip_legal_forms", f"SELECT c_custkey, replace({FORMS_SQL}[c_custkey % 10 + 1], '{{}}', upper(c_name)) AS bare FROM customer")
 def strip_legal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("ООО", "LLC", "GMBH", "SP. Z O.O.")]), (F.col("c_custkey") % 4 + 1).cast("int")), F.lit(" "), F.upper("c_name"), F.lit(" LTD"))
+    named = F.replace(F.element_at(F.array(*[F.lit(x) for x in FORMS]), (F.col("c_custkey") % 10 + 1).cast("int")), F.lit("{}"), F.upper("c_name"))
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", text.strip_legal_forms(named).alias("bare"))
 
 

@@ -103,13 +103,13 @@ def x_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     "projection",
     f"""{WITH}, m AS (SELECT org_id, entity_id, (year(booked_on) * 12 + month(booked_on))::BIGINT AS x, sum(reported_minor)::BIGINT AS y FROM txn GROUP BY 1, 2, 3),
 s AS (SELECT org_id, entity_id, count(*) AS n, sum(x)::DOUBLE AS sx, sum(y)::DOUBLE AS sy, sum(x::DOUBLE * y) AS sxy, sum(x::DOUBLE * x) AS sxx, min(x) AS x0, max(x) AS x1 FROM m GROUP BY 1, 2)
-SELECT org_id, entity_id, k, round(x1 + k * (x1 - x0)::DOUBLE / (n - 1), 6) AS x, round((sy / n + (n * sxy - sx * sy) / (n * sxx - sx * sx) * (x1 + k * (x1 - x0)::DOUBLE / (n - 1) - sx / n)) / 1000) AS y_thousands FROM s CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS k)""",
+SELECT org_id, entity_id, k, round(x1 + k * (x1 - x0)::DOUBLE / (n - 1), 6) AS x, round((sy / n + (n * sxy - sx * sy) / (n * sxx - sx * sx) * (x1 + k * (x1 - x0)::DOUBLE / (n - 1) - sx / n)) / 10) AS y_tens FROM s CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS k)""",
 )
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("booked_on")
     months = carrier.transactions(spark, sf_dir).groupBy(*pnl.REPORT, (F.year(day) * 12 + F.month(day)).cast("bigint").alias("x")).agg(F.sum("reported_minor").alias("y"))
     ahead = series.project_trend(months, pnl.REPORT, "x", "y", 3)
-    return ahead.select(*pnl.REPORT, "k", F.round("x", 6).alias("x"), F.round(F.col("y") / 1000).alias("y_thousands"))
+    return ahead.select(*pnl.REPORT, "k", F.round("x", 6).alias("x"), F.round(F.col("y") / 10).alias("y_tens"))
 
 
 @query(
