@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ISO 4217 codes and the number of their minor-unit digits.
@@ -61,7 +61,11 @@ def try_parse_money(code: Column, text: Column) -> Column:
 
     One compiled expression: the point goes, and zeros fill the digits that the text leaves out.
     """
-    digits, point = exponent_of(code), F.instr(text, ".")
+    return _minor(exponent_of(code), text)
+
+
+def _minor(digits: Column, text: Column) -> Column:
+    point = F.instr(text, ".")
     given = F.when(point > 0, F.length(text) - point).otherwise(F.lit(0))
     fits = text.rlike(r"^-?[0-9]+(\.[0-9]*)?$") & (given <= digits) & ~((point > 0) & (digits == 0))
     return F.when(fits, F.concat(F.translate(text, ".", ""), F.repeat(F.lit("0"), F.greatest(digits - given, F.lit(0)).cast("int"))).try_cast("bigint"))
@@ -79,12 +83,31 @@ def try_decimal_from_locale(text: Column) -> Column:
     Spaces of three kinds go. Of comma and point, the last is the decimal mark
     and the other groups thousands; a lone comma is the mark.
     """
-    bare = F.regexp_replace(F.trim(F.translate(text, " \u00a0\u2007", "")), r"^(-?)\+", "$1")
+    return _plain(_bare(text))
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.trim(F.translate(text, " \u00a0\u2007", "")), r"^(-?)\+", "$1")
+
+
+def _plain(bare: Column) -> Column:
     # ``translate`` drops what has no counterpart, so the mark that groups goes as the other becomes the point.
     plain = F.when(bare.rlike(r"^-?[0-9.]*,[0-9]+$"), F.translate(bare, ",.", ".")).when(bare.rlike(r"^-?[0-9,]*\.[0-9]+$"), F.translate(bare, ",", "")).otherwise(bare)
     return F.when(bare == "", F.lit("0")).when(plain.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), plain)
 
 
+def with_amounts(rows: DataFrame, digits: str, amounts: dict[str, str]) -> DataFrame:
+    """``try_parse_amount`` for several columns at once, given the column of their currency's digits.
+
+    Each step is a projection of its own: what the next one refers to more than
+    once is worked out once.
+    """
+    steps = rows.withColumns({f"__b_{new}": _bare(F.col(old)) for new, old in amounts.items()})
+    steps = steps.withColumns({f"__p_{new}": _plain(F.col(f"__b_{new}")) for new in amounts})
+    steps = steps.withColumns({new: _minor(F.col(digits), F.col(f"__p_{new}")) for new in amounts})
+    return steps.drop(*[f"__{k}_{new}" for new in amounts for k in "bp"])
+
+
 def try_parse_amount(code: Column, text: Column) -> Column:
     """Minor units from a bank's spelling of an amount; null if it cannot be read."""
     return try_parse_money(code, try_decimal_from_locale(text))

@@ -52,6 +52,12 @@ def in_currency(txn: DataFrame, base_currency: str) -> DataFrame:
     return txn.withColumn("reported_minor", F.when(code == base_currency, F.col("reported_minor")).otherwise(wrong))
 
 
+def report_rows(txn: DataFrame, basis: str, first: str, last: str) -> DataFrame:
+    """The rows that reports of one basis and a closed range of days are computed from, by entity in the order of (booked_on, txn_id)."""
+    days = F.col("booked_on").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    return txn.where((F.col("source_kind") == basis) & days).orderBy(*REPORT, "booked_on", "txn_id")
+
+
 def tag_lines(txn: DataFrame, classifications: DataFrame, categories: DataFrame, basis: str = "bank", granularity: str = "month", transfers: DataFrame | None = None, base_currency: str | None = None) -> DataFrame:
     """Transactions with category_code, section, line and period.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.pnl import live
-from quern.sources.versions import Partitioned
+from quern.sources.versions import Partitioned, Versioned
 
 #: An outcome and the category it writes; ``categorised`` brings its own.
 OUTCOMES = {"categorised": None, "transfer": "09", "non_pnl": "09", "skipped": None}
@@ -50,6 +50,43 @@ def resolve(txn: DataFrame, classifications: DataFrame, decisions: DataFrame) ->
     return new, vendors, log.select("org_id", "entity_id", "counterparty_key", "outcome", "target", "covered_count", "covered_minor")
 
 
+DECISIONS = "decision_id string, org_id string, key_version string, counterparty_key string, outcome string, category_code string, decided_by string, decided_on timestamp, undone_on timestamp, undone_by string"
+
+
+def live_decisions(decisions: DataFrame) -> DataFrame:
+    """The decisions that were not undone; one of a counterparty at most."""
+    return decisions.where(F.col("undone_on").isNull())
+
+
+class DecisionRefused(ValueError):
+    """A decision that cannot be made or undone."""
+
+
+def decide_stored(decisions: Versioned, new: DataFrame) -> int:
+    """Adds decisions; a counterparty that has one that stands cannot get another."""
+    who = ["org_id", "key_version", "counterparty_key"]
+
+    def changed(old: DataFrame) -> DataFrame:
+        twice = live_decisions(old).select(*who).unionByName(new.select(*who)).groupBy(*who).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        for r in twice.limit(1).collect():
+            raise DecisionRefused(f"{r.counterparty_key} has a decision")
+        return new
+
+    return decisions.change(changed)
+
+
+def undo_stored(decisions: Versioned, decision_id: str, who: str, on: Column) -> int:
+    """Marks a decision as undone; one that is not there, or was undone before, is an error."""
+
+    def changed(old: DataFrame) -> DataFrame:
+        found = live_decisions(old).where(F.col("decision_id") == decision_id)
+        if found.isEmpty():
+            raise DecisionRefused(f"{decision_id} is not a decision that stands")
+        return found.withColumns({"undone_on": on, "undone_by": F.lit(who)})
+
+    return decisions.change(changed)
+
+
 def undo(txn: DataFrame, classifications: DataFrame, vendors: DataFrame, undone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(human classifications to retract, vendors that stay) for undone decisions (org_id, counterparty_key, outcome)."""
     keys = undone.select("org_id", "counterparty_key").distinct()

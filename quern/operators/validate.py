@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.money import exponent_of, try_parse_amount
+from quern.functions.money import exponent_of, with_amounts
 from quern.functions.periods import try_parse_date
 from quern.functions.text import has_replacement_char
 
@@ -36,8 +36,8 @@ def row_errors(rows: DataFrame, today: str, date_format: str = "") -> DataFrame:
     amounts. An account that is missing or blank is not resolved.
     """
     day, now = try_parse_date(F.col("booked_on"), date_format), F.lit(today).cast("date")
-    amounts = {f"__{c}": try_parse_amount(F.col("currency"), F.col(c)) for c in ("debit", "credit")}
-    read = rows.withColumns(amounts | {"__digits": exponent_of(F.col("currency")), "__day": day})
+    read = rows.withColumns({"__digits": exponent_of(F.col("currency")), "__day": day})
+    read = with_amounts(read, "__digits", {f"__{c}": c for c in ("debit", "credit")})
 
     def error(bad: Column, field: str, code: str, raw: Column) -> Column:
         return F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(field).alias("field"), F.lit(code).alias("code"), raw.alias("raw")))

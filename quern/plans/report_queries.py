@@ -176,6 +176,11 @@ def drill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pnl.drill_rows(tagged(spark, sf_dir), "04").select(*pnl.REPORT, "period", "txn_id", "booked_on", "category_code", "reported_minor")
 
 
+@query("txns_for_report", f"{WITH} SELECT org_id, entity_id, txn_id, booked_on, reported_minor FROM txn WHERE source_kind = 'ledger' AND booked_on BETWEEN DATE '1996-02-01' AND DATE '1997-11-30' ORDER BY org_id, entity_id, booked_on, txn_id")
+def txns_for_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pnl.report_rows(carrier.transactions(spark, sf_dir), "ledger", "1996-02-01", "1997-11-30").select("org_id", "entity_id", "txn_id", "booked_on", "reported_minor")
+
+
 @query("drill_total", f"{WITH}, {tagged_sql()} SELECT org_id, entity_id, line, count(*) AS row_count, sum(reported_minor)::BIGINT AS amount_minor FROM tagged GROUP BY ALL")
 def drill_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged(spark, sf_dir).groupBy(*pnl.REPORT, "line").agg(F.count(F.lit(1)).alias("row_count"), F.sum("reported_minor").alias("amount_minor"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators import taxonomy as t
@@ -84,6 +84,18 @@ def tenancy_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orgs.join(entities, "org_id", "left").na.fill(0, ["entities"])
 
 
+@query(
+    "tenancy_accounts",
+    "SELECT c_nationkey::BIGINT AS entity_id, n_regionkey::BIGINT AS org_id, 'acc-' || c_custkey AS external_ref, c_name AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey) AS place FROM customer JOIN nation ON n_nationkey = c_nationkey",
+)
+def tenancy_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accounts of each entity by name; customers stand for accounts."""
+    customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_name", "c_custkey")).cast("bigint")
+    rows = customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    return rows.select(F.col("c_nationkey").cast("bigint").alias("entity_id"), F.col("n_regionkey").cast("bigint").alias("org_id"), F.concat(F.lit("acc-"), F.col("c_custkey").cast("string")).alias("external_ref"), F.col("c_name").alias("name"), place.alias("place"))
+
+
 @query("file_measure")
 def file_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test tables' own files, measured and sniffed as uploads are."""

@@ -204,3 +204,20 @@ def test_two_changes_at_once(spark, tmp_path):
         assert len(calls) == tries
     said = {r.classification_id: r.superseded_by for r in table.read().collect()}
     assert (said["c10"], said["c20"], said["c30"], said["na3"], said["nb3"]) == ("na1", "nb2", "na3", "nb3", None)
+
+
+def test_decisions_stand_once_and_are_undone_once(spark, tmp_path):
+    from quern.operators import review
+
+    table = Versioned(spark, str(tmp_path / "d"), review.DECISIONS, ["decision_id"])
+    of = lambda *ids: spark.createDataFrame([(i, "o", "v1", k, "skipped", None, "u", None, None, None) for i, k in ids], review.DECISIONS)
+    review.decide_stored(table, of(("1", "a"), ("2", "b")))
+    for bad in (of(("3", "a")), of(("3", "c"), ("4", "c"))):
+        with pytest.raises(review.DecisionRefused, match="has a decision"):
+            review.decide_stored(table, bad)
+    review.undo_stored(table, "1", "u2", F.lit("2024-01-01").cast("timestamp"))
+    for again in ("1", "9"):
+        with pytest.raises(review.DecisionRefused, match="not a decision that stands"):
+            review.undo_stored(table, again, "u2", F.current_timestamp())
+    review.decide_stored(table, of(("3", "a")))
+    assert sorted(r.decision_id for r in review.live_decisions(table.read()).collect()) == ["2", "3"] and table.read().count() == 3
