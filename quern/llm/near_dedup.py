@@ -5,11 +5,13 @@ least hash of a bin stays, and an empty bin borrows from a full one along its
 own fixed order of bins (optimal densification). Bands of bins are the buckets.
 Each bucket ties its members to one hub only; a member is first compared with
 the hub it shares most buckets with, and each link is confirmed on the full
-sets. Two members may be linked although neither is a hub, so what still lies
-between two components is looked through once more: ties to other hubs, and, in
-buckets with strays outside their main component, the strays against the others,
-in blocks of bounded size, on the full sets; a block gives the links that join
-components, not every pair that is alike.
+sets. Two members may be linked although neither is a hub. So components are
+tied by further stars: in each bucket one member of every other component meets
+one of the main component, drawn anew in each round. What still lies between two
+components is looked through once more: ties to other hubs, and, in buckets with
+strays outside their main component, the strays against the others, in blocks of
+bounded size, on the full sets; a block gives the links that join components,
+not every pair that is alike.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def _features(width: int):
                 signs.append(signature(s) if len(s) else np.zeros(BINS, U64))
             bands = band_keys(np.array(signs)).view(np.int64) if signs else np.zeros((0, BANDS), np.int64)
             listed = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict({"row": frame.column("row"), "doc_id": frame.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()), "set_key": pa.array(keys, pa.binary()), "bands": listed})
+            yield pa.RecordBatch.from_pydict({"row": frame.column("row"), "doc_id": frame.column("doc_id"), "print": frame.column("print"), "n_shingles": pa.array(sizes, pa.int64()), "set_key": pa.array(keys, pa.binary()), "bands": listed})
 
     return batches
 
@@ -202,9 +204,10 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     own. Further columns are ignored; an empty table gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print"))
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    feat = cut_lineage(numbered.mapInArrow(_features(width), f"row bigint, doc_id {id_type}, n_shingles bigint, set_key binary, bands array<bigint>"))
+    feat = cut_lineage(numbered.mapInArrow(_features(width), f"row bigint, doc_id {id_type}, print bigint, n_shingles bigint, set_key binary, bands array<bigint>"))
     some = feat.where("n_shingles > 0")
     # Sums by key are written before they are joined to their rows: the join then
     # shuffles both sides by itself, and a hot key's rows can be split.
@@ -216,8 +219,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     bucketed = cut_lineage(spread.join(heads, "key"))
     stars = cut_lineage(bucketed.where("node != hub").groupBy(F.col("node").alias("u"), F.col("hub").alias("v")).agg(F.count(F.lit(1)).alias("bands")))
     wanted = stars.select("u").unionByName(stars.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "node")
-    known = nodes.select("node", "set_key", F.col("doc_id").alias("__id")).join(wanted, "node")
-    texts = rows.join(known, rows["doc_id"].eqNullSafe(known["__id"])).select("node", "set_key", "text")
+    # An id alone would bring every text of a repeated or null id to every node of it.
+    known = nodes.select("node", "set_key", F.col("doc_id").alias("__id"), F.col("print").alias("__print")).join(wanted, "node")
+    texts = rows.join(known, rows["doc_id"].eqNullSafe(known["__id"]) & (rows["print"] == known["__print"])).select("node", "set_key", "text")
     sets = cut_lineage(texts.mapInArrow(_full_sets(width), "node bigint, shingles array<bigint>"))
     if not docs.select(id_col).groupBy(id_col).count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["node"])
@@ -225,6 +229,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     # First each node meets the hub it shares most bands with: of its ties the likeliest.
     best = stars.groupBy("u").agg(F.min_by("v", F.struct(-F.col("bands"), F.col("v"))).alias("v"))
     label = components(cut_lineage(confirmed(best, sets, percent)))
+    label = bridged(bucketed, label, sets, percent)
 
     # Then what still lies between two components: the other ties, and pairs without the hub.
     named = label.withColumnRenamed("component", "at")
@@ -242,6 +247,29 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def bridged(bucketed: DataFrame, label: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """``label`` with components joined by stars between them.
+
+    In each round, each bucket of several components draws a member of each; the
+    one of its largest component is the hub that the others meet. A bucket makes
+    one pair for each of its other components, however many members they have.
+    Where copies of one text are linked to some of the others only, a round ties
+    nearly all of them, so that ``stray_links`` has little left to look through.
+    """
+    for k in range(rounds):
+        labelled = bucketed.where("c > 2").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        held = cut_lineage(labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node"))).alias("drawn")))
+        hubs = cut_lineage(held.groupBy("key").agg(F.max(F.struct("n", "component", "drawn")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
+        met = held.join(hubs, "key").where("component != main.component").select(F.col("drawn.node").alias("a"), F.col("main.drawn.node").alias("b"), "component", F.col("main.component").alias("other"))
+        pairs = cut_lineage(met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.greatest("component", "other").alias("cu"), F.least("component", "other").alias("cv")).distinct())
+        links = confirmed(pairs.select("u", "v"), sets, percent)
+        merged = components(pairs.join(links, ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        moved = label.join(renamed, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        label = cut_lineage(moved.unionByName(merged))  # what merged lists was the name of its component, or alone
+    return label
+
+
 def stray_links(bucketed: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v), u > v: links within buckets that join two components, as many as it takes.
 
