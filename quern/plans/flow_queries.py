@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import money, pseudonyms, text
 from quern.functions.periods import try_parse_date
 from quern.operators import classify as c
-from quern.operators import dedup, evaluate, pnl, review, taxonomy, transfers, validate
+from quern.operators import dedup, evaluate, review, taxonomy, transfers, validate
 from quern.plans.registry import query
 from quern.plans.report_queries import WITH, ledger
 from quern.sources import carrier

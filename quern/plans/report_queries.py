@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import money
-from quern.functions.periods import GRANULARITIES, calendar, months_between, period_end, period_label, period_start
+from quern.functions.periods import GRANULARITIES, calendar, period_end, period_label, period_start
 from quern.operators import pnl
 from quern.plans.registry import query
 from quern.sources import carrier

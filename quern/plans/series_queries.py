@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import pnl, series
 from quern.plans.registry import query
-from quern.plans.report_queries import WITH, ledger, report, report_sql, tagged, tagged_sql, whole_calendar, wide_sql
+from quern.plans.report_queries import WITH, report, report_sql, tagged, tagged_sql, whole_calendar, wide_sql
 from quern.sources import carrier
 
 COSTS = ("02", "03", "04", "05", "06", "07")
