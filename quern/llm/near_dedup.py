@@ -7,7 +7,7 @@ Each bucket ties its members to one hub only; a member is first compared with
 the hub it shares most buckets with, and each link is confirmed on the full
 sets. Two members may be linked although neither is a hub. So components are
 tied by further stars: in each bucket one member of every other component meets
-one of the main component, drawn anew in each round. What still lies between two
+one of the main component, drawn by a hash. What still lies between two
 components is looked through once more: ties to other hubs, and, in buckets with
 strays outside their main component, the strays against the others, in blocks of
 bounded size, on the full sets; a block gives the links that join components,
@@ -247,14 +247,15 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def bridged(bucketed: DataFrame, label: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+def bridged(bucketed: DataFrame, label: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
     """``label`` with components joined by stars between them.
 
     In each round, each bucket of several components draws a member of each; the
     one of its largest component is the hub that the others meet. A bucket makes
     one pair for each of its other components, however many members they have.
     Where copies of one text are linked to some of the others only, a round ties
-    nearly all of them, so that ``stray_links`` has little left to look through.
+    nearly all of them, since each shares many buckets with the rest; a second
+    one finds next to nothing.
     """
     for k in range(rounds):
         labelled = bucketed.where("c > 2").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
