@@ -216,7 +216,8 @@ def _contexts(frames: Iterator[pa.RecordBatch], slot_of, width: int) -> Iterator
         at_pair = np.repeat(at, np.diff(frame.column("other").offsets.to_numpy()))
         slot = slot_of(pairs, other)
         used = slot >= 0
-        met = np.bincount(at_pair[used] * width + slot[used], n[used], len(key) * width).reshape(len(key), width)
+        # Sums of nothing come as whole numbers, to which a key's earlier sums could not be added.
+        met = np.bincount(at_pair[used] * width + slot[used], n[used], len(key) * width).astype(np.float64).reshape(len(key), width)
         total = np.bincount(at, count, len(key))
         if rest is not None and rest[0][0] == key[0]:
             met[0] += rest[1][0]

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -160,6 +161,17 @@ def test_words_of_one_context_come_to_one_class(docs_of, exchanged):
     assert max(x | y) < 4 and not x & y and model.total == sum(len(t.split()) + 1 for _, t in rows)
 
 
+def test_contexts_of_a_key_in_two_batches_of_which_one_counts_nothing():
+    def batch(key, others):
+        return pa.RecordBatch.from_pydict({"key": pa.array([key], pa.int64()), "other": pa.array([others], pa.list_(pa.int32())), "n": pa.array([[2] * len(others)], pa.list_(pa.int32()))})
+
+    frames = [batch(7, [1, 3]), batch(7, [5]), batch(7, []), batch(8, [1])]
+    got = {}
+    for key, met, _ in brown_lm._contexts(iter(frames), lambda pairs, other: np.where(other < 4, other, -1), 4):
+        got |= {int(k): m.tolist() for k, m in zip(key, met, strict=True)}
+    assert got == {7: [0.0, 2.0, 0.0, 2.0], 8: [0.0, 2.0, 0.0, 0.0]}
+
+
 def test_exchange_never_lowers_the_likelihood(docs_of):
     rng = np.random.default_rng(1)
     rows = [(k, " ".join(f"w{min(rng.geometric(0.08), 40)}" if j % 2 else f"v{min(rng.geometric(0.2), 12)}" for j in range(60))) for k in range(80)]
