@@ -3,12 +3,14 @@
 import os
 import re
 
+import duckdb
 import pytest
+from test_queries import plain
 
 from quern.operators import validate
 from quern.operators.evaluate import LabelIndex, LabelRule
 from quern.plans import ledger_queries  # noqa: F401
-from quern.plans.registry import QUERIES
+from quern.plans.registry import QUERIES, SQL
 from quern.sources import carrier
 
 DATA = "/root/testdata/sf0.001"
@@ -48,6 +50,41 @@ def test_line_items_go_through_two_shuffles(spark):
     assert shuffles == 2
 
 
+#: Queries on what stands for a transaction, and how often line items are read: vendors' and decisions' keys are looked for among them once more.
+HELD = {"batch_transactions": 1}
+
+
+@needs_tables
+@pytest.mark.parametrize("name", HELD)
+def test_transactions_hold_what_stands_for_them(spark, name):
+    """No second pass over the ledger for its own history, and no shuffle by an id, by the few categories or by vendors."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "5000")
+    try:
+        plan = plan_of(QUERIES[name](spark, DATA))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) == HELD[name]
+    assert not re.search(r"hashpartitioning\((txn_id|category_code)", plan)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", HELD)
+def test_rows_that_repeat_an_id_hold_what_all_say(spark, tmp_path, name):
+    duck = duckdb.connect()
+    for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        duck.execute(f"CREATE TABLE {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    duck.execute("INSERT INTO lineitem SELECT * REPLACE (l_quantity + 4 AS l_quantity) FROM lineitem WHERE l_orderkey % 3 = 0")
+    duck.execute("INSERT INTO lineitem SELECT * REPLACE (NULL AS l_suppkey, NULL AS l_quantity) FROM lineitem WHERE l_orderkey % 7 = 0")
+    for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        duck.execute(f"COPY {table} TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    df = QUERIES[name](spark, str(tmp_path))
+    cols = sorted(df.columns)
+    rows = sorted(repr(tuple(map(plain, r))) for r in df.select(*cols).collect())
+    want = duck.sql(SQL[name]).project(", ".join(f'"{c}"' for c in cols)).fetchall()
+    assert rows and rows == sorted(repr(tuple(map(plain, r))) for r in want)
+
+
 def test_file_warnings_read_rows_once(spark, tmp_path):
     row = "batch_id long, booked_on date, document_no string, counterparty_account string, debit_minor long, credit_minor long, currency string"
     import datetime as d
