@@ -51,7 +51,7 @@ def test_line_items_go_through_two_shuffles(spark):
 
 
 #: Queries on what stands for a transaction, and how often line items are read: vendors' and decisions' keys are looked for among them once more.
-HELD = {"batch_transactions": 1, "review_groups": 1, "review_resolve": 2, "pnl_without_transfers": 1, "drill_rows": 1, "eval_agreement": 2}
+HELD = {"batch_transactions": 1, "review_groups": 1, "review_group_rows": 1, "review_resolve": 2, "pnl_without_transfers": 1, "drill_rows": 1, "eval_agreement": 2}
 
 
 @needs_tables
