@@ -442,6 +442,29 @@ def test_nearest_is_the_least_of_all_candidates(spark):
     assert {r.txn_id: (r.days_apart, r.candidate_id) for r in transfers.nearest(txn).collect()} == best
 
 
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_candidates_in_blocks_are_all_pairs(spark, block):
+    """Rows that repeat, and nulls in any column, an id's too, against all pairs."""
+    import random
+
+    rng = random.Random(4)
+    maybe = lambda x: None if rng.random() < 0.04 else x
+    rows = [(maybe(k), maybe(rng.randrange(2)), maybe(rng.choice(("bank", "ledger"))), maybe(rng.randrange(3)), maybe(date(2024, 1, 1 + rng.randrange(12))), maybe(rng.choice((-5, 5, -7, 7, 0)))) for k in range(300)]
+    rows += rows[:40]
+    want = [(a[0], b[0], abs((a[4] - b[4]).days)) for a in rows for b in rows if None not in a[1:] + b[1:] and a[1:3] == b[1:3] and a[3] != b[3] and a[5] == -b[5] != 0 and abs((a[4] - b[4]).days) <= 3]
+    got = [tuple(r) for r in transfers.candidates(spark.createDataFrame(rows, MOVE), block=block).collect()]
+    order = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(got, key=order) == sorted(want, key=order) and any(None in r for r in want)
+
+
+def test_candidates_of_a_hot_amount_are_spread_over_tasks(spark):
+    """One amount of one day, read as one part: its pairs are not made in one task."""
+    rows = [(k, 1, "bank", k % 2, date(2024, 1, 9), 5 if k % 2 else -5) for k in range(800)]
+    pairs = transfers.candidates(spark.createDataFrame(rows, MOVE).coalesce(1))
+    tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 2 * 400 * 400 and len(tasks) >= 3 and max(tasks) <= 160_000
+
+
 def test_report_cuts_raw_text_to_whole_characters(spark):
     import json
 
