@@ -465,6 +465,17 @@ def test_candidates_of_a_hot_amount_are_spread_over_tasks(spark):
     assert sum(tasks) == 2 * 400 * 400 and len(tasks) >= 3 and max(tasks) <= 160_000
 
 
+def test_candidates_are_made_a_block_at_a_time(spark):
+    """Who reads one row has the rows of one id and one block made, not all pairs of two blocks."""
+    rows = [(k, 1, "bank", k % 2, date(2024, 1, 9), 5 if k % 2 else -5) for k in range(400)]
+    one = transfers.candidates(spark.createDataFrame(rows, MOVE)).limit(1)
+    assert len(one.collect()) == 1
+    plan = one._jdf.queryExecution().executedPlan().executedPlan()
+    while plan.nodeName() != "Generate":
+        plan = plan.children().apply(0) if plan.children().nonEmpty() else plan.plan()
+    assert 1 <= plan.metrics().apply("numOutputRows").value() <= transfers.BLOCK
+
+
 def test_report_cuts_raw_text_to_whole_characters(spark):
     import json
 
